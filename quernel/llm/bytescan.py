@@ -109,27 +109,34 @@ def scan(data: np.ndarray, offs: np.ndarray, members: np.ndarray, fold: np.ndarr
     return hashes(data, s, e, fold), s, e, np.searchsorted(s, offs)
 
 
+def runs(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of k words within a text, and the index of each run's first word."""
+    m = len(words) - k + 1
+    if m <= 0:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    h = np.full(m, k, _U)
+    for j in range(k):
+        h = h * _U(0xD6E8FEB86659FD93) + words[j : j + m]
+    whole = np.ones(m, bool)
+    for cut in first[1:-1]:
+        whole[max(0, cut - k + 1) : cut] = False
+    at = np.flatnonzero(whole)
+    return mix(h[at]), at
+
+
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of k words within a text, and each run's text; a shorter text that has words is one run."""
+    """Hashes of all runs of k words and each run's text; a shorter text that has words is one run."""
+    h, at = runs(words, first, k)
     n = np.diff(first)
-    owner = np.repeat(np.arange(len(n)), n)
-    if len(words) >= k:
-        h, m = np.zeros(len(words) - k + 1, _U), len(words) - k + 1
-        for j in range(k):
-            h = h * _U(0xD6E8FEB86659FD93) + words[j : j + m]
-        whole = owner[:m] == owner[k - 1 :]
-        h, who = mix(h[whole]), owner[:m][whole]
-    else:
-        h, who = np.zeros(0, _U), np.zeros(0, np.int64)
+    who = np.repeat(np.arange(len(n)), np.maximum(n - k + 1, 0))
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
-        parts = []
-        for d in short:
-            x = _U(n[d])
-            for w in words[first[d] : first[d + 1]]:
-                x = (x * _U(0xA0761D6478BD642F)) ^ w
-            parts.append(x)
-        h, who = np.concatenate([h, mix(np.array(parts, _U))]), np.concatenate([who, short])
+        for size in range(1, k):
+            own = short[n[short] == size]
+            x = np.full(len(own), size, _U)
+            for j in range(size):
+                x = x * _U(0xD6E8FEB86659FD93) + words[first[own] + j]
+            h, who = np.concatenate([h, mix(x)]), np.concatenate([who, own])
         order = np.argsort(who, kind="stable")
         h, who = h[order], who[order]
     return h, who

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import decontam, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,37 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages of ten words found in documents."""
+    hits = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
+    "op3_benchmark_hits": op3_benchmark_hits,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_benchmark_hits": f"""
+with d as (select doc_id, {_WORDS} as ws from documents),
+b as (select item_id, {_WORDS} as ws from benchmark),
+bw as (select distinct item_id, k, array_to_string(ws[i : i + k - 1], ' ') as win
+       from (select item_id, ws, k, unnest(range(1, len(ws) - k + 2)) as i
+             from (select item_id, ws, least(len(ws), 10) as k from b where len(ws) > 0))),
+dw as (select doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') as win
+       from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as i
+             from d, (select distinct k from bw) where len(ws) >= k)),
+m as (select dw.doc_id, dw.i, dw.k, bw.item_id from dw join bw on dw.win = bw.win and dw.k = bw.k),
+hit as (select doc_id, count(distinct p) as n_hit
+        from (select doc_id, unnest(range(i, i + k)) as p from m) group by doc_id),
+it as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256
+       from (select distinct doc_id, cast(item_id as varchar) as item from m) group by doc_id)
+select d.doc_id, cast(len(d.ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join it using (doc_id)
+""",
+}
