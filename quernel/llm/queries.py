@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, idplanes, mixing, tokencount
+from . import decontam, idplanes, mixing, quality, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document by boosted trees."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each source near 150 % of all words dealt 5 : 2 : 1."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +46,7 @@ def op6_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_scores": op1_quality_scores,
     "op2_source_mix": op2_source_mix,
     "op3_benchmark_hits": op3_benchmark_hits,
     "op4_piece_counts": op4_piece_counts,
