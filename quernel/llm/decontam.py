@@ -9,7 +9,7 @@ around them.  These meet the windows in an equi-join, where the window must fit
 the document at that offset (length and position) and its words must be equal.
 
 A bitmap of fixed size drops almost all other shingles inside the scan; it
-grows with the benchmark up to ``MOST_BITS`` and then only filters less.
+grows with the benchmark up to a bound and then only filters less.
 
 Defined results: null and empty texts have no words and no hits, items without
 words have no windows, items without an id count as one more id-less item that
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
+from .bits import bitmap, inside
 from .store import mapped, stash
 
 WINDOW, SHINGLE = 10, 5
-LEAST_BITS, MOST_BITS = 20, 27
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -65,22 +65,6 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return mapped(benchmark.select("item_id", "text"), each, f"item_id {kind}, win string, w int, o int, h bigint")
 
 
-def bitmap(hashes: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """Bits set at the leading bits of each hash, 16 for each distinct one but at most 2 ** MOST_BITS: a proven bound of 16 MB."""
-    n = hashes.select(column).distinct().count()
-    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(16 * max(1, n))))))
-    at = F.shiftrightunsigned(F.col(column), 64 - bits)
-    rows = hashes.groupBy(F.shiftright(at, 6).alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int)))").alias("b")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows["i"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
-    return out, bits
-
-
-def inside(h: np.ndarray, bits: np.ndarray, n: int) -> np.ndarray:
-    at = h >> np.uint64(64 - n)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 def find(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (rid, doc_id, text_hash, n_words), matches (rid, start, w, win), and windows of items (win, item_id)."""
     spark = docs.sparkSession

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, idplanes, mixing, quality, tokencount
+from . import decontam, idplanes, jaccard, mixing, quality, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,18 @@ def op6_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idplanes.write_and_read(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose word triples overlap by 90 %."""
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_scores": op1_quality_scores,
     "op2_source_mix": op2_source_mix,
     "op3_benchmark_hits": op3_benchmark_hits,
     "op4_piece_counts": op4_piece_counts,
     "op6_id_planes": op6_id_planes,
+    "op9_shingle_components": op9_shingle_components,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,5 +80,17 @@ it as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by
 select d.doc_id, cast(len(d.ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (doc_id) left join it using (doc_id)
+""",
+    "op9_shingle_components": f"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i : i + 2], ' ') as g
+      from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+l as (select x.doc_id as a, y.doc_id as b from s x join s y on x.g = y.g and x.doc_id <> y.doc_id
+      join n nx on nx.doc_id = x.doc_id join n ny on ny.doc_id = y.doc_id
+      group by x.doc_id, y.doc_id, nx.n, ny.n having 100 * count(*) >= 90 * (nx.n + ny.n - count(*))),
+r(doc_id, other) as (select doc_id, doc_id from w union select r.doc_id, l.b from r join l on l.a = r.other)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
+from w left join n using (doc_id) join (select doc_id, min(other) as component_id from r group by doc_id) c using (doc_id)
 """,
 }
