@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -37,12 +37,12 @@ def op3_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentencepiece tokens of each document."""
-    return tokencount.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op6_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written in byte planes and read back."""
-    return idplanes.write_and_read(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return idplanes.write_and_read(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op9_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
