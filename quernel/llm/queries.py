@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, idplanes, jaccard, mixing, quality, tokencount
+from . import decontam, idplanes, jaccard, mixing, piecewise, quality, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op9_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op10_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and of edited documents, and their likeness."""
+    return piecewise.with_next(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_scores": op1_quality_scores,
     "op2_source_mix": op2_source_mix,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_piece_counts": op4_piece_counts,
     "op6_id_planes": op6_id_planes,
     "op9_shingle_components": op9_shingle_components,
+    "op10_piecewise_fingerprints": op10_piecewise_fingerprints,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
