@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, idplanes, jaccard, mixing, piecewise, quality, tokencount
+from . import decontam, htmlextract, idplanes, jaccard, mixing, piecewise, quality, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op4_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return htmlextract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written in byte planes and read back."""
     return idplanes.write_and_read(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_benchmark_hits": op3_benchmark_hits,
     "op4_piece_counts": op4_piece_counts,
+    "op5_main_text": op5_main_text,
     "op6_id_planes": op6_id_planes,
     "op9_shingle_components": op9_shingle_components,
     "op10_piecewise_fingerprints": op10_piecewise_fingerprints,
