@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmlextract, idplanes, jaccard, mixing, piecewise, quality, tokencount
+from . import decontam, htmlextract, idplanes, jaccard, mixing, piecewise, quality, spandedup, tokencount, toolchat
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,16 @@ def op6_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idplanes.write_and_read(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without sentences of passages that occurred before."""
+    return spandedup.deduplicate(_table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+
+
+def op8_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in canonical JSON with linked and validated tool calls."""
+    return toolchat.link(_table(spark, sf_dir, "conversations"), toolchat.tool_table(spark))
+
+
 def op9_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose word triples overlap by 90 %."""
     return jaccard.join(_table(spark, sf_dir, "documents"))
@@ -67,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_piece_counts": op4_piece_counts,
     "op5_main_text": op5_main_text,
     "op6_id_planes": op6_id_planes,
+    "op7_span_dedup": op7_span_dedup,
+    "op8_tool_chat": op8_tool_chat,
     "op9_shingle_components": op9_shingle_components,
     "op10_piecewise_fingerprints": op10_piecewise_fingerprints,
 }
