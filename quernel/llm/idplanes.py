@@ -16,7 +16,7 @@ zstandard on its own; all-zero planes take no bytes.
 All numbers are little-endian.  A segment closes at ``SEGMENT`` ids, so only a
 single longer document makes a longer one.
 
-Encoding splits texts between a non-space and a space followed by a non-space:
+Encoding splits texts at single spaces between characters that aren't white space:
 the pre-tokenizer always cuts there, so each distinct piece needs the library
 once per task, and repeated pieces come from a bounded cache.
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import bytescan as bs
 from .store import mapped, stash
 
-BLOCK, SEGMENT, CACHE, END = 1 << 16, 1 << 20, 1 << 21, 0
+BLOCK, SEGMENT, CACHE, TOGETHER, END = 1 << 16, 1 << 20, 1 << 19, 64, 0
 _HEAD = struct.Struct("<4sBBIIQ")
 
 
@@ -109,6 +109,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the sign for a leading space
         self.reset()
 
     def reset(self) -> None:
@@ -117,18 +120,63 @@ class Encoder:
         self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def pieces(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Starts of pieces: texts, and single spaces between two ASCII bytes that aren't white space."""
+    @staticmethod
+    def solid(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes that end, and bytes that begin, a character which surely isn't white space."""
+        plain = (data > 0x20) & (data < 0x7F)
+        two = (data >= 0xC3) & (data <= 0xDF)
+        ends = plain.copy()
+        ends[1:] |= two[:-1] & (data[1:] >= 0x80)
+        return ends, plain | two | (data >= 0xE4)
+
+    def pieces(self, data: np.ndarray, offs: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Starts of pieces: texts, and single spaces between characters that aren't white space."""
         cut = np.zeros(len(data), bool)
-        solid = (data > 0x20) & (data < 0x7F)
         if len(data) > 2:
-            cut[1:-1] = (data[1:-1] == 0x20) & solid[:-2] & solid[2:]
+            cut[1:-1] = (data[1:-1] == 0x20) & ends[:-2] & begins[2:]
         cut[offs[:-1][offs[:-1] < len(data)]] = True
         return np.flatnonzero(cut)
 
+    def _of_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, closes: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after another, and how many each has.
+
+        Pieces of one space and then none, with no other white space behind the
+        space or at the end, are encoded many at a time: joined, they are cut
+        alike, and just the first token of each starts with a space.
+        """
+        blank = np.concatenate([[0], np.cumsum(data == 0x20)])
+        size = ends - starts
+        joins = (size > 1) & (data[starts] == 0x20) & (blank[ends] - blank[starts] == 1) & closes[ends - 1]
+        joins[joins] = opens[starts[joins] + 1]
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        many = int(joins.sum())
+        s, n = starts[order], size[order]
+        stop = np.cumsum(n)
+        raw = data[np.repeat(s - (stop - n), n) + np.arange(int(stop[-1]))].tobytes()
+        cuts = np.concatenate([[0], stop[min(TOGETHER, many) - 1 : many : TOGETHER], stop[many - 1 : many], stop[many:]]) if many else np.concatenate([[0], stop])
+        cuts = np.unique(cuts).tolist()
+        texts = [raw[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        found = []
+        for k in range(0, len(texts), 1024):
+            found += [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts[k : k + 1024], add_special_tokens=False)]
+        flat = np.concatenate(found)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        groups = -(-many // TOGETHER)
+        head = int(lengths[:groups].sum())
+        begins = np.flatnonzero(self.spaced[flat[:head]])
+        if len(begins) != many:
+            raise ValueError("joined pieces were not cut apart")
+        sizes = np.concatenate([np.diff(np.append(begins, head)), lengths[groups:]]) if many else lengths
+        back = np.argsort(order)
+        at = np.cumsum(sizes) - sizes
+        out = sizes[back]
+        done = np.cumsum(out)
+        return flat[np.repeat(at[back] - (done - out), out) + np.arange(int(done[-1]))], out
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
-        starts = self.pieces(data, offs)
+        closes, opens = self.solid(data)
+        starts = self.pieces(data, offs, closes, opens)
         ends = np.append(starts[1:], len(data))
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
@@ -141,13 +189,7 @@ class Encoder:
             if len(self.known) + new.sum() > CACHE:
                 self.reset()
                 new[:] = True
-            raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            found = []
-            for k in range(0, len(texts), 4096):
-                found += [e.ids for e in self.library.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((x for e in found for x in e), np.uint32, int(sizes.sum()))
+            flat, sizes = self._of_pieces(data, starts[first[new]], ends[first[new]], closes, opens)
             where = len(self.ids) + np.cumsum(sizes) - sizes
             known = np.concatenate([self.known, distinct[new]])
             order = np.argsort(known, kind="stable")
