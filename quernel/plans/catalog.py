@@ -191,12 +191,15 @@ def _newton_rows(spark, fits) -> DataFrame:
 @query("fit_newton_families")
 def _(spark, d):
     """Families without closed form: logistic, Cauchy, Student, beta, chi-square, F, Burr, generalised extreme value."""
-    e = observations(_events(spark, d).filter("value > 0"), "value").persist()
-    o = observations(_orders(spark, d).withColumn("v", F.col("o_totalprice") / 100000), "v").persist()
-    l = observations(_items(spark, d).filter("l_discount > 0").withColumn("v", F.col("l_discount") * 5), "v").persist()
-    fits = [fit.newton_fit(o, f) for f in ("logistic", "cauchy", "student_t", "gev")] + [fit.newton_fit(e, f) for f in ("burr", "chi_square")] + [fit.newton_fit(l, "beta"), fit.newton_fit(o, "f")]
-    for t in (e, o, l):
-        t.unpersist()
+    grid = _events(spark, d).select(((F.col("event_id") % 997 + 0.5) / 997.0).alias("u"))
+    fits = []
+    for name, p in (("logistic", (10.0, 3.0)), ("cauchy", (5.0, 2.0)), ("student_t", (4.0, 1.0, 2.0)), ("gev", (0.15, 10.0, 2.0)), ("burr", (2.0, 1.5, 10.0)), ("chi_square", (5.0,)), ("f", (6.0, 9.0))):
+        o = observations(grid.select(column(name, "ppf", "u", *p).alias("v")), "v").persist()
+        fits.append(fit.newton_fit(o, name))
+        o.unpersist()
+    o = observations(_items(spark, d).filter("l_discount > 0").withColumn("v", F.col("l_discount") * 5), "v").persist()
+    fits.append(fit.newton_fit(o, "beta"))
+    o.unpersist()
     return _newton_rows(spark, fits)
 
 
