@@ -42,7 +42,7 @@ from .bits import bitmap, inside
 from .components import components
 from .store import mapped, ship, stash
 
-SHINGLE, SMALL, BLOCK, FINE = 3, 32, 256, 4
+SHINGLE, SMALL, BLOCK, HUBS, FINE = 3, 32, 512, 8, 4
 SEEN = 1 << 18
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -165,7 +165,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _grouped(rows: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
+def _grouped(rows: DataFrame, keys: list[str], each, schema: str, order: tuple[str, ...] | list[str] = ("node",)) -> DataFrame:
     """Rows of equal keys, side by side and whole, through ``each(group: dict of arrays)``; groups have a bounded size."""
     ship(rows.sparkSession)
 
@@ -187,7 +187,7 @@ def _grouped(rows: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from each(rest, np.array([0, rest.num_rows]))
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "node")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
     return dealt.mapInArrow(run, schema)
 
 
@@ -307,41 +307,66 @@ class Join:
         few = self.buckets.join(self.large, "sig", "left_anti")
         return self.near(_grouped(few, ["sig"], _pairs_of, "a bigint, b bigint").distinct())
 
-    def large_pairs(self, root: DataFrame | None) -> DataFrame:
-        """Of buckets of over ``SMALL`` sets: one near partner of each set, or all near pairs of different components."""
-        plan = self.plan
+    def marks(self) -> DataFrame:
+        """(node, n, even, odd, sigs) of the nodes in large buckets; ``sigs`` are those buckets."""
+        lists = self.buckets.join(self.large.select("sig"), "sig").groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+        return stash(self.held.select("node", "n", "even", "odd").join(lists, "node"), "marks")
+
+    def large_pairs(self, marks: DataFrame, root: DataFrame | None) -> DataFrame:
+        """Pairs of buckets of over ``SMALL`` sets, from blocks.
+
+        Without ``root``, each set is compared with its own block and with about
+        ``HUBS`` sets of the bucket that visit all blocks, and tells one near
+        partner, a hub if there is one: enough to join most of a component.  With
+        it, every near pair of different components is told, by the task of its
+        pair of blocks and of the least signature that both sets have.
+        """
+        plan, every = self.plan, root is not None
         many = self.buckets.join(self.large.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "sig")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        many = many.withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        many = many.select("sig", F.least("own", "x").alias("p"), F.greatest("own", "x").alias("q"), "node", "own")
+        many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        hub = F.pmod(F.xxhash64("node", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("c") / HUBS))) == 0
+        places = F.sequence(F.lit(0), F.col("blocks") - 1)
+        many = many.withColumn("late", (~hub).cast("int")).withColumn("x", F.explode(places if every else F.when(hub, places).otherwise(F.array("own"))))
+        p, q = (F.least("own", "x"), F.greatest("own", "x")) if every else (F.col("x"), F.col("x"))
+        many = many.select("sig", p.alias("p"), q.alias("q"), "node", "own", "late")
+        if every:
+            many = many.join(root, "node", "left")
         sketch = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 0, F.col("even")).otherwise(F.col("odd"))
-        rows = many.join(self.held.select("node", "n", "even", "odd"), "node").withColumn("sketch", sketch)
-        rows = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")) if root is not None else rows.withColumn("root", F.col("node"))
-        every = root is not None
+        rows = many.join(marks, "node").withColumn("sketch", sketch).withColumn("root", F.coalesce("root", "node") if every else F.col("node"))
 
         def each(batch, cuts):
             cols = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             node, size, group, block = (cols[k].to_numpy() for k in ("node", "n", "root", "own"))
+            flat, bound = cols["sigs"].flatten().to_numpy(), cols["sigs"].offsets.to_numpy() - cols["sigs"].offsets[0].as_py()
             low, high = [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b - a < 2:
                     continue
+                sig, apart = cols["sig"][a].as_py(), cols["p"][a] != cols["q"][a]
                 marks = np.frombuffer(b"".join(cols["sketch"].slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
                 h = marks.shape[1] // FINE - 1
                 for j in range(1, b - a):
                     i = np.flatnonzero(10 * np.minimum(size[a : a + j], size[a + j]) >= 9 * np.maximum(size[a : a + j], size[a + j]))
+                    if apart:  # pairs within a block belong to that block's own task
+                        i = i[block[a + i] != block[a + j]]
                     if every:
                         i = i[group[a + i] != group[a + j]]
                     i = i[(marks[i] != marks[j]).sum(axis=1) <= h] if len(i) else i
+                    if every and len(i):
+                        mine = flat[bound[a + j] : bound[a + j + 1]]
+                        mine = mine[mine < sig]
+                        i = np.array([x for x in i.tolist() if not np.isin(flat[bound[a + x] : bound[a + x + 1]], mine).any()], np.int64)
                     if len(i):
                         i = i if every else i[:1]
                         low.append(node[a + i])
                         high.append(np.full(len(i), node[a + j]))
             if low:
-                pair = np.unique(np.stack([np.concatenate(low), np.concatenate(high)], axis=1), axis=0)
+                one, two = np.concatenate(low), np.concatenate(high)
+                pair = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
 
-        return _grouped(rows.select("sig", "p", "q", "node", "own", "n", "sketch", "root"), ["sig", "p", "q"], each, "a bigint, b bigint").distinct()
+        rows = rows.select("sig", "p", "q", "node", "own", "late", "n", "sketch", "root", "sigs")
+        return _grouped(rows, ["sig", "p", "q"], each, "a bigint, b bigint", ["late", "node"]).distinct()
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sets, made again from the whole texts, are similar enough."""
@@ -371,18 +396,19 @@ class Join:
         """(doc_id, n_shingles, component_id) for each row."""
         if self.buckets.limit(1).count():
             self.texts()
-            small = stash(self.small_pairs(), "small")
-            first = small.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(self.large_pairs(None)).distinct()
+            small, marks = stash(self.small_pairs(), "small"), self.marks()
+            first = small.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(self.large_pairs(marks, None)).distinct()
             edges = stash(self.linked(first), "first")
             root = stash(components(edges), "roots")
             ra, rb = root.toDF("a", "ra"), root.toDF("b", "rb")
             apart = small.join(ra, "a", "left").join(rb, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-            rest = apart.union(self.large_pairs(root)).distinct()
+            rest = apart.union(self.large_pairs(marks, root)).distinct()
             more = stash(self.linked(rest), "second")
             edges = edges.union(more)
             root = stash(components(edges), "roots")
             least = self.classes.join(root, "node").groupBy("root").agg(F.min("least_id").alias("linked_id"))
-            named = self.classes.join(root, "node", "left").join(least, "root", "left").select("node", F.coalesce("linked_id", "least_id").alias("component_id"))
+            linked = root.join(least, "root").select("node", "linked_id")
+            named = self.classes.join(linked, "node", "left").select("node", F.coalesce("linked_id", "least_id").alias("component_id"))
         else:
             named = self.classes.select("node", F.col("least_id").alias("component_id"))
         named = stash(named, "named")
