@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.families import column
-from ..operators import exact, fit, gof, samples, uncertainty
+from ..operators import assess, exact, fit, gof, samples, uncertainty
 from ..sources import partitions
 from ..sources.observations import numeric_violations, observations, violations
 from ..streaming import fits as streams
@@ -338,6 +338,40 @@ def _(spark, d):
     return r.select("statistic", F.round("value", 8).alias("value"), F.round("p_value", 8).alias("p_value"), "failures")
 
 
+@query("all_tests")
+def _(spark, d):
+    return rounded(assess.all_tests(_events(spark, d), "value", "exponential", (0.02,)), 7)
+
+
+@query("ecdf", "select value as x, round(max(i) / max(n), 9) as p from (select value, row_number() over (order by value) as i, count(*) over () as n from events) group by value")
+def _(spark, d):
+    return rounded(assess.ecdf(_events(spark, d), "value"), 9)
+
+
+@query("assess_families")
+def _(spark, d):
+    rows, _ = assess.assess(_events(spark, d).filter("event_id % 40 = 0 and value > 0"), "value", ["exponential", "normal", "lognormal", "weibull"], 40, seed=1)
+    return rows.select("family", "code", F.round("p_value", 6).alias("p_value"), F.round("aic", 4).alias("aic"))
+
+
+@query("profile_interval_weibull")
+def _(spark, d):
+    """Ends where the profile falls by half the chi-square quantile, in few passes."""
+    e = _events(spark, d).filter("value > 0").select("value").persist()
+    r = assess.profile_shape(e, "value", fit.fit_weibull(e, "value"))
+    e.unpersist()
+    return row(spark, lower=round(r["lower"], 5), estimate=round(r["estimate"], 5), upper=round(r["upper"], 5), passes=r["passes"])
+
+
+@query("weighted_fits")
+def _(spark, d):
+    """Weighted likelihood of families with and without closed form."""
+    i = _items(spark, d).withColumn("v", F.col("l_extendedprice") / 10000).persist()
+    out = [assess.fit_family(i, "v", f, weight="l_quantity") for f in ("exponential", "gamma", "normal")]
+    i.unpersist()
+    return _newton_rows(spark, out)
+
+
 # Comparison of models
 
 
