@@ -33,9 +33,16 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, which they may not have installed."""
+    """Give executors this package, which they may not have installed, and bound what one Arrow batch holds."""
     context = spark.sparkContext
+    bound = spark.conf.get(_BATCH_KEY).lower().rstrip("b")
+    if bound.lstrip("-").isdigit() and not 0 < int(bound) <= BATCH:
+        spark.conf.set(_BATCH_KEY, str(BATCH))
     if getattr(context, "_quernel_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

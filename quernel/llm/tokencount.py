@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import bytescan as bs
 from .store import mapped
 
-LONG, CACHE = 192, 1 << 21
+LONG, CACHE = 192, 1 << 20
 SPACE = "▁"
 NONE = np.int64(1 << 62)
 
