@@ -114,15 +114,15 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    plan = stash(mix(docs, **settings).select("doc_id", F.col("source").alias("_source"), F.col("size").alias("_size"), "copies"), "mix")
-    per = plan.groupBy("doc_id", "_source", "_size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    plan = stash(mix(docs, **settings).select("doc_id", F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "copies"), "mix")
+    per = plan.groupBy("doc_id", "_mix_source", "_mix_size").agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows"))
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).cast("long")
-    names = [c for c in docs.columns]
-    sized = docs.withColumn("_sz", size).alias("d")
-    joined = sized.join(per.filter("_copies > 0").alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m._source")) & (F.col("d._sz") == F.col("m._size")))
-    return joined.withColumn("_each", _shared_out()).filter("_each > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select(*[F.col(f"d.{c}") for c in names])
-
-
-def _shared_out() -> Column:
-    """Copies of one row when several rows share id, source and size: the rounded mean; one row gets all of its own."""
-    return F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(F.round(F.col("_copies") / F.col("_rows")))
+    sized = docs.withColumn("_mix_sz", size).alias("d")
+    joined = sized.join(per.filter("_mix_copies > 0").alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m._mix_source")) & (F.col("d._mix_sz") == F.col("m._mix_size")))
+    each = F.col("_mix_copies")
+    if per.filter("_mix_rows > 1").limit(1).count():  # rows that share id, source and size deal their copies out evenly
+        order = Window.partitionBy("d.doc_id", "d.source", "d._mix_sz").orderBy(F.xxhash64("d.text"))
+        joined = joined.withColumn("_mix_at", F.row_number().over(order))
+        each = F.floor(each / F.col("_mix_rows")) + (F.col("_mix_at") <= each % F.col("_mix_rows")).cast("int")
+    joined = joined.withColumn("_mix_each", each.cast("int")).filter("_mix_each > 0")
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_each")))).select(*[F.col(f"d.{c}") for c in docs.columns])

@@ -132,6 +132,8 @@ def test_mix_hard_cases(spark):
     assert mixing.mix(documents(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
     more = mixing.mixed_documents(docs)
     assert more.columns == docs.columns
+    have = more.filter("doc_id >= 500").count() * 3
+    assert have == out.taken[out.doc_id >= 500].sum()
 
 
 # 3
