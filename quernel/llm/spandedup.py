@@ -31,7 +31,7 @@ from . import bytescan as bs
 from .bits import bitmap, inside
 from .store import mapped, stash
 
-RUN, WORDS, PICK = 3, 30, 16
+RUN, WORDS, PICK = 3, 28, 8
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?,;:|"]] = True
 _U = np.uint64
