@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.families import EULER, family
 from ..functions.likelihood import contributions
+from .ranking import quantiles
 
 CLOSED = ("exponential", "normal", "lognormal", "uniform", "rayleigh", "laplace", "pareto", "wald", "poisson", "geometric")
 MOMENTS = ("normal", "exponential", "uniform", "gamma", "beta", "lognormal", "logistic", "gumbel", "pareto", "laplace", "rayleigh", "wald", "poisson", "geometric", "negative_binomial")
@@ -33,15 +34,23 @@ def _values(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return df.select(*by, F.col(value).cast("double").alias("x"))
 
 
-def sufficient(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Counts, sums and extremes from which all closed forms follow; one row, or one for each group."""
+def sufficient(df: DataFrame, value: str, by: Sequence[str] = (), order: bool = False) -> DataFrame:
+    """Counts, sums and extremes from which all closed forms follow; one row, or one for each group.
+
+    ``order`` adds med, q1 and q3.  Without groups they come from ``quantiles``, which scales; a group's exact
+    percentiles hold its distinct values in one task.
+    """
     positive = F.when(_x() > 0, F.log("x"))
-    return _values(df, value, by).groupBy(*by).agg(
+    own = [F.percentile("x", F.lit(p)).alias(k) for k, p in (("q1", 0.25), ("med", 0.5), ("q3", 0.75))] if order and by else []
+    out = _values(df, value, by).groupBy(*by).agg(
         F.count("x").alias("n"), F.sum("x").alias("s1"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.var_samp("x").alias("var1"),
         F.sum(_x() * _x()).alias("s2"), F.sum(positive).alias("sl"), F.avg(positive).alias("ml"), F.var_pop(positive).alias("vl"), F.var_samp(positive).alias("vl1"),
-        F.sum(F.when(_x() != 0, 1 / _x())).alias("sr"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile("x", 0.5).alias("med"), F.percentile("x", 0.25).alias("q1"), F.percentile("x", 0.75).alias("q3"),
-        F.sum(F.when((_x() < 0) | (_x() != F.floor("x")), 1).otherwise(0)).alias("odd"),
+        F.sum(F.when(_x() != 0, 1 / _x())).alias("sr"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        F.sum(F.when((_x() < 0) | (_x() != F.floor("x")), 1).otherwise(0)).alias("odd"), *own,
     )
+    if order and not by:
+        out = out.withColumns({k: F.lit(v).cast("double") for k, v in zip(("q1", "med", "q3"), quantiles(df, value, (0.25, 0.5, 0.75)), strict=True)})
+    return out
 
 
 def _absolute(df: DataFrame, value: str, by: Sequence[str], stats: DataFrame) -> DataFrame:
@@ -93,8 +102,8 @@ def _closed_forms() -> dict[str, tuple[list[Column], Column, Column, Column]]:
 
 def fit_closed(df: DataFrame, value: str, families: Sequence[str] = CLOSED, by: Sequence[str] = ()) -> DataFrame:
     """(by.., family, code, n, p1, p2, loglik, aic, bic) for closed-form families, from one aggregation (and one for Laplace)."""
-    stats = sufficient(df, value, by)
-    stats = _absolute(df, value, by, stats) if "laplace" in families else stats.withColumn("mad", _nan())
+    stats = sufficient(df, value, by, order="laplace" in families)
+    stats = _absolute(df, value, by, stats) if "laplace" in families else stats.withColumn("mad", _nan()).withColumn("med", _nan())
     if "poisson" in families:
         factorial = _values(df, value, by).filter((_x() >= 0) & (_x() == F.floor("x"))).groupBy(*by, "x").count()
         factorial = factorial.withColumn("w", F.col("count") * _log_factorial(F.col("x"))).groupBy(*by).agg(F.sum("w").alias("lf"))
@@ -122,8 +131,10 @@ def _log_factorial(x: Column) -> Column:
 
 def fit_moments(df: DataFrame, value: str, families: Sequence[str] = MOMENTS, by: Sequence[str] = ()) -> DataFrame:
     """(by.., family, n, p1, p2) by the method of moments."""
-    stats = sufficient(df, value, by)
+    stats = sufficient(df, value, by, order=bool({"laplace", "cauchy"} & set(families)))
     stats = _absolute(df, value, by, stats) if "laplace" in families else stats
+    if "med" not in stats.columns:
+        stats = stats.withColumns({k: _nan() for k in ("q1", "med", "q3")})
     mean, var = F.col("mean"), F.col("var1")
     common = mean * (1 - mean) / var - 1
     spread = F.when(var > mean, var).otherwise(1.1 * mean)
@@ -309,7 +320,7 @@ def log_likelihoods(obs: DataFrame, name: str, points: Sequence[Sequence[float]]
 
 def start_of(obs: DataFrame, name: str) -> list[float]:
     """First parameters, from moments of the values as if all were exact."""
-    s = obs.agg(F.sum("weight").alias("w"), (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("m"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(F.when(F.col("value") > 0, F.log("value"))).alias("ml"), F.stddev_pop(F.when(F.col("value") > 0, F.log("value"))).alias("sl"), F.stddev_pop("value").alias("sd")).first()
+    s = obs.agg(F.sum("weight").alias("w"), (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("m"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.percentile_approx("value", [0.25, 0.5, 0.75]).alias("q"), F.avg(F.when(F.col("value") > 0, F.log("value"))).alias("ml"), F.stddev_pop(F.when(F.col("value") > 0, F.log("value"))).alias("sl"), F.stddev_pop("value").alias("sd")).first()
     m, sd, ml, sl = s["m"] or 1.0, max(s["sd"] or 1.0, 1e-12), s["ml"] or 0.0, max(s["sl"] or 1.0, 1e-3)
     v = sd * sd
     c = max(m * (1 - m) / v - 1, 0.2) if 0 < m < 1 else 1.0

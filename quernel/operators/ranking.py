@@ -21,3 +21,25 @@ def tied_ranks(df: DataFrame, value: str, weight: str | None = None) -> tuple[Da
     inner = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     ranked = placed.withColumn("own", F.coalesce(F.sum("c").over(inner), F.lit(0))).join(totals.select("part", "base"), "part").select("x", "c", (F.col("base") + F.col("own")).alias("before"))
     return ranked, placed.agg(F.sum("c")).first()[0] or 0
+
+
+FEW = 2_000_000
+
+
+def quantiles(df: DataFrame, value: str, probs, few: int = FEW) -> list[float | None]:
+    """Exact interpolated quantiles of a column.
+
+    Up to ``few`` rows they come from Spark's exact percentile, whose state holds
+    all distinct values; beyond that from ranks, which no task has to hold.
+    """
+    x = df.select(F.col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)")
+    n = x.count()
+    if not n:
+        return [None] * len(probs)
+    if n <= few:
+        return list(x.agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in probs]))).first()[0])
+    ranked, _ = tied_ranks(x, "x")
+    places = [(n - 1) * p for p in probs]
+    needed = sorted({r for h in places for r in (int(h), min(int(h) + 1, n - 1))})
+    found = ranked.agg(*[F.min(F.when(F.col("before") + F.col("c") > r, F.col("x"))).alias(f"r{r}") for r in needed]).first()
+    return [found[f"r{int(h)}"] + (h - int(h)) * (found[f"r{min(int(h) + 1, n - 1)}"] - found[f"r{int(h)}"]) for h in places]

@@ -13,21 +13,20 @@ from pyspark.sql import functions as F
 from ..functions import special as sp
 from ..functions.families import column, family
 from .fit import CLOSED, fit_closed, newton_fit, sufficient
-from .ranking import tied_ranks
+from .ranking import quantiles, tied_ranks
 
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """n, mean, sd, median, extremes, quartiles, biased skewness and excess kurtosis, outliers by 1.5 interquartile ranges."""
     x = df.select(*by, F.col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)")
-    s = x.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.percentile("x", F.lit(0.5)).alias("median"), F.min("x").alias("low"), F.max("x").alias("high"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"), F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.75)).alias("q3"))
+    order = [F.percentile("x", F.lit(p)).alias(k) for k, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))] if by else []
+    s = x.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("low"), F.max("x").alias("high"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"), *order)
     wide = 1.5 * (F.col("q3") - F.col("q1"))
     out = (F.col("x") < F.col("q1") - wide) | (F.col("x") > F.col("q3") + wide)
     if by:
-        n = x.join(s.select(*by, "q1", "q3"), list(by)).groupBy(*by).agg(F.count_if(out).alias("outliers"))
-        return s.join(n, list(by))
-    q = s.first()
-    n = x.agg(F.count_if((F.col("x") < F.lit(q["q1"] - 1.5 * (q["q3"] - q["q1"]))) | (F.col("x") > F.lit(q["q3"] + 1.5 * (q["q3"] - q["q1"])))).alias("outliers")) if q["n"] else x.agg(F.lit(0).cast("long").alias("outliers"))
-    return s.crossJoin(n)  # one row by one row
+        return s.join(x.join(s.select(*by, "q1", "q3"), list(by)).groupBy(*by).agg(F.count_if(out).alias("outliers")), list(by))
+    q = {k: F.lit(v).cast("double") for k, v in zip(("q1", "median", "q3"), quantiles(x, "x", (0.25, 0.5, 0.75)), strict=True)}
+    return s.withColumns(q).crossJoin(x.withColumns({k: q[k] for k in ("q1", "q3")}).agg(F.count_if(out).alias("outliers")))  # one row by one row
 
 
 def mean_interval(n: int, mean: float, sd: float, level: float = 0.95) -> tuple[float, float]:
@@ -323,7 +322,7 @@ def mixture_step(df: DataFrame, value: str, parts: Sequence[tuple[float, float,
 
 def mixture(df: DataFrame, value: str, components: int, steps: int = 100, tol: float = 1e-8) -> list[tuple[float, float, float]]:
     """EM of a normal mixture from quantiles; each step is one aggregation."""
-    q = df.agg(F.percentile(value, F.array(*[F.lit((i + 0.5) / components) for i in range(components)])).alias("q"), F.stddev_pop(value).alias("s")).first()
+    q = df.agg(F.percentile_approx(value, [(i + 0.5) / components for i in range(components)]).alias("q"), F.stddev_pop(value).alias("s")).first()
     parts = [(1 / components, m, max(q["s"] / components, 1e-9)) for m in q["q"]]
     for _ in range(steps):
         new = [(r["weight"], r["mu"], r["sigma"]) for r in mixture_step(df, value, parts).orderBy("component").collect()]
@@ -336,7 +335,7 @@ def mixture(df: DataFrame, value: str, components: int, steps: int = 100, tol: f
 
 def value_at_risk(df: DataFrame, value: str, level: float, name: str, params: Sequence[float]) -> DataFrame:
     """(empirical, parametric) lower quantiles."""
-    return df.agg(F.percentile(value, F.lit(1 - level)).alias("empirical")).withColumn("parametric", F.lit(float(family(name).quantile(np.array([1 - level]), *params)[0])))
+    return df.sparkSession.range(1).select(F.lit(quantiles(df, value, [1 - level])[0]).cast("double").alias("empirical")).withColumn("parametric", F.lit(float(family(name).quantile(np.array([1 - level]), *params)[0])))
 
 
 def shifted_exponential(df: DataFrame, value: str) -> DataFrame:

@@ -214,3 +214,20 @@ def test_deviance_residuals_are_defined_where_density_exceeds_one(spark):
 def test_best_of(spark):
     out = samples.best_of(frame(spark, grid("lognormal", (1.0, 0.5), 400)), "x", ["exponential", "lognormal", "gamma"])
     assert out[0]["family"] == "lognormal" and all(r["code"] == "OK" for r in out)
+
+
+def test_quantiles_by_ranks_equal_percentiles(spark):
+    x = np.round(np.random.default_rng(9).exponential(3, 400), 1)
+    p = [0.0, 0.1, 0.25, 0.5, 0.731, 0.99, 1.0]
+    df = frame(spark, x)
+    for few in (10**6, 10):
+        assert np.allclose(ranking.quantiles(df, "x", p, few), np.quantile(x, p))
+    assert ranking.quantiles(df.limit(0), "x", [0.5]) == [None]
+
+
+def test_grouped_summary(spark):
+    df = spark.range(100).selectExpr("id % 3 as g", "cast(id as double) as x")
+    r = samples.describe(df, "x", by=["g"]).orderBy("g").collect()
+    assert [v["n"] for v in r] == [34, 33, 33] and r[0]["median"] == 49.5
+    f = fit.fit_closed(df, "x", ["laplace", "normal"], by=["g"]).filter("family = 'laplace'").orderBy("g").first()
+    assert f["p1"] == 49.5
