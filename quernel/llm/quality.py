@@ -53,15 +53,20 @@ def _distinct(h: np.ndarray, who: np.ndarray, n: int, weight: np.ndarray | None
     return distinct, top, four, repeats
 
 
+def byte_counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How often each text has each byte; long texts in pieces."""
+    out = np.zeros((len(offs) - 1, 256))
+    for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+        for k in range(a, b, bs.PIECE):
+            out[i] += np.bincount(data[k : min(b, k + bs.PIECE)], minlength=256)
+    return out
+
+
 def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """One row of ``NAMES`` for each text."""
     n, size = len(offs) - 1, np.maximum(np.diff(offs), 1).astype(float)
-    cols = []
-    for members in _CLASSES:
-        table = np.zeros(256, np.uint8)
-        table[list(members)] = 1
-        total = np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)])
-        cols.append(np.diff(total[offs]) / size)
+    counts = byte_counts(data, offs)
+    cols = [counts[:, list(members)].sum(axis=1) / size for members in _CLASSES]
     words, s, e, first = bs.scan(data, offs, bs.SPACED)
     count = np.diff(first).astype(float)
     some = np.maximum(count, 1)
