@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .store import mapped, stash
+from .store import mapped, ship, stash, trim
 
 BLOCK, SEGMENT, CACHE, TOGETHER, END = 1 << 16, 1 << 20, 1 << 19, 64, 0
 _HEAD = struct.Struct("<4sBBIIQ")
@@ -244,8 +244,7 @@ def write(docs: DataFrame, tokenizer: str, planes: int = 4) -> DataFrame:
                     seq, held, names, size = seq + 1, [], [], 0
         if held:
             yield close()
-
-    from .store import ship
+        trim()
 
     ship(docs.sparkSession)
     return stash(ordered.mapInArrow(run, f"part int, seq int, ids bigint, doc_ids array<{kind}>, payload binary"), "segments")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import bytescan as bs
 from .bits import bitmap, inside
 from .components import components
-from .store import mapped, ship, stash
+from .store import mapped, ship, stash, trim
 
 SHINGLE, SMALL, BLOCK, HUBS, FINE = 3, 32, 512, 8, 4
 SEEN = 1 << 18
@@ -186,6 +186,7 @@ def _grouped(rows: DataFrame, keys: list[str], each, schema: str, order: tuple[s
             rest = rest.slice(int(cuts[-1]))
         if rest is not None and rest.num_rows:
             yield from each(rest, np.array([0, rest.num_rows]))
+        trim()
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
     return dealt.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .store import mapped, ship, stash
+from .store import mapped, ship, stash, trim
 
 WINDOW, LEAST_K, HALF, FULL = 7, 2, 32, 64
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -201,6 +201,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*done.columns, pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], [*whole.names, "edge", "part", "text"])
         if held is not None:
             yield edge("tail", held_id, held)
+        trim()
 
     rows = stash(ordered.mapInArrow(run, f"{result}, edge string, part int, text string"), "neighbours")
     heads = rows.filter("edge = 'head'")

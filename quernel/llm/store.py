@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -33,7 +34,7 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BATCH = 8 << 20
+BATCH = 4 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -55,6 +56,15 @@ def ship(spark: SparkSession) -> None:
     context._quernel_shipped = True
 
 
+def trim() -> None:
+    """Hand freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def mapped(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch; empty batches are skipped."""
     ship(df.sparkSession)
@@ -67,5 +77,6 @@ def mapped(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
                     yield out
                 elif out is not None:
                     yield from out
+        trim()
 
     return df.mapInArrow(run, schema)
