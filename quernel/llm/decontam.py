@@ -12,8 +12,8 @@ A bitmap of fixed size drops almost all other shingles inside the scan; it
 grows with the benchmark up to a bound and then only filters less.
 
 Defined results: null and empty texts have no words and no hits, items without
-words have no windows, items without an id count as one more id-less item that
-is not listed, rows that repeat are separate documents, and other columns are
+words have no windows, items without an id make hits but are neither counted nor
+listed, rows that repeat are separate documents, and other columns are
 ignored.
 """
 
