@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,22 @@ def tied_ranks(df: DataFrame, value: str, weight: str | None = None) -> tuple[Da
     return ranked, placed.agg(F.sum("c")).first()[0] or 0
 
 
+def running_sum(placed: DataFrame, by: Sequence[str], order: str, amount: str, out: str) -> DataFrame:
+    """``placed`` with the sum of ``amount`` over all rows before each, within ``by``; ``part`` is the range that a row lies in.
+
+    Windows run within one part of one group, and over one row for each part, so neither grows with the table.
+    """
+    ahead = Window.unboundedPreceding, -1
+    totals = placed.groupBy(*by, "part").agg(F.sum(amount).alias("_t"))
+    base = F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("part").rowsBetween(*ahead)), F.lit(0))
+    totals = totals.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("part").alias("_part"), base.alias("_base"))
+    own = F.coalesce(F.sum(amount).over(Window.partitionBy(*by, "part").orderBy(order).rowsBetween(*ahead)), F.lit(0))
+    same = F.col("part") == F.col("_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return placed.withColumn("_own", own).join(totals, same).withColumn(out, F.col("_base") + F.col("_own")).drop("_own", "_base", "_part", *[f"_{c}" for c in by])
+
+
 FEW = 2_000_000
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import special as sp
 from ..functions.families import column, family
+from ..plans.shared import settle
 from .fit import CLOSED, fit_closed, newton_fit, sufficient
-from .ranking import quantiles, tied_ranks
+from .ranking import quantiles, running_sum, tied_ranks
 
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -285,14 +286,20 @@ def sample_family(df_session, name: str, params: Sequence[float], n: int, seed:
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by.., time, events, at_risk, survival) at each distinct time with events, by the standard count at risk."""
+    """(by.., time, events, at_risk, survival) at each distinct time with events, by the standard count at risk.
+
+    Times are dealt out by range, and both the counts before a time and the logarithms of the steps are summed in two levels.
+    """
     g = df.select(*by, F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("e")).groupBy(*by, "time").agg(F.sum("e").alias("events"), F.count("*").alias("c"))
-    late = Window.partitionBy(*by).orderBy(F.desc("time"))
-    early = Window.partitionBy(*by).orderBy("time")
-    g = g.withColumn("at_risk", F.sum("c").over(late)).filter("events > 0")
-    gone = F.max(F.when(F.col("events") == F.col("at_risk"), 1).otherwise(0)).over(early)
-    term = F.sum(F.when(F.col("events") < F.col("at_risk"), F.log1p(-F.col("events") / F.col("at_risk"))).otherwise(0.0)).over(early)
-    return g.select(*by, "time", "events", "at_risk", F.when(gone == 1, 0.0).otherwise(F.exp(term)).alias("survival"))
+    placed = settle(g.repartitionByRange(*by, "time").withColumn("part", F.spark_partition_id()), "times")
+    total = placed.groupBy(*by).agg(F.sum("c").alias("all"))
+    before = running_sum(placed, by, "time", "c", "before")
+    joined = before.crossJoin(total) if not by else before.join(total.select(*[F.col(c).alias(f"_{c}") for c in by], "all"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).drop(*[f"_{c}" for c in by])
+    risk = joined.withColumn("at_risk", F.col("all") - F.col("before")).filter("events > 0")
+    ends = F.col("events") == F.col("at_risk")
+    steps = settle(risk.withColumn("step", F.when(ends, 0.0).otherwise(F.log1p(-F.col("events") / F.col("at_risk")))).select(*by, "time", "part", "events", "at_risk", "step"), "steps")
+    done = running_sum(steps, by, "time", "step", "so_far")
+    return done.select(*by, "time", "events", "at_risk", F.when(F.col("events") == F.col("at_risk"), 0.0).otherwise(F.exp(F.col("so_far") + F.col("step"))).alias("survival"))
 
 
 def rolling_normal(df: DataFrame, value: str, order: Sequence[str], rows: int, by: Sequence[str]) -> DataFrame:
