@@ -170,13 +170,13 @@ def _(spark, d):
     return fit.fit_gamma(_events(spark, d), "value", by=["event_type"]).select("event_type", "n", F.round("shape", 5).alias("shape"), F.round("scale", 4).alias("scale"))
 
 
-@query("profile_sums", "with w as (select ln(value) - (select max(ln(value)) from events) as w from events) select b, round(sum(exp(b * w)), 4) as s0, round(sum(w * exp(b * w)), 4) as s1, round(sum(w * w * exp(b * w)), 4) as s2 from w, (values (0.25), (0.5), (1.0), (2.0), (4.0)) v(b) group by b")
+@query("profile_sums", "with w as (select ln(value) - (select max(ln(value)) from events) as w from events) select b::double as b, round(sum(exp(b * w)), 4) as s0, round(sum(w * exp(b * w)), 4) as s1, round(sum(w * w * exp(b * w)), 4) as s2 from w, (values (0.25), (0.5), (1.0), (2.0), (4.0)) v(b) group by b")
 def _(spark, d):
     e = _events(spark, d)
     top = e.agg(F.max(F.log("value"))).first()[0]
     grid = [0.25, 0.5, 1.0, 2.0, 4.0]
     s = fit.profile_sums(e, F.log("value") - F.lit(top), grid)
-    rows = [F.struct(F.lit(b).cast("decimal(3,2)").alias("b"), *[F.round(f"s{k}_{i}", 4).alias(f"s{k}") for k in range(3)]) for i, b in enumerate(grid)]
+    rows = [F.struct(F.lit(b).alias("b"), *[F.round(f"s{k}_{i}", 4).alias(f"s{k}") for k in range(3)]) for i, b in enumerate(grid)]
     return s.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -544,7 +544,7 @@ def _(spark, d):
     name = f"fits_{uuid.uuid4().hex}"
     q = streams.windowed_fits(stream, "ts", "value", "1 hour", late="3650 days", by=["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder(spark)}/quernel/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select("start", "event_type", "n", F.round("rate", 8).alias("rate"))
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("rate", 8).alias("rate"))
 
 
 @query("poisson_bootstrap")
