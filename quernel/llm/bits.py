@@ -6,20 +6,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST_BITS, MOST_BITS = 20, 27
+LEAST_BITS, MOST_BITS, EACH = 20, 25, 8
 
 
 def bitmap(hashes: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """Bits set at the leading bits of each hash: 16 for each distinct one, at most 2 ** MOST_BITS, so never over 16 MB.
+    """Bits set at the leading bits of each hash: ``EACH`` for each distinct one, at most 2 ** MOST_BITS, so never over 4 MB.
 
     A fuller map lets more other hashes through and never loses one.
     """
     n = hashes.select(column).distinct().count()
-    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(16 * max(1, n))))))
+    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(EACH * max(1, n))))))
     at = F.shiftrightunsigned(F.col(column), 64 - bits)
-    rows = hashes.groupBy(F.shiftright(at, 6).alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int)))").alias("b")).toPandas()
+    rows = hashes.groupBy(F.shiftright(at, 6).alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int)))").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows["i"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    out[rows["i"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
     return out, bits
 
 
