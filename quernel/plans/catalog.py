@@ -145,9 +145,9 @@ from (select i, lo, hi, (select 1 / exp((lo + hi) / 2) - sum(w * exp(exp((lo + h
 select c.n, round(exp((lo + hi) / 2), 5) as shape, round(exp(c.top + ln((select sum(exp(exp((lo + hi) / 2) * w)) from w) / c.n) / exp((lo + hi) / 2)), 4) as scale from b, c where i = 48"""
 
 
-@query("fit_weibull", _BISECT.format(x="value", tab="events"))
+@query("fit_weibull", _BISECT.format(x="value", tab="events where value > 0"))
 def _(spark, d):
-    r = fit.fit_weibull(_events(spark, d), "value")
+    r = fit.fit_weibull(_events(spark, d).filter("value > 0"), "value")
     return row(spark, n=r["n"], shape=round(r["shape"], 5), scale=round(r["scale"], 4))
 
 
@@ -161,18 +161,18 @@ def _(spark, d):
     return row(spark, n=r["n"], location=round(r["location"], 2), scale=round(r["scale"], 2))
 
 
-@query("fit_gamma_grouped", """with recursive s as (select event_type, count(*) as n, avg(value) as m, ln(avg(value)) - avg(ln(value)) as g from events group by event_type),
+@query("fit_gamma_grouped", """with recursive s as (select event_type, count(*) as n, avg(value) as m, ln(avg(value)) - avg(ln(value)) as g from events where value > 0 group by event_type),
 b(event_type, i, lo, hi) as (select event_type, 0, ln(0.01::double), ln(1000::double) from s
 union all select event_type, i + 1, case when f > g then (lo + hi) / 2 else lo end, case when f > g then hi else (lo + hi) / 2 end from (
 select b.event_type, i, lo, hi, g, (select ln(k) - (ln(k + 40) - 0.5 / (k + 40) - 1 / (12 * (k + 40) * (k + 40)) + 1 / (120 * pow(k + 40, 4)) - (select sum(1 / (k + j)) from range(0, 40) r(j))) from (select exp((lo + hi) / 2) as k)) as f from b join s using (event_type) where i < 45))
 select event_type, n, round(exp((lo + hi) / 2), 5) as shape, round(m / exp((lo + hi) / 2), 4) as scale from b join s using (event_type) where i = 45""")
 def _(spark, d):
-    return fit.fit_gamma(_events(spark, d), "value", by=["event_type"]).select("event_type", "n", F.round("shape", 5).alias("shape"), F.round("scale", 4).alias("scale"))
+    return fit.fit_gamma(_events(spark, d).filter("value > 0"), "value", by=["event_type"]).select("event_type", "n", F.round("shape", 5).alias("shape"), F.round("scale", 4).alias("scale"))
 
 
-@query("profile_sums", "with w as (select ln(value) - (select max(ln(value)) from events) as w from events) select b::double as b, round(sum(exp(b * w)), 4) as s0, round(sum(w * exp(b * w)), 4) as s1, round(sum(w * w * exp(b * w)), 4) as s2 from w, (values (0.25), (0.5), (1.0), (2.0), (4.0)) v(b) group by b")
+@query("profile_sums", "with w as (select ln(value) - (select max(ln(value)) from events where value > 0) as w from events where value > 0) select b::double as b, round(sum(exp(b * w)), 4) as s0, round(sum(w * exp(b * w)), 4) as s1, round(sum(w * w * exp(b * w)), 4) as s2 from w, (values (0.25), (0.5), (1.0), (2.0), (4.0)) v(b) group by b")
 def _(spark, d):
-    e = _events(spark, d)
+    e = _events(spark, d).filter("value > 0")
     top = e.agg(F.max(F.log("value"))).first()[0]
     grid = [0.25, 0.5, 1.0, 2.0, 4.0]
     s = fit.profile_sums(e, F.log("value") - F.lit(top), grid)
