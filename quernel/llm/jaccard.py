@@ -320,7 +320,8 @@ class Join:
         ``HUBS`` sets of the bucket that visit all blocks, and tells one near
         partner, a hub if there is one: enough to join most of a component.  With
         it, every near pair of different components is told, by the task of its
-        pair of blocks and of the least signature that both sets have.
+        pair of blocks and of the least signature that both sets have under the
+        pair's own scheme, that of the smaller set's band; its sketch alone is exact.
         """
         plan, every = self.plan, root is not None
         many = self.buckets.join(self.large.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "sig")
@@ -339,6 +340,7 @@ class Join:
             cols = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             node, size, group, block = (cols[k].to_numpy() for k in ("node", "n", "root", "own"))
             flat, bound = cols["sigs"].flatten().to_numpy(), cols["sigs"].offsets.to_numpy() - cols["sigs"].offsets[0].as_py()
+            parity = plan.band(size) & 1
             low, high = [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b - a < 2:
@@ -350,12 +352,13 @@ class Join:
                     i = np.flatnonzero(10 * np.minimum(size[a : a + j], size[a + j]) >= 9 * np.maximum(size[a : a + j], size[a + j]))
                     if apart:  # pairs within a block belong to that block's own task
                         i = i[block[a + i] != block[a + j]]
-                    if every:
+                    if every:  # a bucket holds bands k and k + 1; pairs of two sets of band k + 1 belong to the other scheme
                         i = i[group[a + i] != group[a + j]]
+                        i = i if parity[a + j] == sig & 1 else i[parity[a + i] == sig & 1]
                     i = i[(marks[i] != marks[j]).sum(axis=1) <= h] if len(i) else i
                     if every and len(i):
                         mine = flat[bound[a + j] : bound[a + j + 1]]
-                        mine = mine[mine < sig]
+                        mine = mine[(mine < sig) & (mine & 1 == sig & 1)]
                         i = np.array([x for x in i.tolist() if not np.isin(flat[bound[a + x] : bound[a + x + 1]], mine).any()], np.int64)
                     if len(i):
                         i = i if every else i[:1]

@@ -387,6 +387,15 @@ def test_jaccard_components(spark, monkeypatch, small, block):
     assert kept.columns == docs.columns and sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(i for i, (_, c) in got.items() if i == c)
 
 
+@pytest.mark.parametrize("size,tail,pairs", [(40, 1, 500), (57, 2, 500)])
+def test_jaccard_large_buckets(spark, size, tail, pairs):
+    """Pairs that only common passages bring together, in buckets over SMALL and BLOCK; each differs by the most its band allows."""
+    middle = " ".join(f"c{k}" for k in range(size - tail))
+    texts = [f"x{i} {middle} s{i // 2} " + " ".join(f"y{i}z{k}" for k in range(tail)) for i in range(2 * pairs)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(documents(spark, texts)).collect()}
+    assert got == {i: (size, i - i % 2) for i in range(2 * pairs)}
+
+
 def test_jaccard_hard_cases(spark):
     docs = documents(spark, ["one two three four"] * 5).withColumn("doc_id", F.when(F.col("doc_id") < 3, F.col("doc_id")))
     assert sorted(map(tuple, jaccard.join(docs).collect()), key=str) == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (None, 2, 0), (None, 2, 0)]
