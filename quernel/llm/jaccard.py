@@ -44,10 +44,16 @@ from .store import mapped, ship, stash, trim
 
 SHINGLE, SMALL, BLOCK, HUBS, FINE = 3, 32, 512, 8, 4
 SEEN = 1 << 18
+KEY = ("text_hash", "text_hash_2")
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 
 
+def text_key() -> list:
+    """The columns of KEY: two hashes of a row's text."""
+    return [F.xxhash64("text").alias(KEY[0]), F.xxhash64(F.lit(7), "text").alias(KEY[1])]
+
+
 class Plan:
     """Bands and, for each scheme, the largest difference, segments, and how many of these get deletions."""
 
@@ -208,15 +214,17 @@ def _pairs_of(batch: pa.RecordBatch, cuts: np.ndarray):
 class Join:
     """One run: its tables are written once and read by the rounds."""
 
-    def __init__(self, docs: DataFrame):
-        self.docs = docs.select("doc_id", "text")
+    def __init__(self, docs: DataFrame, keyed: bool = False):
+        """``keyed``: ``rows`` also has the text hash of each row, in KEY."""
+        self.docs = docs.select("doc_id", "text", *(text_key() if keyed else []))
+        self.key = list(KEY) if keyed else []
         self.plan = Plan(docs.count())
         self.kind = docs.schema["doc_id"].dataType.simpleString()
         self.index()
 
     def index(self) -> None:
         """``rows`` (doc_id, n, node, check) for each document, ``classes``, and ``buckets`` (sig, node) of shared signatures."""
-        plan, seen = self.plan, set()
+        plan, seen, key = self.plan, set(), self.key
 
         def each(batch):
             data, offs = bs.column(batch.column(1))
@@ -235,9 +243,11 @@ class Join:
                 use = fresh[owner]
                 sig, owner = sig[use], owner[use]
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)), _signed(sig))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), _signed(node), _signed(check), lists], ["doc_id", "n", "node", "check", "sigs"])
+                keys = [batch.column(2 + k).slice(i, j - i) for k in range(len(key))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), _signed(node), _signed(check), lists, *keys], ["doc_id", "n", "node", "check", "sigs", *key])
 
-        self.rows = stash(mapped(self.docs, each, f"doc_id {self.kind}, n bigint, node bigint, check bigint, sigs array<bigint>"), "rows")
+        kinds = "".join(f", {k} bigint" for k in key)
+        self.rows = stash(mapped(self.docs, each, f"doc_id {self.kind}, n bigint, node bigint, check bigint, sigs array<bigint>{kinds}"), "rows")
         classes = self.rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("check").alias("c1"), F.max("check").alias("c2"))
         self.classes = stash(classes, "classes")
         if self.classes.filter("c1 <> c2").limit(1).count():
@@ -396,8 +406,8 @@ class Join:
 
         return mapped(met, each, "a bigint, b bigint")
 
-    def result(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) for each row."""
+    def named(self) -> DataFrame:
+        """(node, component_id, root): the smallest id of each node's component, and the node that stands for it."""
         if self.buckets.limit(1).count():
             self.texts()
             small, marks = stash(self.small_pairs(), "small"), self.marks()
@@ -411,12 +421,15 @@ class Join:
             edges = edges.union(more)
             root = stash(components(edges), "roots")
             least = self.classes.join(root, "node").groupBy("root").agg(F.min("least_id").alias("linked_id"))
-            linked = root.join(least, "root").select("node", "linked_id")
-            named = self.classes.join(linked, "node", "left").select("node", F.coalesce("linked_id", "least_id").alias("component_id"))
+            linked = root.join(least, "root").select("node", "linked_id", "root")
+            named = self.classes.join(linked, "node", "left").select("node", F.coalesce("linked_id", "least_id").alias("component_id"), F.coalesce("root", "node").alias("root"))
         else:
-            named = self.classes.select("node", F.col("least_id").alias("component_id"))
-        named = stash(named, "named")
-        words = self.rows.filter("n > 0").select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+            named = self.classes.select("node", F.col("least_id").alias("component_id"), F.col("node").alias("root"))
+        return stash(named, "named")
+
+    def result(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) for each row."""
+        words = self.rows.filter("n > 0").select("doc_id", "n", "node").join(self.named(), "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         return words.union(self.rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
@@ -426,12 +439,25 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component; of rows with one id and linked texts, one.  Rows without doc_id stay."""
-    parts = stash(join(docs), "parts")
-    gone = stash(parts.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    again = stash(parts.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, that of the least (doc_id, text hash); ids come before none.  Rows without words stay."""
+    run = Join(docs, keyed=True)
+    root = run.named().select("node", "root")
+    own = run.rows.filter("n > 0").select("node", "doc_id", *KEY).join(root, "node")
+    own = stash(own.groupBy("root", "doc_id", *KEY).agg(F.count("*").alias("copies")), "own")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)
+    best = own.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("rivals"))
+    # Components of one row, nearly all, need no join back.
+    crowded = stash(best.filter("rivals > 1").select("root", "best"), "crowded")
+    gone = stash(own.join(crowded, "root").filter(order != F.col("best")).select("doc_id", *KEY), "gone")
+    again = stash(own.filter("copies > 1").select("doc_id", *KEY), "again")
+    hashed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), *[h.alias(f"_{k}") for h, k in zip(text_key(), KEY, strict=True)])
+
+    def met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        named = keys.toDF("id", *KEY)
+        return rows.join(named, F.col("_id").eqNullSafe(named["id"]) & (F.col(f"_{KEY[0]}") == named[KEY[0]]) & (F.col(f"_{KEY[1]}") == named[KEY[1]]), how)
+
+    kept = met(hashed, gone, "left_anti")
     if again.limit(1).count():
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
-    return kept
+        once = met(kept, again, "left_semi").dropDuplicates(["_id", *[f"_{k}" for k in KEY]])
+        kept = met(kept, again, "left_anti").unionByName(once)
+    return kept.select("_row.*")

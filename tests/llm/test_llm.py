@@ -404,6 +404,15 @@ def test_jaccard_hard_cases(spark):
     assert jaccard.one_of_each(twice).count() == 1
 
 
+def test_one_of_each_decides_by_row(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(4, a), (4, b), (3, a + " more"), (None, b), (None, c), (None, c), (5, c + " more"), (None, "x y z v"), (None, "x y z v"), (7, ""), (7, ""), (None, None), (8, "p q r s"), (8, "p q r s"), (8, "other words of this id")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node int")
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()]
+    want = [(3, a + " more"), (4, b), (5, c + " more"), (None, "x y z v"), (7, ""), (7, ""), (None, None), (8, "p q r s"), (8, "other words of this id")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_deletions_find_single_differences():
     plan = jaccard.Plan(10**9)
     assert plan.deleted[:12].max() > 0
