@@ -52,20 +52,38 @@ def _is(kind: Column, value: Column) -> Column:
     )
 
 
+def with_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
+    """``messages`` with ``calls``, an array of (raw, call_id, name, arguments, valid, errors) made within the row; null for other roles."""
+    known = tools.agg(F.collect_list(F.struct("tool", "params")).alias("_tools"))
+
+    def read(raw: Column) -> Column:
+        v = F.try_parse_json(raw)
+        text = lambda n: F.try_variant_get(v, f"$.{n}", "string").alias(n)
+        return F.struct(raw.alias("raw"), text("id"), text("name"), F.to_json(F.try_variant_get(v, "$.arguments", "variant")).alias("arguments"))
+
+    def met(c: Column) -> Column:
+        params = F.get(F.filter("_tools", lambda t: t["tool"] == c["name"]), 0)["params"]
+        return F.struct(*[c[n].alias(n) for n in ("raw", "id", "name", "arguments")], F.from_json(c["arguments"], "map<string,variant>").alias("given"), params.alias("params"))
+
+    def judged(c: Column) -> Column:
+        given, params = c["given"], c["params"]
+        missing = F.transform(F.filter(params, lambda p: p["required"] & ~F.array_contains(F.map_keys(given), p["name"])), lambda p: F.concat(F.lit("missing "), p["name"]))
+        unknown = F.transform(F.array_sort(F.array_except(F.map_keys(given), F.transform(params, lambda p: p["name"]))), lambda n: F.concat(F.lit("unknown "), n))
+        wrong = F.transform(F.filter(params, lambda p: F.array_contains(F.map_keys(given), p["name"]) & ~F.coalesce(_is(p["type"], given[p["name"]]), F.lit(False))), lambda p: F.concat(F.lit("type "), p["name"]))
+        errors = F.when(c["id"].isNull() | c["name"].isNull(), F.array(F.lit("unreadable"))).when(params.isNull(), F.array(F.lit("no such tool"))).when(given.isNull(), F.array(F.lit("no arguments"))).otherwise(F.concat(missing, unknown, wrong))
+        return F.struct(c["raw"].alias("raw"), c["id"].alias("call_id"), c["name"].alias("name"), c["arguments"].alias("arguments"), errors.alias("errors"))
+
+    found = F.when(F.col("role") == "assistant", F.regexp_extract_all("text", F.lit(CALL), F.lit(1)))
+    done = F.transform(F.transform(F.transform(found, read), met), judged)
+    calls = F.transform(done, lambda c: F.struct(*[c[n].alias(n) for n in ("raw", "call_id", "name", "arguments")], (F.size(c["errors"]) == 0).alias("valid"), c["errors"].alias("errors")))
+    return messages.crossJoin(F.broadcast(known)).withColumn("calls", calls).drop("_tools")  # one row of tools
+
+
 def calls_of(messages: DataFrame, tools: DataFrame) -> DataFrame:
     """(conv_id, turn, k, call_id, name, arguments, valid, errors) of each call in assistant texts."""
-    found = messages.filter(F.col("role") == "assistant").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("k", "raw"))
-    read = found.withColumn("v", F.try_parse_json("raw"))
-    read = read.select("conv_id", "turn", "k", *[F.try_variant_get("v", f"$.{n}", "string").alias(a) for n, a in (("id", "call_id"), ("name", "name"))], F.try_variant_get("v", "$.arguments", "variant").alias("args"))
-    read = read.withColumn("arguments", F.to_json("args"))
-    read = read.withColumn("given", F.from_json("arguments", "map<string,variant>")).drop("args")
-    met = read.join(tools, F.col("name") == F.col("tool"), "left")
-    names = F.transform("params", lambda p: p["name"])
-    missing = F.transform(F.filter("params", lambda p: p["required"] & ~F.array_contains(F.map_keys("given"), p["name"])), lambda p: F.concat(F.lit("missing "), p["name"]))
-    unknown = F.transform(F.array_sort(F.array_except(F.map_keys("given"), names)), lambda n: F.concat(F.lit("unknown "), n))
-    wrong = F.transform(F.filter("params", lambda p: F.array_contains(F.map_keys("given"), p["name"]) & ~F.coalesce(_is(p["type"], F.col("given")[p["name"]]), F.lit(False))), lambda p: F.concat(F.lit("type "), p["name"]))
-    errors = F.when(F.col("call_id").isNull() | F.col("name").isNull(), F.array(F.lit("unreadable"))).when(F.col("tool").isNull(), F.array(F.lit("no such tool"))).when(F.col("given").isNull(), F.array(F.lit("no arguments"))).otherwise(F.concat(missing, unknown, wrong))
-    return met.withColumn("errors", errors).select("conv_id", "turn", "k", "call_id", "name", "arguments", (F.size("errors") == 0).alias("valid"), "errors")
+    own = messages.filter((F.col("role") == "assistant") & F.col("text").contains("<tool_call>")).select("conv_id", "turn", "role", "text")
+    each = with_calls(own, tools).select("conv_id", "turn", F.posexplode("calls").alias("k", "c"))
+    return each.select("conv_id", "turn", "k", *[f"c.{n}" for n in ("call_id", "name", "arguments", "valid", "errors")])
 
 
 def link(messages: DataFrame, tools: DataFrame) -> DataFrame:
@@ -85,12 +103,11 @@ def link(messages: DataFrame, tools: DataFrame) -> DataFrame:
     moved = F.greatest("turn", "call_turn")
     linked = linked.select("conv_id", "turn", "role", "content", state.alias("state"), "call_id", "call_turn", moved.alias("order_turn"), F.when(F.col("call_turn") >= F.col("turn"), 1).otherwise(0).alias("order_phase"), F.coalesce("order_call", F.lit(0)).alias("order_call"), F.lit(0).alias("n_calls"), F.lit(0).alias("n_valid"), F.lit(None).cast("array<struct<arguments:string,errors:array<string>,id:string,name:string,valid:boolean>>").alias("tool_calls"))
 
-    # Calls that come from one message go back to it by its key; only messages with a call mark take part.
+    # Only messages with a call mark take part; their calls are made within the row, so no key has to tell messages apart.
     marked = F.coalesce((F.col("role") == "assistant") & F.col("text").contains("<tool_call>"), F.lit(False))
-    listed = calls.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set(F.struct("k", "arguments", "errors", F.col("call_id").alias("id"), "name", "valid"))).alias("c"))
-    listed = listed.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.transform("c", lambda x: F.struct(x["arguments"].alias("arguments"), x["errors"].alias("errors"), x["id"].alias("id"), x["name"].alias("name"), x["valid"].alias("valid"))).alias("tool_calls"))
+    talk = with_calls(own.filter(~is_result & marked), tools)
+    talk = talk.withColumn("tool_calls", F.transform("calls", lambda x: F.struct(x["arguments"].alias("arguments"), x["errors"].alias("errors"), x["call_id"].alias("id"), x["name"].alias("name"), x["valid"].alias("valid"))))
     cleaned = F.trim(F.regexp_replace("text", CALL, ""))
-    talk = own.filter(~is_result & marked).join(listed.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")), "left")
     plain = ["conv_id", "turn", "role"]
     place = [F.lit(None).cast("string").alias("call_id"), F.lit(None).cast(messages.schema["turn"].dataType).alias("call_turn"), F.col("turn").alias("order_turn"), F.lit(0).alias("order_phase"), F.lit(0).alias("order_call")]
     talk = talk.select(*plain, cleaned.alias("content"), F.lit("call").alias("state"), *place, F.coalesce(F.size("tool_calls"), F.lit(0)).alias("n_calls"), F.size(F.filter(F.coalesce("tool_calls", F.array().cast(linked.schema["tool_calls"].dataType)), lambda x: x["valid"])).alias("n_valid"), "tool_calls")

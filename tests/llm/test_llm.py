@@ -340,6 +340,14 @@ def test_tool_chat(spark):
     assert len(got) == len(rows) and toolchat.link(m.limit(0), toolchat.tool_table(spark)).count() == 0
 
 
+def test_tool_chat_calls_stay_with_their_rows(spark):
+    call = lambda i: '<tool_call>{"name":"search","id":"%s","arguments":{"query":"q"}}</tool_call>' % i
+    rows = [(None, 1, "assistant", call("a")), (None, 1, "assistant", call("b") + call("c")), (7, 2, "assistant", call("d")), (7, 2, "assistant", "x " + call("e")), (None, 2, "assistant", call("f")), (None, 2, "assistant", call("f"))]
+    got = toolchat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), toolchat.tool_table(spark)).collect()
+    ids = sorted([c["id"] for c in json.loads(r["line"])["tool_calls"]] for r in got)
+    assert ids == [["a"], ["b", "c"], ["d"], ["e"], ["f"], ["f"]] and sorted(r["n_calls"] for r in got) == [1, 1, 1, 1, 1, 2]
+
+
 # 9
 
 
