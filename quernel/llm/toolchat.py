@@ -107,7 +107,11 @@ def link(messages: DataFrame, tools: DataFrame) -> DataFrame:
     marked = F.coalesce((F.col("role") == "assistant") & F.col("text").contains("<tool_call>"), F.lit(False))
     talk = with_calls(own.filter(~is_result & marked), tools)
     talk = talk.withColumn("tool_calls", F.transform("calls", lambda x: F.struct(x["arguments"].alias("arguments"), x["errors"].alias("errors"), x["call_id"].alias("id"), x["name"].alias("name"), x["valid"].alias("valid"))))
-    cleaned = F.trim(F.regexp_replace("text", CALL, ""))
+    # Texts between calls and, where a call was not read, the call as it stands.
+    between = F.split("text", CALL, -1)
+    unread = lambda c: F.when(c["call_id"].isNull() | c["name"].isNull(), F.concat(F.lit("<tool_call>"), c["raw"], F.lit("</tool_call>"))).otherwise("")
+    talk = talk.withColumn("between", between)
+    cleaned = F.trim(F.concat(F.get("between", F.lit(0)), F.array_join(F.transform("calls", lambda c, k: F.concat(unread(c), F.get("between", k + 1))), "")))
     plain = ["conv_id", "turn", "role"]
     place = [F.lit(None).cast("string").alias("call_id"), F.lit(None).cast(messages.schema["turn"].dataType).alias("call_turn"), F.col("turn").alias("order_turn"), F.lit(0).alias("order_phase"), F.lit(0).alias("order_call")]
     talk = talk.select(*plain, cleaned.alias("content"), F.lit("call").alias("state"), *place, F.coalesce(F.size("tool_calls"), F.lit(0)).alias("n_calls"), F.size(F.filter(F.coalesce("tool_calls", F.array().cast(linked.schema["tool_calls"].dataType)), lambda x: x["valid"])).alias("n_valid"), "tool_calls")

@@ -348,6 +348,14 @@ def test_tool_chat_calls_stay_with_their_rows(spark):
     assert ids == [["a"], ["b", "c"], ["d"], ["e"], ["f"], ["f"]] and sorted(r["n_calls"] for r in got) == [1, 1, 1, 1, 1, 2]
 
 
+def test_tool_chat_keeps_unreadable_calls(spark):
+    good = '<tool_call>{"name":"search","id":"a","arguments":{"query":"q"}}</tool_call>'
+    texts = [f"one {good} two <tool_call>{{bad $1\n</tool_call>{good} three", "<tool_call></tool_call>", '<tool_call>{"id":"a"}</tool_call> x', good, f"{good}{good}", "<tool_call>open"]
+    rows = [(1, k, "assistant", t) for k, t in enumerate(texts)]
+    got = toolchat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), toolchat.tool_table(spark)).collect()
+    assert {r["turn"]: json.loads(r["line"])["content"] for r in got} == {k: t.replace(good, "").strip() for k, t in enumerate(texts)}
+
+
 # 9
 
 
