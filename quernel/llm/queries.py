@@ -52,7 +52,7 @@ def op6_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without sentences of passages that occurred before."""
-    return spandedup.deduplicate(_table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+    return spandedup.deduplicate(_table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "removed", "cut_words", "text")
 
 
 def op8_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,13 @@ From every sentence, the shortest run of at least ``RUN`` sentences and
 smallest doc_id of each; in all other documents, and for later runs of the same
 document, the sentences that a repeated run covers are removed.
 
+Where cuts are rare, a passage may hold no whole run of sentences.  So, of every
+``WINDOW`` runs of ``WORDS`` words side by side, wherever they start, the one of
+least hash takes part too.  The choice depends on the words of the window alone,
+so any two texts that share ``WORDS + WINDOW - 1`` = 50 words share such a run.  Its
+words are removed even where they are no whole sentences; ends of a passage of
+up to ``WINDOW - 1`` words can stay.
+
 Hashes that occur in one document only, nearly all, are dropped before the join
 back by a bitmap of bounded size.  Aggregation needs two numbers for a hash,
 however many documents share it, and the join by hash is one that Spark can
@@ -15,6 +22,8 @@ split.
 
 Defined results: letters compare without ASCII case and white space as one
 space; null texts stay null; texts of fewer words than a run are left alone;
+n_removed and removed count the sentences of repeated runs of sentences, and
+cut_words the words removed besides;
 rows that share a doc_id are one document, and so are those without one, which
 come first; other columns are kept by ``deduplicate``.
 """
@@ -31,19 +40,42 @@ from . import bytescan as bs
 from .bits import bitmap, inside
 from .store import mapped, stash
 
-RUN, WORDS, PICK = 3, 28, 8
+RUN, WORDS, PICK, WINDOW = 3, 28, 8, 23
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?,;:|"]] = True
 _U = np.uint64
 
 
-def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sentence starts (bytes), each text's first sentence, and of each run its hash, first sentence and end (sentences)."""
+def _slide(pick, x: np.ndarray, k: int) -> np.ndarray:
+    """``pick`` (minimum or maximum) of each k values side by side."""
+    if len(x) < k:
+        return x[:0]
+    size = 1
+    while 2 * size <= k:
+        x = pick(x[:-size], x[size:])
+        size *= 2
+    return pick(x[: len(x) - (k - size)], x[k - size :])
+
+
+def chosen(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of those runs of ``WORDS`` words that are the least of a window."""
+    h, at = bs.runs(words, first, WORDS)
+    least = _slide(np.minimum, h, WINDOW)
+    if not len(least):
+        return h[:0], at[:0]
+    least[at[WINDOW - 1 :] - at[: len(least)] != WINDOW - 1] = 0  # windows that reach into another text
+    edge = np.zeros(WINDOW - 1, _U)
+    use = np.flatnonzero(_slide(np.maximum, np.concatenate([edge, least, edge]), WINDOW) == h)
+    return h[use], at[use]
+
+
+def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sentence starts (words), each text's first sentence, of each run its hash, first sentence and end (sentences), word starts (bytes), each text's first word, and hash and first word of each chosen run of words."""
     words, s, e, first = bs.scan(data, offs, bs.SPACED)
     n = len(words)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, np.zeros(len(offs), np.int64), np.zeros(0, _U), none, none
+        return none, np.zeros(len(offs), np.int64), np.zeros(0, _U), none, none, none, np.zeros(len(offs), np.int64), np.zeros(0, _U), none
     lines = np.concatenate([[0], np.cumsum(data == 0x0A)])
     cut = _STOPS[data[e - 1]] | (words % _U(PICK) == 0)
     cut[:-1] |= lines[s[1:]] > lines[e[:-1]]
@@ -67,7 +99,7 @@ def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         power, inverse = bs._power("up", bs._BASE, len(part)), bs._power("down", bs._INVERSE, len(part) + 1)
         total = np.concatenate([np.zeros(1, _U), np.cumsum(part * power, dtype=_U)])
         out[a : a + step] = bs.mix((total[stop[q] - low] - total[at[p] - low]) * inverse[at[p] - low] + (stop[q] - at[p]).astype(_U))
-    return s[at], np.searchsorted(at, first), out, i, j + 1
+    return at, np.searchsorted(at, first), out, i, j + 1, s, first, *chosen(words, first)
 
 
 def _key():
@@ -79,8 +111,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     def each(batch):
         data, offs = bs.column(batch.column(1))
         for i, j in bs.slices(offs):
-            _, first, h, at, _ = runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            who = np.searchsorted(first, at, "right") - 1
+            _, first, h, at, _, _, start, wh, wat = runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            who = np.concatenate([np.searchsorted(first, at, "right"), np.searchsorted(start, wat, "right")]) - 1
+            order = np.argsort(who, kind="stable")
+            h, who = np.concatenate([h, wh])[order], who[order]
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(j - i + 1)).astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["key", "hashes"])
 
@@ -100,10 +134,33 @@ def repeated(docs: DataFrame) -> DataFrame:
     return stash(seen.groupBy("key").agg(F.collect_set("h").alias("hashes")), "repeated")
 
 
+def again(own: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """Which hashes stand before in the same document or are among the known ones."""
+    bad = np.zeros(len(own), bool)
+    if len(own) > 1:
+        _, once = np.unique(own, return_index=True)
+        bad[:] = True
+        bad[once] = False
+    return bad if known is None else bad | np.isin(own, known)
+
+
+def covered(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the ranges."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, low, 1)
+    np.add.at(edge, high, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def spans_of(drop: np.ndarray) -> np.ndarray:
+    """(first, end) of each stretch."""
+    return np.flatnonzero(np.diff(np.concatenate([[False], drop, [False]]).astype(np.int8))).reshape(-1, 2)
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, texts without repeated sentences, with n_sentences, n_removed and removed (first, end) sentences."""
+    """The rows of ``docs``, texts without repeated passages, with n_sentences, n_removed, removed (first, end) sentences and cut_words."""
     seen = repeated(docs).select(F.col("key").alias("_key"), F.col("hashes").alias("_hashes"))
-    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed")]
+    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed", "cut_words")]
     rows = docs.select(*names).join(seen, _key() == F.col("_key"), "left").select(*names, "_hashes")
     text = names.index("text")
 
@@ -111,44 +168,39 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         for i, j in bs.slices(bs.column(batch.column(text))[1]):
             part = batch.slice(i, j - i)
             data, offs = bs.column(part.column(text))
-            begin, first, h, at, end = runs(data, offs)
+            begin, first, h, at, end, places, start, wh, wat = runs(data, offs)
             known = part.column(len(names))
-            texts, counts, gone, spans = [], np.diff(first), np.zeros(j - i, np.int64), []
-            bounds = np.searchsorted(at, first)
+            texts, counts, gone, spans, more = [], np.diff(first), np.zeros(j - i, np.int64), [], np.zeros(j - i, np.int64)
+            bounds, wbounds = np.searchsorted(at, first), np.searchsorted(wat, start)
             for r in range(j - i):
                 a, b = bounds[r], bounds[r + 1]
-                own = h[a:b]
-                bad = np.zeros(b - a, bool)
-                if b - a > 1:
-                    _, once = np.unique(own, return_index=True)
-                    bad[:] = True
-                    bad[once] = False
+                c, d = wbounds[r], wbounds[r + 1]
                 hashes = known[r].values
-                if hashes is not None and len(hashes):
-                    bad |= np.isin(own, hashes.to_numpy().view(np.uint64))
-                if not bad.any():
+                hashes = hashes.to_numpy().view(np.uint64) if hashes is not None and len(hashes) else None
+                bad, wbad = again(h[a:b], hashes), again(wh[c:d], hashes)
+                if not bad.any() and not wbad.any():
                     texts.append(None)
                     spans.append([])
                     continue
-                low, size = first[r], counts[r]
-                edge = np.zeros(size + 1, np.int64)
-                np.add.at(edge, at[a:b][bad] - low, 1)
-                np.add.at(edge, end[a:b][bad] - low, -1)
-                drop = np.cumsum(edge[:-1]) > 0
-                change = np.flatnonzero(np.diff(np.concatenate([[False], drop, [False]]).astype(np.int8)))
-                spans.append([{"first": int(x), "end": int(y)} for x, y in change.reshape(-1, 2)])
-                gone[r] = drop.sum()
-                places = np.append(begin[low : low + size], offs[r + 1])
+                low, size, base, n = first[r], counts[r], start[r], start[r + 1] - start[r]
+                sentences = spans_of(covered(at[a:b][bad] - low, end[a:b][bad] - low, size))
+                spans.append([{"first": int(x), "end": int(y)} for x, y in sentences])
+                gone[r] = (sentences[:, 1] - sentences[:, 0]).sum()
+                bound = np.append(begin[low : low + size] - base, n)
+                whole = covered(bound[sentences[:, 0]], bound[sentences[:, 1]], n)
+                drop = whole | covered(wat[c:d][wbad] - base, wat[c:d][wbad] - base + WORDS, n)
+                more[r] = (drop & ~whole).sum()
+                place = np.append(places[base : base + n], offs[r + 1])
                 kept, cursor = [], int(offs[r])
-                for x, y in change.reshape(-1, 2).tolist():
-                    kept.append(data[cursor : places[x]].tobytes())
-                    cursor = int(places[y])
+                for x, y in spans_of(drop).tolist():
+                    kept.append(data[cursor : place[x]].tobytes())
+                    cursor = int(place[y])
                 kept.append(data[cursor : offs[r + 1]].tobytes())
                 texts.append(b"".join(kept).decode())
             changed = pa.array(texts, part.column(text).type)
             columns = part.columns[: len(names)]
             columns[text] = pa.compute.coalesce(changed, columns[text])
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.astype(np.int64)), pa.array(gone), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))], [*names, "n_sentences", "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.astype(np.int64)), pa.array(gone), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), pa.array(more)], [*names, "n_sentences", "n_removed", "removed", "cut_words"])
 
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return mapped(rows, each, f"{schema}, n_sentences bigint, n_removed bigint, removed array<struct<first:int,end:int>>")
+    return mapped(rows, each, f"{schema}, n_sentences bigint, n_removed bigint, removed array<struct<first:int,end:int>>, cut_words bigint")

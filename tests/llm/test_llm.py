@@ -319,6 +319,27 @@ def test_span_dedup(spark):
     assert spandedup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_span_dedup_without_stops(spark):
+    """Passages of 51 words without a cut, at all offsets in their texts."""
+    vocab = [f"v{k}" for k in range(4000)]
+    data = np.frombuffer("".join(vocab).encode(), np.uint8)
+    ends = np.cumsum([len(v) for v in vocab])
+    vocab = np.array(vocab)[bytescan.hashes(data, np.append(0, ends[:-1]), ends) % np.uint64(spandedup.PICK) != 0]
+    rng = np.random.default_rng(5)
+    some = lambda n: list(rng.choice(vocab, n))
+    first, second = [], []
+    for k in range(80):
+        shared = some(51)
+        first.append(" ".join(some(30) + shared + some(30)))
+        second.append((some(k), shared, some(60 - k % 60)))
+    docs = documents(spark, first + [" ".join(a + b + c) for a, b, c in second])
+    out = {r["doc_id"]: r for r in spandedup.deduplicate(docs).collect()}
+    for k, (a, b, c) in enumerate(second):
+        left = out[80 + k]["text"].split()
+        assert 28 <= out[80 + k]["cut_words"] == 51 + len(a) + len(c) - len(left) <= 51
+        assert left[: len(a)] == a and left[len(left) - len(c) :] == c and out[k]["text"] == first[k]
+
+
 # 8
 
 
