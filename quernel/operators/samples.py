@@ -318,7 +318,9 @@ def normal_posterior(df: DataFrame, value: str, prior_mean: float, prior_var: fl
 def mixture_step(df: DataFrame, value: str, parts: Sequence[tuple[float, float, float]]) -> DataFrame:
     """(component, weight, mu, sigma) after one EM step from (weight, mu, sigma) of each component, in one aggregation."""
     x = F.col(value).cast("double")
-    dens = [F.lit(w) * F.exp(column("normal", "logpdf", x, m, s)) for w, m, s in parts]
+    logs = [F.lit(math.log(w) if w > 0 else -math.inf) + column("normal", "logpdf", x, m, s) for w, m, s in parts]
+    most = F.array_max(F.array(*logs))  # far out all densities are 0, their ratios are not
+    dens = [F.exp(v - most) for v in logs]
     total = sum(dens[1:], dens[0])
     r = [d / total for d in dens]
     aggs = [e for k, v in enumerate(r) for e in (F.sum(v).alias(f"r{k}"), F.sum(v * x).alias(f"m{k}"), F.sum(v * x * x).alias(f"q{k}"))]

@@ -199,6 +199,16 @@ def test_kaplan_meier_counts_those_censored_between(spark):
     assert got == [(1.0, 4, 0.75), (3.0, 2, 0.375), (4.0, 1, 0.0)]
 
 
+def test_mixture_step_far_out(spark):
+    x = np.array([0.0, 100.0, 2000.0, 5000.0])
+    parts = [(0.5, 20.0, 15.0), (0.5, 90.0, 40.0)]
+    logs = np.array([np.log(w / s) - 0.5 * ((x - m) / s) ** 2 for w, m, s in parts])
+    r = np.exp(logs - logs.max(axis=0))
+    r /= r.sum(axis=0)
+    got = samples.mixture_step(frame(spark, x), "x", parts).orderBy("component").collect()
+    assert np.allclose([(g["weight"], g["mu"]) for g in got], np.stack([r.mean(axis=1), (r * x).sum(axis=1) / r.sum(axis=1)], axis=1))
+
+
 def test_mixture(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(0, 1, 500), rng.normal(10, 2, 500)])

@@ -1,6 +1,9 @@
 """Each catalogued query with SQL gives the rows that DuckDB gives."""
 
+import math
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from quernel.plans import catalog
@@ -34,6 +37,31 @@ def test_query(spark, sf, duck, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=2e-6)
 
 
+@pytest.mark.parametrize("name", ["normal", "gamma"])
+def test_functions_of_every_event(spark, sf, name):
+    """Far values too, against closed forms."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value").collect()
+    got = {r["event_id"]: r for r in catalog.QUERIES[f"functions_{name}_whole"](spark, sf).collect()}
+    assert len(got) == sum(name == "normal" or r["value"] > 0 for r in rows) and max(r["value"] for r in rows) > 200
+    for i, v in rows:
+        if i in got and name == "normal":
+            want = 0.5 * math.erfc((50 - v) / 50 / math.sqrt(2)), -0.5 * ((v - 50) / 50) ** 2 - math.log(50) - 0.5 * math.log(2 * math.pi)
+        elif i in got:
+            y = v / 20
+            want = math.erf(math.sqrt(y)) - math.exp(-y) * (math.sqrt(y) / math.gamma(1.5) + y**1.5 / math.gamma(2.5)), 1.5 * math.log(y) - y - math.lgamma(2.5) - math.log(20)
+        else:
+            continue
+        assert abs(got[i]["cdf"] - want[0]) < 2e-8 and abs(got[i]["logpdf"] - want[1]) < 2e-8
+
+
+def test_monte_carlo_takes_the_whole_table(spark, sf):
+    x = np.sort([r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("value").collect()])
+    p, n = 1 - np.exp(-x / x.mean()), len(x)
+    ks = max((np.arange(1, n + 1) / n - p).max(), (p - np.arange(n) / n).max())
+    got = {r["statistic"]: r["value"] for r in catalog.QUERIES["monte_carlo_gof"](spark, sf).collect()}
+    assert abs(got["ks"] - ks) < 1e-7
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
