@@ -407,6 +407,13 @@ def _(spark, d):
     return samples.adequate_best(c)
 
 
+@query("adequacy_gate_fitted")
+def _(spark, d):
+    """The gate on families fitted to all events."""
+    rows, _ = assess.assess(_events(spark, d).filter("value > 0"), "value", ["exponential", "normal", "lognormal", "weibull"], 40, seed=1)
+    return samples.adequate_best(rows).select("code", "family", F.round("aic", 4).alias("aic"))
+
+
 @query("suggest_families")
 def _(spark, d):
     return samples.suggest(_events(spark, d), "value")

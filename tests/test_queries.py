@@ -62,6 +62,13 @@ def test_monte_carlo_takes_the_whole_table(spark, sf):
     assert abs(got["ks"] - ks) < 1e-7
 
 
+def test_gate_on_fitted_families(spark, sf):
+    rows = catalog.QUERIES["assess_families"](spark, sf).collect()
+    good = sorted((r["aic"], r["family"]) for r in rows if r["p_value"] is not None and r["p_value"] >= 0.05)
+    got = catalog.QUERIES["adequacy_gate_fitted"](spark, sf).first()
+    assert len(rows) == 4 and tuple(got) == (("OK", good[0][1], good[0][0]) if good else ("NONE_ADEQUATE", None, None))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
