@@ -5,14 +5,21 @@ leading space, spaces become U+2581, and neighbouring symbols whose
 concatenation is a piece merge in order of score, leftmost first.  No piece has
 U+2581 after another character, so runs of spaces with the word behind them are
 independent pre-tokens.  Distinct pre-tokens of a batch are held as one ragged
-array of symbols.  In each round every pre-token merges its own pair of lowest
-rank; rounds end when none has a pair left.  The symbols that survive are
-counted: one token for a piece, one for each UTF-8 byte of a character that is
-no piece.  Pre-tokens of over ``LONG`` symbols, for which one merge a round is
-slow, go through a heap of pairs in the same order.
+array of symbols.  In each round every pre-token merges all pairs of its own
+lowest rank that don't overlap, from the left; of a piece that could take part in
+a pair of no higher rank than its own, only the leftmost, since merging that one
+may come before the rest.  Rounds end when none has a pair left.  The symbols
+that survive are counted: one token for a piece, one for each UTF-8 byte of a
+character that is no piece.
+
+Words of any language end within ``ROUNDS`` rounds.  What is left then, such as a
+megabyte without a space, has merges that wait for each other one by one; its
+symbols finish in the same order through a heap of pairs, in time n log n.
 
 Defined results: null and empty texts have 0 tokens; special strings in a text
-are plain characters; rows that repeat stay; other columns are ignored.
+are plain characters; texts and words may have any length; doc_id may have any
+type and be null; rows that repeat stay; an empty table gives none; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 from . import bytescan as bs
 from .store import mapped
 
-LONG, CACHE = 192, 1 << 20
+ROUNDS, CACHE = 64, 1 << 20
 SPACE = "▁"
 NONE = np.int64(1 << 62)
 
@@ -57,7 +64,13 @@ class Merger:
         self._also_unknown(pieces)
         pairs.sort()
         self.keys, self.ranks, self.made = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        own = np.full(n, NONE)
+        own[self.made] = self.ranks
         self.table = {k: (r, m) for k, r, m in pairs}
+        self.early = np.zeros(n, bool)
+        for side in (self.keys // n, self.keys % n):
+            part = (own[side] < NONE) & (self.ranks <= own[side])
+            self.early[side[part]] = True
         self.reset()
 
     def _also_unknown(self, pieces: dict[int, str]) -> None:
@@ -78,14 +91,8 @@ class Merger:
         """Tokens of each pre-token."""
         rows = [self.symbols(t) for t in texts]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        out = np.zeros(len(rows), np.int64)
-        for r in np.flatnonzero(sizes > LONG).tolist():
-            out[r] = self._by_heap(rows[r])
-        short = np.flatnonzero(sizes <= LONG)
-        if len(short):
-            flat = np.fromiter((s for r in short.tolist() for s in rows[r]), np.int64, int(sizes[short].sum()))
-            out[short] = self._by_rounds(flat, sizes[short])
-        return out
+        flat = np.fromiter((s for r in rows for s in r), np.int64, int(sizes.sum()))
+        return self._merged(flat, sizes)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and made piece of each pair; NONE where they don't merge."""
@@ -94,7 +101,18 @@ class Merger:
         hit = self.keys[at] == key
         return np.where(hit, self.ranks[at], NONE), self.made[at]
 
-    def _by_rounds(self, sym: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def _chosen(self, at: np.ndarray, after: np.ndarray, seq: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """Of places of lowest rank (each with the next symbol, its sequence and the piece it makes), those to merge now."""
+        change = np.ones(len(at), bool)
+        change[1:] = after[:-1] != at[1:]
+        run = np.maximum.accumulate(np.where(change, np.arange(len(at)), 0))
+        take = (np.arange(len(at)) - run) % 2 == 0  # of a row of overlapping pairs, every other one
+        first = np.ones(len(at), bool)
+        first[1:] = seq[1:] != seq[:-1]
+        wait = np.repeat(self.early[made[first]], np.diff(np.append(np.flatnonzero(first), len(at))))
+        return np.flatnonzero(np.where(wait, first, take))
+
+    def _merged(self, sym: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         total = np.zeros(len(sizes), np.int64)
         seq = np.repeat(np.arange(len(sizes)), sizes)
         rank, made = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
@@ -102,24 +120,23 @@ class Merger:
             same = seq[1:] == seq[:-1]
             r, m = self.lookup(sym[:-1], sym[1:])
             rank[:-1], made[:-1] = np.where(same, r, NONE), m
-        while len(sym):
+        for _ in range(ROUNDS):
+            if not len(sym):
+                return total
             first = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
             best = np.minimum.reduceat(rank, first)
             length = np.diff(np.append(first, len(sym)))
             over = best == NONE
             if over.any():
                 done = np.repeat(over, length)
-                cost = np.where(sym[done] < 0, -sym[done], 1)
-                np.add.at(total, seq[done], cost)
+                np.add.at(total, seq[done], np.where(sym[done] < 0, -sym[done], 1))
                 keep = ~done
                 sym, seq, rank, made = sym[keep], seq[keep], rank[keep], made[keep]
                 if not len(sym):
-                    break
+                    return total
                 best, length = best[~over], length[~over]
-                first = np.cumsum(length) - length
             at = np.flatnonzero(rank == np.repeat(best, length))
-            owner = seq[at]
-            at = at[np.concatenate([[True], owner[1:] != owner[:-1]])]  # the leftmost of equal ranks
+            at = at[self._chosen(at, at + 1, seq[at], made[at])]
             sym[at] = made[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
@@ -131,9 +148,13 @@ class Merger:
                 r, m = self.lookup(sym[place], sym[right])
                 rank[place] = np.where((right > place) & (seq[place] == seq[right]), r, NONE)
                 made[place] = m
+        for part in np.split(np.arange(len(sym)), np.flatnonzero(seq[1:] != seq[:-1]) + 1):
+            if len(part):
+                total[seq[part[0]]] += self._finish(sym[part].tolist())
         return total
 
-    def _by_heap(self, sym: list[int]) -> int:
+    def _finish(self, sym: list[int]) -> int:
+        """Tokens of one sequence, by single merges in order of rank and place."""
         n, size, table = len(sym), self.size, self.table
         after, before, heap = [*range(1, n), -1], [-1, *range(n - 1)], []
 
