@@ -377,6 +377,140 @@ def test_tool_chat_keeps_unreadable_calls(spark):
     assert {r["turn"]: json.loads(r["line"])["content"] for r in got} == {k: t.replace(good, "").strip() for k, t in enumerate(texts)}
 
 
+def brute_problems(schema, v, path=""):
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    number = isinstance(v, (int, float)) and not isinstance(v, bool)
+    whole = number and float(v).is_integer() and "e" not in repr(v)
+    fits = {"string": isinstance(v, str), "integer": whole, "number": number, "boolean": isinstance(v, bool), "array": isinstance(v, list), "object": isinstance(v, dict), "null": v is None}
+    if kinds and not any(fits[k] for k in kinds):
+        return [f"type {path}"]
+    dot, out = f"{path}." if path else "", []
+    if "enum" in schema and v not in schema["enum"]:
+        out.append(f"enum {path}")
+    if number and v < schema.get("minimum", v):
+        out.append(f"range {path}")
+    if number and v > schema.get("maximum", v):
+        out.append(f"range {path}")
+    for kind, low, high in ((str, "minLength", "maxLength"), (list, "minItems", "maxItems")):
+        if isinstance(v, kind):
+            out += [f"length {path}"] * (len(v) < schema.get(low, 0)) + [f"length {path}"] * (len(v) > schema.get(high, 1 << 40))
+    if isinstance(v, dict):
+        parts = schema.get("properties", {})
+        out += [f"missing {dot}{n}" for n in schema.get("required", []) if n not in v]
+        if schema.get("additionalProperties") is False:
+            out += [f"unknown {dot}{n}" for n in sorted(set(v) - set(parts))]
+        for n, part in parts.items():
+            if n in v:
+                out += brute_problems(part, v[n], f"{dot}{n}")
+    if isinstance(v, list) and "items" in schema:
+        out += dict.fromkeys(e for x in v for e in brute_problems(schema["items"], x, f"{path}[]"))
+    return out
+
+
+def brute_chat(rows, tools):
+    """(conv_id, turn, state, call_turn, order, n_calls, n_valid, line) of each row, one at a time."""
+    canonical = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    read, first, answers = {}, {}, {}
+    for at, (conv, turn, role, text) in enumerate(rows):
+        if role == "assistant" and "<tool_call>" in (text or ""):
+            calls = []
+            for k, raw in enumerate(re.findall(r"(?s)<tool_call>(.*?)</tool_call>", text)):
+                try:
+                    c = json.loads(raw)
+                    c = c if isinstance(c, dict) else {}
+                except ValueError:
+                    c = {}
+                i, name = c.get("id"), c.get("name")
+                errors = ["unreadable"] if i is None or name is None else ["no such tool"] if name not in tools else ["no arguments"] if not isinstance(c.get("arguments"), dict) else brute_problems(tools[name], c["arguments"])
+                calls.append({"arguments": c.get("arguments"), "errors": errors, "id": i, "name": name, "valid": not errors, "raw": raw})
+                if i is not None and conv is not None and turn is not None:
+                    first[conv, i] = min(first.get((conv, i), (turn, k)), (turn, k))
+            read[at] = calls
+        elif role == "tool":
+            try:
+                c = json.loads(text)
+                c = c if isinstance(c, dict) else {}
+            except (ValueError, TypeError):
+                c = {}
+            answers[at] = (c.get("tool_call_id"), c["content"] if isinstance(c.get("content"), str) else canonical(c["content"]) if "content" in c else text)
+    earliest = {}
+    for at, (i, _) in answers.items():
+        if rows[at][0] is not None and i is not None:
+            earliest[rows[at][0], i] = min(earliest.get((rows[at][0], i), rows[at][1]), rows[at][1])
+    out = []
+    for at, (conv, turn, role, text) in enumerate(rows):
+        if at in answers:
+            i, content = answers[at]
+            call = first.get((conv, i))
+            state = "orphan" if call is None else "result" if earliest[conv, i] == turn else "repeated"
+            place = (turn, 0, 0) if call is None else (max(turn, call[0]), int(call[0] >= turn), call[1])
+            line = {"content": content, "role": role} | ({"tool_call_id": i} if i is not None else {})
+            out.append((conv, turn, state, call and call[0], place, 0, 0, canonical(line)))
+        elif at in read:
+            calls = read[at]
+            content = text
+            for c in calls:
+                if "unreadable" not in c["errors"]:
+                    content = content.replace(f"<tool_call>{c['raw']}</tool_call>", "", 1)
+            shown = [{k: v for k, v in c.items() if k != "raw"} for c in calls]
+            line = {"content": content.strip(" "), "role": role} | ({"tool_calls": shown} if shown else {})
+            out.append((conv, turn, "call", None, (turn, 0, 0), len(calls), sum(c["valid"] for c in calls), canonical(line)))
+        else:
+            out.append((conv, turn, "plain", None, (turn, 0, 0), 0, 0, canonical({"content": text, "role": role})))
+    return out
+
+
+def conversations_with_calls(n, seed=3):
+    """Messages of which a fifth of the conversations have calls: clashing ids, early results, repeated rows, null ids, broken calls."""
+    rng = np.random.default_rng(seed)
+    pick = lambda *v: v[int(rng.integers(len(v)))]
+
+    def value(depth=0):
+        kinds = [lambda: int(rng.integers(-5, 50)), lambda: float(np.round(rng.random() * 9, 2)) + 0.001, lambda: pick("", "title", "é x", "body"), lambda: bool(rng.integers(2)), lambda: None]
+        if depth < 3:
+            kinds += [lambda: [value(depth + 1) for _ in range(rng.integers(0, 4))], lambda: {pick("field", "within", "from", "to", "odd"): value(depth + 1) for _ in range(rng.integers(0, 3))}]
+        return kinds[int(rng.integers(len(kinds)))]()
+
+    def arguments(name):
+        names = list(toolchat.TOOLS.get(name, {"properties": {"a": 0}})["properties"]) + ["extra"]
+        good = {"query": "q", "expression": "1+1", "url": "u", "limit": 3, "digits": 2, "timeout": 1.5, "exact": True, "sites": ["s"], "headers": {}, "filter": {"field": "title", "within": [{"from": 1, "to": None}, {"from": 2}]}}
+        return {k: good[k] if k in good and rng.random() < 0.7 else value() for k in names if rng.random() < 0.6}
+
+    rows, conv = [], 0
+    while len(rows) < n:
+        conv, name = conv + 1, None if rng.random() < 0.02 else conv
+        used = []
+        for turn in range(int(rng.integers(1, 9))):
+            if conv % 5 or rng.random() < 0.3:
+                rows.append((name, turn, pick("user", "assistant"), pick("hello", "", 'say "x"', None, "two\nlines")))
+            elif rng.random() < 0.5:
+                text = pick("", "see ", "é: ")
+                for _ in range(int(rng.integers(1, 4))):
+                    i, tool = f"c{rng.integers(0, 4)}", pick("search", "search", "fetch", "calculate", "nothing")
+                    call = {"id": i, "name": tool, "arguments": arguments(tool)} if rng.random() < 0.9 else pick({"id": i}, {"name": tool, "id": i, "arguments": 3}, [1])
+                    used.append(i)
+                    text += f"<tool_call>{json.dumps(call, ensure_ascii=False) if rng.random() < 0.93 else '{broken $1'}</tool_call>" + pick("", " then ")
+                rows.append((name, turn, "assistant", text))
+            else:
+                i = pick(*used) if used and rng.random() < 0.7 else f"c{rng.integers(0, 6)}"
+                rows.append((name, turn, "tool", pick(json.dumps({"tool_call_id": i, "content": value()}, ensure_ascii=False), "no json", json.dumps({"content": "x"}))))
+            if rng.random() < 0.03:
+                rows.append(rows[-1])
+    return rows[:n]
+
+
+def test_tool_chat_equals_brute_force(spark):
+    rows = conversations_with_calls(6000)
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = sorted(((r["conv_id"], r["turn"], r["state"], r["call_turn"], (r["order_turn"], r["order_phase"], r["order_call"]), r["n_calls"], r["n_valid"], r["line"]) for r in toolchat.link(m, toolchat.tool_table(spark)).collect()), key=repr)
+    want = sorted(brute_chat(rows, toolchat.TOOLS), key=repr)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g == w
+    assert sum(r[5] for r in got) > 800 and {e.split()[0] for r in got if r[5] for c in json.loads(r[7])["tool_calls"] for e in c["errors"]} >= {"missing", "unknown", "type", "enum", "range", "length", "unreadable", "no"}
+
+
 # 9
 
 
