@@ -276,47 +276,101 @@ def test_ids_equal_library(spark, sf, monkeypatch):
 
 
 def brute_spans(rows):
-    def cuts(t):
-        out, found = [[]], list(re.finditer(r"[^\x20\x09-\x0D]+", t))
+    """(n_sentences, n_removed, removed, cut_words, text) of each (id, text), word by word; only the hashes that choose are the operator's."""
+    docs = []
+    for i, t in rows:
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", t or ""))
+        cuts = []
         for k, m in enumerate(found):
-            out[-1].append(lowered(m[0]))
-            data = np.frombuffer(m[0].encode(), np.uint8)
-            picked = int(bytescan.hashes(data, np.array([0]), np.array([len(data)]))[0]) % spandedup.PICK == 0
-            if m[0][-1] in ".!?,;:|" or picked or (k + 1 < len(found) and "\n" in t[m.end() : found[k + 1].start()]):
-                out.append([])
-        return [x for x in out if x]
-
-    parts, first, out = {i: cuts(t or "") for i, t in rows}, {}, {}
-
-    def runs(i):
-        for a in range(len(parts[i])):
+            bare = re.sub(r"""(?<=.)["')\]}]{1,3}$""", "", m[0])
+            line = k + 1 < len(found) and "\n" in t[m.end() : found[k + 1].start()]
+            cuts.append(bare[-1] in ".!?" or line or k + 1 == len(found))
+        sentences, at = [], 0
+        for k, cut in enumerate(cuts):
+            if cut:
+                part = list(range(at, k + 1))
+                if len(part) > spandedup.LONGEST:
+                    for n in part:
+                        data = np.frombuffer(found[n][0].encode(), np.uint8)
+                        if n == k or int(bytescan.hashes(data, np.array([0]), np.array([len(data)]))[0]) % spandedup.PICK == 0:
+                            sentences.append(part[: part.index(n) + 1])
+                            part = part[part.index(n) + 1 :]
+                else:
+                    sentences.append(part)
+                at = k + 1
+        docs.append((i, t, [(m.start(), m.end()) for m in found], [lowered(m[0]) for m in found], [s for s in sentences if s]))
+
+    def spans(doc):
+        _, t, _, ws, sentences = doc
+        for a in range(len(sentences)):
             n = 0
-            for b in range(a, len(parts[i])):
-                n += len(parts[i][b])
+            for b in range(a, len(sentences)):
+                n += len(sentences[b])
                 if n >= spandedup.WORDS and b - a + 1 >= spandedup.RUN:
-                    yield a, b, " ".join(w for s in parts[i][a : b + 1] for w in s)
+                    yield "s", a, b, (sentences[a][0], sentences[b][-1])
                     break
-
-    for i, _ in sorted(rows):
-        for a, _, x in runs(i):
-            first.setdefault(x, (i, a))
-    for i, _ in rows:
-        gone = {k for a, b, x in runs(i) if first[x] != (i, a) for k in range(a, b + 1)}
-        out[i] = (len(parts[i]), len(gone))
+        data, offs = bytescan.column(pa.array([t or ""]))
+        words_, _, _, first = bytescan.scan(data, offs, bytescan.SPACED)
+        h = [int(x) for x in bytescan.runs(words_, first, spandedup.WORDS)[0]]
+        for k in sorted({p for q in range(len(h) - spandedup.WINDOW + 1) for p in range(q, q + spandedup.WINDOW) if h[p] == min(h[q : q + spandedup.WINDOW])}):
+            yield "w", None, None, (k, k + spandedup.WORDS - 1)
+
+    first, out = {}, []
+    for n in sorted(range(len(docs)), key=lambda n: docs[n][0]):
+        for kind, _, _, (a, b) in spans(docs[n]):
+            first.setdefault(tuple(docs[n][3][a : b + 1]), (n, kind, a))
+    for n, (i, t, places, ws, sentences) in enumerate(docs):
+        gone, words_gone = set(), set()
+        for kind, a, b, (x, y) in spans(docs[n]):
+            where = first[tuple(ws[x : y + 1])]
+            if where[0] != n or where[2] != x:
+                (gone if kind == "s" else words_gone).update(range(a, b + 1) if kind == "s" else range(x, y + 1))
+        whole = {w for s in gone for w in sentences[s]}
+        drop = whole | words_gone
+        text, k = "", 0
+        while drop and k < len(ws):
+            if k in drop:
+                while k in drop:
+                    k += 1
+                continue
+            text += t[places[k][0] : places[k + 1][0] if k + 1 < len(ws) else len(t)]
+            k += 1
+        kept = (t[: places[0][0]] if drop else "") + text
+        ranges = [(s, e) for s in sorted(gone) if s - 1 not in gone for e in [next(e for e in range(s + 1, len(sentences) + 1) if e not in gone)]]
+        out.append((len(sentences), sum(bool(drop & set(s)) for s in sentences), ranges, len(drop - whole), kept if drop else t))
     return out
 
 
+def spans_found(docs):
+    return [(r["n_sentences"], r["n_removed"], [tuple(x) for x in r["removed"]], r["cut_words"], r["text"]) for r in spandedup.deduplicate(docs).orderBy("at").collect()]
+
+
 def test_span_dedup(spark):
     rng = np.random.default_rng(7)
-    prose = lambda n: " ".join(w + ("." if rng.random() < 0.1 else "") for w in rng.choice([f"v{k}" for k in range(900)], n))
-    shared = prose(60)
-    texts = [prose(120), prose(40) + " " + shared + " " + prose(40), shared.upper(), prose(30) + "\n" + shared, prose(200), "again. " * 80, *HARD]
-    texts += [texts[0], prose(40) + " " + shared]
-    docs = documents(spark, texts).withColumn("removed", F.lit(0)).withColumn("key", F.lit(0))
-    out = {r["doc_id"]: r for r in spandedup.deduplicate(docs).collect()}
-    assert {i: (r["n_sentences"], r["n_removed"]) for i, r in out.items()} == brute_spans(list(enumerate(texts)))
-    assert out[4]["text"] == texts[4] and out[0]["text"] == texts[0] and len(out[3]["text"]) < len(texts[3]) and out[len(texts) - 2]["n_removed"] > 0
+    prose = lambda n: " ".join(w + ("." if rng.random() < 0.1 else rng.choice(["", ",", '."', "!)"], p=[0.9, 0.06, 0.03, 0.01])) for w in rng.choice([f"v{k}" for k in range(900)], n))
+    shared, plain = prose(60), " ".join(f"p{k}" for k in range(130))
+    texts = [prose(120), prose(40) + ". " + shared + " " + prose(40), shared.upper(), prose(30) + "\n" + shared, prose(200), "again. " * 80, *HARD]
+    texts += [texts[0], prose(40) + " " + shared, plain, prose(20) + " " + plain[:450] + " " + prose(20), "tail " + plain + " "]
+    docs = documents(spark, texts).withColumn("removed", F.lit(0)).withColumn("key", F.lit(0)).withColumn("at", F.col("doc_id"))
+    got = spans_found(docs)
+    assert got == brute_spans(list(enumerate(texts)))
+    assert got[4][4] == texts[4] and got[0][4] == texts[0] and len(got[3][4]) < len(texts[3]) and got[6 + len(HARD)][1] > 0
     assert spandedup.deduplicate(docs.limit(0)).count() == 0
+    named = docs.withColumn("doc_id", F.format_string("%05d", "doc_id"))
+    assert spans_found(named) == got
+
+
+def test_span_dedup_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join(w + ("." if rng.random() < 0.12 else "") for w in rng.choice([f"u{k}" for k in range(900)], n))
+    shared = prose(80)
+    texts = [f"{prose(30)}. {shared}. {prose(30)}." for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3])]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, at int")
+    cut = [r[1] > 0 for r in spans_found(docs)]
+    assert cut[1] == cut[2] and cut[0] != cut[1] and cut[3:] == [True] * 3
+    alone = spans_found(docs.filter("doc_id = 5"))
+    assert [r[1] > 0 for r in alone] in ([True, False, False], [False, True, True])
 
 
 def test_span_dedup_without_stops(spark):
