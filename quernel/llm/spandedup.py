@@ -11,9 +11,10 @@ document, the sentences that a repeated run covers are removed.
 A passage may hold no whole run of sentences.  So, of every ``WINDOW`` runs of
 ``WORDS`` words side by side, wherever they start, the one of least hash takes part
 too.  The choice depends on the words of the window alone, so any two texts that
-share ``WORDS + WINDOW - 1`` = 50 words share such a run.  Its words are removed even
-where they are no whole sentences; ends of a passage of up to ``WINDOW - 1`` words
-can stay.
+share ``WORDS + WINDOW - 1`` = 50 words share such a run.  If a document before has it,
+its words are removed even where they are no whole sentences; ends of a passage of
+up to ``WINDOW - 1`` words can stay.  Within one document only runs of sentences count,
+so that a word said thirty times stays.
 
 Hashes that occur in one document only, nearly all, are dropped before the join
 back by a bitmap of bounded size.  Aggregation needs two numbers for a hash,
@@ -208,7 +209,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 c, d = wbounds[r], wbounds[r + 1]
                 hashes = known[r].values
                 hashes = hashes.to_numpy().view(np.uint64) if hashes is not None and len(hashes) else None
-                bad, wbad = again(h[a:b], hashes), again(wh[c:d], hashes)
+                bad, wbad = again(h[a:b], hashes), np.isin(wh[c:d], hashes if hashes is not None else [])
                 if not bad.any() and not wbad.any():
                     texts.append(None)
                     spans.append([])

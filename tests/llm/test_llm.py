@@ -323,7 +323,7 @@ def brute_spans(rows):
         gone, words_gone = set(), set()
         for kind, a, b, (x, y) in spans(docs[n]):
             where = first[tuple(ws[x : y + 1])]
-            if where[0] != n or where[2] != x:
+            if where[0] != n or (kind == "s" and where[2] != x):
                 (gone if kind == "s" else words_gone).update(range(a, b + 1) if kind == "s" else range(x, y + 1))
         whole = {w for s in gone for w in sentences[s]}
         drop = whole | words_gone
