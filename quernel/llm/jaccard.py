@@ -15,10 +15,15 @@ of documents; short sets in a large corpus get deletions.
 Sets that share a signature are compared by a sketch first: of 4 (H + 1)
 sub-segments, a link leaves all but H equal, so one byte for each gives an exact
 upper bound.  Survivors are verified on their whole texts.  To report components
-it isn't needed to verify every pair: a first round verifies one partner of
-each set, a second all pairs that the first left in different components.
-Signatures shared by more than ``SMALL`` sets are compared in blocks of
-``BLOCK`` sets, by as many tasks as there are pairs of blocks.
+it isn't needed to verify every pair.  In a first round every set of a bucket
+meets the one that is in most buckets, such as the text that others were edited
+from, and of the partners that its sketch allows one is verified.  After that nearly
+all buckets hold sets of one component only and are dropped.  The second round
+compares all sets of different components in the buckets that are left.  A
+bucket's largest component needs no comparison within itself; all other sets meet
+each other and it in blocks of about ``BLOCK`` sets, by as many tasks as there are
+pairs of blocks, so that neither a task nor the rows grow with the square of a
+group of copies.
 
 Equal sets are one node, a 64-bit fingerprint whose collisions are detected with
 a second one.  Defined results: a null or empty text has no words, 0 shingles
@@ -42,7 +47,7 @@ from .bits import bitmap, inside
 from .components import components
 from .store import mapped, ship, stash, trim
 
-SHINGLE, SMALL, BLOCK, HUBS, FINE = 3, 32, 512, 8, 4
+SHINGLE, BLOCK, FINE, TOGETHER = 3, 512, 4, 1 << 12
 SEEN = 1 << 18
 KEY = ("text_hash", "text_hash_2")
 _U = np.uint64
@@ -198,19 +203,6 @@ def _grouped(rows: DataFrame, keys: list[str], each, schema: str, order: tuple[s
     return dealt.mapInArrow(run, schema)
 
 
-def _pairs_of(batch: pa.RecordBatch, cuts: np.ndarray):
-    """All pairs of nodes of each group."""
-    node = batch.column(batch.schema.names.index("node")).to_numpy()
-    low, high = [], []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        i, j = np.triu_indices(b - a, 1)
-        low.append(node[a + i])
-        high.append(node[a + j])
-    lo, hi = np.concatenate(low), np.concatenate(high)
-    pair = np.unique(np.stack([lo, hi], axis=1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
-
-
 class Join:
     """One run: its tables are written once and read by the rounds."""
 
@@ -256,8 +248,6 @@ class Join:
         # A count would not tell copies from other sets.
         common = stash(sigs.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("sig"), "common")
         self.buckets = stash(sigs.join(common, "sig").distinct(), "buckets")
-        counts = self.buckets.groupBy("sig").agg(F.count("*").alias("c"))
-        self.large = stash(counts.filter(F.col("c") > SMALL), "large")
 
     def texts(self) -> None:
         """``held`` (node, n, even, odd, body): sketches and compressed text of each node in a bucket."""
@@ -314,73 +304,66 @@ class Join:
 
         return mapped(met, each, "a bigint, b bigint")
 
-    def small_pairs(self) -> DataFrame:
-        few = self.buckets.join(self.large, "sig", "left_anti")
-        return self.near(_grouped(few, ["sig"], _pairs_of, "a bigint, b bigint").distinct())
-
-    def marks(self) -> DataFrame:
-        """(node, n, even, odd, sigs) of the nodes in large buckets; ``sigs`` are those buckets."""
-        lists = self.buckets.join(self.large.select("sig"), "sig").groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
-        return stash(self.held.select("node", "n", "even", "odd").join(lists, "node"), "marks")
+    def star_pairs(self) -> DataFrame:
+        """For each set one near partner, of those that are in more buckets than all others of some bucket."""
+        degree = self.buckets.groupBy("node").agg(F.count("*").alias("degree"))
+        ranked = self.buckets.join(degree, "node")
+        centre = ranked.groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("c"))
+        met = ranked.join(centre, "sig").filter("node <> c.node").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+        near = self.near(met).join(degree.toDF("a", "degree"), "a")
+        return near.groupBy("b").agg(F.max(F.struct("degree", "a")).alias("c")).select("c.a", "b")
 
-    def large_pairs(self, marks: DataFrame, root: DataFrame | None) -> DataFrame:
-        """Pairs of buckets of over ``SMALL`` sets, from blocks.
+    def rest_pairs(self, root: DataFrame) -> DataFrame:
+        """Every near pair of sets of different components that share a bucket.
 
-        Without ``root``, each set is compared with its own block and with about
-        ``HUBS`` sets of the bucket that visit all blocks, and tells one near
-        partner, a hub if there is one: enough to join most of a component.  With
-        it, every near pair of different components is told, by the task of its
-        pair of blocks and of the least signature that both sets have under the
-        pair's own scheme, that of the smaller set's band; its sketch alone is exact.
+        A bucket holds sets of bands k and k + 1; pairs of two sets of band k + 1
+        belong to the other scheme, under which they share a signature too.
         """
-        plan, every = self.plan, root is not None
-        many = self.buckets.join(self.large.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "sig")
-        many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        hub = F.pmod(F.xxhash64("node", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("c") / HUBS))) == 0
-        places = F.sequence(F.lit(0), F.col("blocks") - 1)
-        many = many.withColumn("late", (~hub).cast("int")).withColumn("x", F.explode(places if every else F.when(hub, places).otherwise(F.array("own"))))
-        p, q = (F.least("own", "x"), F.greatest("own", "x")) if every else (F.col("x"), F.col("x"))
-        many = many.select("sig", p.alias("p"), q.alias("q"), "node", "own", "late")
-        if every:
-            many = many.join(root, "node", "left")
+        plan = self.plan
+        rooted = self.buckets.join(root, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+        several = rooted.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("sig")
+        self.open = stash(rooted.join(several, "sig"), "open")
+        each_root = self.open.groupBy("sig", "root").agg(F.count("*").alias("c"))
+        shape = each_root.groupBy("sig").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"))
+        one = F.col("c") <= BLOCK
+        others, most = F.ceil((F.col("c") - F.col("top.c")) / BLOCK).cast("int"), F.ceil(F.col("top.c") / BLOCK).cast("int")
+        shape = shape.select("sig", F.col("top.root").alias("top"), F.when(one, 1).otherwise(others).alias("others"), F.when(one, 0).otherwise(most).alias("most"))
+        many = self.open.join(shape, "sig")
+        within = (F.col("root") == F.col("top")) & (F.col("most") > 0)
+        block = F.when(within, F.col("others") + F.pmod(F.xxhash64("node"), F.greatest("most", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+        reach = F.when(within, F.col("others")).otherwise(F.col("others") + F.col("most"))
+        many = many.withColumn("own", block).withColumn("x", F.explode(F.sequence(F.lit(0), reach - 1)))
+        many = many.select("sig", F.least("own", "x").alias("p"), F.greatest("own", "x").alias("q"), "node", "root", "own")
         sketch = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 0, F.col("even")).otherwise(F.col("odd"))
-        rows = many.join(marks, "node").withColumn("sketch", sketch).withColumn("root", F.coalesce("root", "node") if every else F.col("node"))
+        rows = many.join(self.held.select("node", "n", "even", "odd"), "node").select("sig", "p", "q", "node", "root", "own", "n", sketch.alias("sketch"))
 
         def each(batch, cuts):
             cols = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            node, size, group, block = (cols[k].to_numpy() for k in ("node", "n", "root", "own"))
-            flat, bound = cols["sigs"].flatten().to_numpy(), cols["sigs"].offsets.to_numpy() - cols["sigs"].offsets[0].as_py()
+            node, size, group, block, p, q, sig = (cols[k].to_numpy() for k in ("node", "n", "root", "own", "p", "q", "sig"))
             parity = plan.band(size) & 1
             low, high = [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if b - a < 2:
+                if b - a < 2 or (group[a:b] == group[a]).all():
                     continue
-                sig, apart = cols["sig"][a].as_py(), cols["p"][a] != cols["q"][a]
                 marks = np.frombuffer(b"".join(cols["sketch"].slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
-                h = marks.shape[1] // FINE - 1
-                for j in range(1, b - a):
-                    i = np.flatnonzero(10 * np.minimum(size[a : a + j], size[a + j]) >= 9 * np.maximum(size[a : a + j], size[a + j]))
-                    if apart:  # pairs within a block belong to that block's own task
-                        i = i[block[a + i] != block[a + j]]
-                    if every:  # a bucket holds bands k and k + 1; pairs of two sets of band k + 1 belong to the other scheme
-                        i = i[group[a + i] != group[a + j]]
-                        i = i if parity[a + j] == sig & 1 else i[parity[a + i] == sig & 1]
-                    i = i[(marks[i] != marks[j]).sum(axis=1) <= h] if len(i) else i
-                    if every and len(i):
-                        mine = flat[bound[a + j] : bound[a + j + 1]]
-                        mine = mine[(mine < sig) & (mine & 1 == sig & 1)]
-                        i = np.array([x for x in i.tolist() if not np.isin(flat[bound[a + x] : bound[a + x + 1]], mine).any()], np.int64)
+                most, step = marks.shape[1] // FINE - 1, max(1, TOGETHER // (b - a))
+                for c in range(a, b, step):
+                    j, i = (x.ravel() for x in np.meshgrid(np.arange(c, min(c + step, b)), np.arange(a, b), indexing="ij"))
+                    fits = (i < j) & (group[i] != group[j]) & (10 * np.minimum(size[i], size[j]) >= 9 * np.maximum(size[i], size[j]))
+                    fits &= np.where(size[i] < size[j], parity[i], parity[j]) == (sig[a] & 1)
+                    if p[a] != q[a]:  # pairs within a block belong to that block's own task
+                        fits &= block[i] != block[j]
+                    i, j = i[fits], j[fits]
                     if len(i):
-                        i = i if every else i[:1]
-                        low.append(node[a + i])
-                        high.append(np.full(len(i), node[a + j]))
+                        near = np.concatenate([(marks[i[k : k + 512] - a] != marks[j[k : k + 512] - a]).sum(axis=1) for k in range(0, len(i), 512)]) <= most
+                        low.append(node[i[near]])
+                        high.append(node[j[near]])
             if low:
                 one, two = np.concatenate(low), np.concatenate(high)
                 pair = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
 
-        rows = rows.select("sig", "p", "q", "node", "own", "late", "n", "sketch", "root", "sigs")
-        return _grouped(rows, ["sig", "p", "q"], each, "a bigint, b bigint", ["late", "node"]).distinct()
+        return _grouped(rows, ["sig", "p", "q"], each, "a bigint, b bigint").distinct()
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sets, made again from the whole texts, are similar enough."""
@@ -410,16 +393,11 @@ class Join:
         """(node, component_id, root): the smallest id of each node's component, and the node that stands for it."""
         if self.buckets.limit(1).count():
             self.texts()
-            small, marks = stash(self.small_pairs(), "small"), self.marks()
-            first = small.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(self.large_pairs(marks, None)).distinct()
-            edges = stash(self.linked(first), "first")
-            root = stash(components(edges), "roots")
-            ra, rb = root.toDF("a", "ra"), root.toDF("b", "rb")
-            apart = small.join(ra, "a", "left").join(rb, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-            rest = apart.union(self.large_pairs(marks, root)).distinct()
-            more = stash(self.linked(rest), "second")
-            edges = edges.union(more)
+            edges = stash(self.linked(self.star_pairs()), "first")
             root = stash(components(edges), "roots")
+            more = stash(self.linked(self.rest_pairs(root)), "second")
+            if more.limit(1).count():
+                root = stash(components(edges.union(more)), "roots")
             least = self.classes.join(root, "node").groupBy("root").agg(F.min("least_id").alias("linked_id"))
             linked = root.join(least, "root").select("node", "linked_id", "root")
             named = self.classes.join(linked, "node", "left").select("node", F.coalesce("linked_id", "least_id").alias("component_id"), F.coalesce("root", "node").alias("root"))

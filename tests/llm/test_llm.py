@@ -590,9 +590,8 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("small,block", [(32, 512), (2, 8)])
-def test_jaccard_components(spark, monkeypatch, small, block):
-    monkeypatch.setattr(jaccard, "SMALL", small)
+@pytest.mark.parametrize("block", [512, 4])
+def test_jaccard_components(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = np.random.default_rng(11)
     vocab = [f"t{k}" for k in range(400)]
@@ -614,13 +613,25 @@ def test_jaccard_components(spark, monkeypatch, small, block):
 
 @pytest.mark.parametrize("size,tail,pairs", [(40, 1, 500), (57, 2, 500)])
 def test_jaccard_large_buckets(spark, size, tail, pairs):
-    """Pairs that only common passages bring together, in buckets over SMALL and BLOCK; each differs by the most its band allows."""
+    """Pairs that only common passages bring together, in buckets over BLOCK; each differs by the most its band allows."""
     middle = " ".join(f"c{k}" for k in range(size - tail))
     texts = [f"x{i} {middle} s{i // 2} " + " ".join(f"y{i}z{k}" for k in range(tail)) for i in range(2 * pairs)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(documents(spark, texts)).collect()}
     assert got == {i: (size, i - i % 2) for i in range(2 * pairs)}
 
 
+def test_jaccard_one_component_leaves_no_second_round(spark, monkeypatch):
+    """Of many near copies of one text, whose buckets are large, nothing is compared again."""
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    base = [f"b{k}" for k in range(90)]
+    texts = [" ".join(base)] + [" ".join([*base[:k], f"n{i}", *base[k + 1 :]]) for i in range(1500) for k in [i % 90]] + ["other " + " ".join(base[:60]) + f" {i} {i + 1} {i + 2} " * 4 for i in range(5)]
+    run = jaccard.Join(documents(spark, texts))
+    got = {r["doc_id"]: r["component_id"] for r in run.result().collect()}
+    assert set(map(got.get, range(1501))) == {0} and all(got[i] != 0 for i in range(1501, 1506))
+    assert run.buckets.count() > 10_000 > 30 * run.open.filter("root = node").select("node").distinct().count()
+    assert jaccard.BLOCK == 64 and run.open.groupBy("sig").count().filter("count > 1600").count() == 0
+
+
 def test_jaccard_hard_cases(spark):
     docs = documents(spark, ["one two three four"] * 5).withColumn("doc_id", F.when(F.col("doc_id") < 3, F.col("doc_id")))
     assert sorted(map(tuple, jaccard.join(docs).collect()), key=str) == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (None, 2, 0), (None, 2, 0)]
