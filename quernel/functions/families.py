@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -210,6 +211,51 @@ ALL: dict[str, Family] = {f.name: f for f in (
     Family("hypergeometric", ("population", "successes", "draws"), (True, True, True), _q(_hyper_lp), _q(_hyper_cdf), lambda N, K, n: max(0, n + K - N), lambda N, K, n: min(n, K), mean=lambda N, K, n: n * K / N, var=lambda N, K, n: n * K / N * (1 - K / N) * (N - n) / max(N - 1, 1), discrete=True),
 )}
 
+_log1m = _q(lambda v: sp.log1mexp(np.minimum(v, -0.0)))
+
+
+def _cumulative(x, k, s):
+    """Cumulative hazard of a Weibull."""
+    return (np.maximum(x, 0) / s) ** k
+
+
+#: name -> (ln cdf, ln sf) of (x, *parameters), each right in its own far tail.
+LOGS: dict[str, tuple[Callable, Callable]] = {
+    "exponential": (_q(lambda x, r: _log1m(-r * np.maximum(x, 0))), _q(lambda x, r: -r * np.maximum(x, 0))),
+    "weibull": (_q(lambda x, k, s: _log1m(-_cumulative(x, k, s))), _q(lambda x, k, s: -_cumulative(x, k, s))),
+    "gumbel": (_q(lambda x, m, s: -np.exp(-(x - m) / s)), _q(lambda x, m, s: _log1m(-np.exp(-(x - m) / s)))),
+    "normal": (_q(lambda x, m, s: sp.log_norm_cdf((x - m) / s)), _q(lambda x, m, s: sp.log_norm_cdf(-(x - m) / s))),
+    "lognormal": (_q(lambda x, m, s: np.where(x > 0, sp.log_norm_cdf((np.log(x) - m) / s), -np.inf)), _q(lambda x, m, s: np.where(x > 0, sp.log_norm_cdf(-(np.log(x) - m) / s), 0.0))),
+    "gamma": (_q(lambda x, a, s: sp.log_gamma_pq(a, x / s)[0]), _q(lambda x, a, s: sp.log_gamma_pq(a, x / s)[1])),
+    "chi_square": (_q(lambda x, v: sp.log_gamma_pq(v / 2, x / 2)[0]), _q(lambda x, v: sp.log_gamma_pq(v / 2, x / 2)[1])),
+    "logistic": (_q(lambda x, m, s: -np.logaddexp(0, -(x - m) / s)), _q(lambda x, m, s: -np.logaddexp(0, (x - m) / s))),
+    "rayleigh": (_q(lambda x, s: _log1m(-_cumulative(x, 2.0, s * math.sqrt(2)))), _q(lambda x, s: -_cumulative(x, 2.0, s * math.sqrt(2)))),
+    "pareto": (_q(lambda x, a, m: _log1m(a * np.log(m / np.maximum(x, m)))), _q(lambda x, a, m: a * np.log(m / np.maximum(x, m)))),
+    "burr": (_q(lambda x, c, d, s: _log1m(-d * np.log1p(_cumulative(x, c, s)))), _q(lambda x, c, d, s: -d * np.log1p(_cumulative(x, c, s)))),
+    "gev": (_q(lambda x, k, m, s: -_gev_t(x, k, m, s)), _q(lambda x, k, m, s: _log1m(-_gev_t(x, k, m, s)))),
+}
+
+
+def log_cdf(name: str, x, *params) -> np.ndarray:
+    """ln of the distribution function."""
+    f = family(name)
+    if f.name in LOGS:
+        return LOGS[f.name][0](x, *params)
+    with np.errstate(all="ignore"):
+        low, high = f.cdf(x, *params), f.upper(x, *params)
+        return np.where(low > 0.5, np.log1p(-high), np.log(low))
+
+
+def log_sf(name: str, x, *params) -> np.ndarray:
+    """ln of the survival function."""
+    f = family(name)
+    if f.name in LOGS:
+        return LOGS[f.name][1](x, *params)
+    with np.errstate(all="ignore"):
+        low, high = f.cdf(x, *params), f.upper(x, *params)
+        return np.where(high > 0.5, np.log1p(-low), np.log(high))
+
+
 ALIASES = {"gaussian": "normal", "weibull_min": "weibull", "gumbel_right": "gumbel", "nbinom": "negative_binomial", "expon": "exponential", "studentt": "student_t", "inverse_gaussian": "wald"}
 
 
@@ -241,6 +287,9 @@ COLUMN: dict[tuple[str, str], Callable] = {
     ("exponential", "cdf"): lambda x, r: _tern(x > 0, -F.expm1(-r * x), F.lit(0.0)),
     ("exponential", "sf"): lambda x, r: _tern(x > 0, F.exp(-r * x), F.lit(1.0)),
     ("exponential", "ppf"): lambda q, r: -F.log1p(-q) / r,
+    ("exponential", "logsf"): lambda x, r: -r * F.greatest(F.lit(0.0), x),
+    ("weibull", "logsf"): lambda x, k, s: -F.pow(F.greatest(F.lit(0.0), x) / s, k),
+    ("gumbel", "logcdf"): lambda x, m, s: -F.exp(-(x - m) / s),
     ("weibull", "logpdf"): lambda x, k, s: _tern(x > 0, F.log(k / s) + (k - 1) * F.log(x / s) - F.pow(x / s, k), F.lit(-math.inf)),
     ("weibull", "cdf"): lambda x, k, s: _tern(x > 0, -F.expm1(-F.pow(x / s, k)), F.lit(0.0)),
     ("weibull", "sf"): lambda x, k, s: _tern(x > 0, F.exp(-F.pow(x / s, k)), F.lit(1.0)),
@@ -282,9 +331,17 @@ COLUMN: dict[tuple[str, str], Callable] = {
 
 
 def column(name: str, operation: str, x: str | Column, *params) -> Column:
-    """``logpdf``, ``pdf``, ``cdf``, ``sf`` or ``ppf`` of a column; parameters are numbers or, in closed families, columns."""
+    """``logpdf``, ``pdf``, ``cdf``, ``sf``, ``logcdf``, ``logsf``, ``ppf`` or ``isf`` of a column, and ``pmf`` and ``logpmf`` of discrete families.
+
+    Parameters are numbers or, in closed families, columns.
+    """
     f = family(name)
     x = F.col(x) if isinstance(x, str) else x
+    operation = {"pmf": "pdf", "logpmf": "logpdf"}.get(operation, operation)
+    if operation == "isf":
+        if f.name == "exponential":
+            return -F.log(x.cast("double")) / _c(params[0])
+        return column(name, "ppf", 1 - x.cast("double"), *params)
     if operation == "pdf":
         return F.exp(column(name, "logpdf", x, *params))
     own = COLUMN.get((f.name, operation))
@@ -292,7 +349,7 @@ def column(name: str, operation: str, x: str | Column, *params) -> Column:
         return own(x.cast("double"), *map(_c, params))
     if operation == "sf" and (f.name, "cdf") in COLUMN:
         return 1 - COLUMN[f.name, "cdf"](x.cast("double"), *map(_c, params))
-    call = {"logpdf": f.logpdf, "cdf": f.cdf, "sf": f.upper, "ppf": f.quantile}[operation]
+    call = {"logpdf": f.logpdf, "cdf": f.cdf, "sf": f.upper, "ppf": f.quantile, "logcdf": partial(log_cdf, f.name), "logsf": partial(log_sf, f.name)}[operation]
     values = tuple(float(p) for p in params)
 
     @F.pandas_udf("double")

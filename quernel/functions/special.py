@@ -28,16 +28,25 @@ def norm_sf(z):
 
 
 def log_norm_cdf(z):
-    """ln of the normal distribution function; an asymptotic series far in the lower tail."""
+    """ln of the normal distribution function: by the upper tail for z > 0, by an asymptotic series far in the lower tail."""
     z = np.asarray(z, float)
-    out = np.log(np.maximum(norm_cdf(z), TINY))
-    far = z < -35
-    if np.any(far):
-        y = np.where(far, z, -40.0)
-        out = np.where(far, -0.5 * y * y - np.log(-y) - 0.5 * math.log(2 * math.pi) + np.log1p(-1 / y**2 + 3 / y**4 - 15 / y**6), out)
+    with np.errstate(all="ignore"):
+        out = np.where(z > 0, np.log1p(-norm_sf(np.maximum(z, 0.0))), np.log(norm_cdf(np.minimum(z, 0.0))))
+        far = z < -35
+        if np.any(far):
+            y = np.where(far, z, -40.0)
+            r = 1 / (y * y)
+            series = np.log1p(-r * (1 - 3 * r * (1 - 5 * r * (1 - 7 * r))))
+            out = np.where(far, -0.5 * y * y - np.log(-y) - 0.5 * math.log(2 * math.pi) + series, out)
     return out
 
 
+def inverse_mills(z):
+    """Normal density over the upper tail; close to z + 1 / z far out."""
+    z = np.asarray(z, float)
+    return np.exp(-0.5 * z * z - 0.5 * math.log(2 * math.pi) - log_norm_cdf(-z))
+
+
 def norm_ppf(q):
     """Bisection to a bracket of a half, then Newton on the logarithm of the nearer tail."""
     q = np.asarray(q, float)
@@ -77,12 +86,80 @@ def trigamma(x):
     return out + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y / 30)))
 
 
+def log1pmx(d):
+    """ln(1 + d) - d without cancellation for small d."""
+    d = np.asarray(d, float)
+    with np.errstate(all="ignore"):
+        r = d / (2 + d)  # ln(1 + d) = 2 artanh r
+        square, total = r * r, np.zeros_like(d)
+        for k in range(27, 1, -2):
+            total = square * (total + 1 / k)
+        return np.where(np.abs(d) < 0.3, 2 * r * total - r * d, np.log1p(d) - d)
+
+
+def stirling_error(a):
+    """ln gamma(a) less Stirling's (a - 1/2) ln a - a + ln(2 pi) / 2."""
+    a = np.asarray(a, float)
+    y = np.maximum(a, 10.0)
+    q = 1 / (y * y)
+    series = (1 / 12 - q * (1 / 360 - q * (1 / 1260 - q * (1 / 1680 - q / 1188)))) / y
+    small = np.minimum(a, 10.0)
+    return np.where(a >= 10, series, lgamma(small) - (small - 0.5) * np.log(small) + small - 0.5 * math.log(2 * math.pi))
+
+
+def log_ratio(x, scale):
+    """ln(x / scale), also where the quotient leaves the range of doubles."""
+    with np.errstate(all="ignore"):
+        q = np.asarray(x, float) / scale
+        return np.where((q > 1e-290) & (q < 1e290), np.log(q), np.log(x) - np.log(scale))
+
+
+def log_gamma_front(a, x):
+    """ln of x^a e^-x / gamma(a)."""
+    with np.errstate(all="ignore"):
+        large = a * log1pmx((x - a) / a) + 0.5 * np.log(a / (2 * math.pi)) - stirling_error(a)
+        return np.where(a >= 10, large, a * np.log(x) - x - lgamma(a))
+
+
+def log_gamma_pq(a, x):
+    """ln of the regularised lower and upper incomplete gamma functions, each right in its own far tail."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    inner = (x > 0) & np.isfinite(x)
+    y = np.where(inner, x, 1.0)
+    with np.errstate(all="ignore"):
+        front = log_gamma_front(a, y)
+        series = y < a + 1
+        total, term = np.zeros_like(y), 1 / a
+        v = np.where(series, y, 0.0)
+        for n in range(1, 100_000):
+            total = total + term
+            term = term * v / (a + n)
+            if np.all(term <= 1e-17 * total):
+                break
+        v = np.where(series, a + 2, y)
+        b = v + 1 - a
+        c, d = np.full_like(v, 1 / TINY), 1 / b
+        h = d
+        for n in range(1, 100_000):
+            k = -n * (n - a)
+            b = b + 2
+            d = 1 / np.where(np.abs(k * d + b) < TINY, TINY, k * d + b)
+            c = np.where(np.abs(b + k / c) < TINY, TINY, b + k / c)
+            h = h * d * c
+            if np.all(np.abs(d * c - 1) < 3e-16):
+                break
+        own = np.where(series, front + np.log(total), front + np.log(h))
+        other = log1mexp(np.minimum(own, -1e-300))
+    lower, upper = np.where(series, own, other), np.where(series, other, own)
+    return np.where(x <= 0, -np.inf, np.where(np.isposinf(x), 0.0, lower)), np.where(x <= 0, 0.0, np.where(np.isposinf(x), -np.inf, upper))
+
+
 def gamma_pq(a, x):
     """Regularised lower and upper incomplete gamma functions: a power series below a + 1, a continued fraction above."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     xs = np.maximum(x, 0.0)
     with np.errstate(all="ignore"):
-        front = np.exp(a * np.log(np.maximum(xs, TINY)) - xs - lgamma(a))
+        front = np.exp(log_gamma_front(a, np.maximum(xs, TINY)))
         series = xs < a + 1
         y = np.where(series, xs, 0.0)
         term = 1 / a
@@ -176,6 +253,44 @@ def t_ppf(q, df):
     return invert(lambda v: t_cdf(v, df), np.asarray(q, float), -1e6, 1e6)
 
 
+def kolmogorov_exact(d: float, n: int) -> float:
+    """Probability that the two-sided distance of n uniform values is at least ``d``, by powers of a banded matrix."""
+    if d <= 0:
+        return 1.0
+    if d >= 1:
+        return 0.0
+    k = int(math.floor(n * d)) + 1
+    m, h = 2 * k - 1, k - n * d
+    matrix = np.tril(np.ones((m, m)), 1)
+    powers = h ** np.arange(1, m + 1)
+    matrix[:, 0] -= powers
+    matrix[-1, :] -= powers[::-1]
+    matrix[-1, 0] += max(2 * h - 1, 0.0) ** m
+    i, j = np.indices((m, m))
+    matrix /= np.array([math.factorial(v) if v <= 170 else math.inf for v in range(m + 1)], float)[np.maximum(i - j + 1, 0)]
+    out, base, power, scale, own = np.eye(m), matrix, n, 0, 0
+    while power:
+        if power & 1:
+            out, scale = out @ base, scale + own
+            e = math.frexp(float(np.max(np.abs(out))))[1]
+            out, scale = np.ldexp(out, -e), scale + e
+        base, own = base @ base, 2 * own
+        e = math.frexp(float(np.max(np.abs(base))))[1]
+        base, own, power = np.ldexp(base, -e), own + e, power >> 1
+    value = float(out[k - 1, k - 1])
+    return 1 - math.exp(math.log(value) + scale * math.log(2) + math.lgamma(n + 1) - n * math.log(n)) if value > 0 else 1.0
+
+
+def kolmogorov_one_sided(d: float, n: int) -> float:
+    """Probability that one side's distance of n uniform values is at least ``d``: the finite sum of its polynomial terms."""
+    if d <= 0 or d >= 1:
+        return float(d <= 0)
+    j = np.arange(int(math.floor(n * (1 - d))) + 1, dtype=float)
+    with np.errstate(all="ignore"):
+        logs = math.lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + (n - j) * np.log(np.maximum(1 - d - j / n, 0.0)) + (j - 1) * np.log(d + j / n)
+    return float(min(1.0, d * np.exp(logs[np.isfinite(logs)]).sum()))
+
+
 def kolmogorov_sf(x):
     """Upper tail of the limiting Kolmogorov distribution."""
     x = float(x)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special as sp
 from ..functions.families import family
-from ..sources.observations import observations
+from ..sources.observations import CapabilityError, cell, observations
 from . import gof
 from .fit import CLOSED, PassBudgetError, fit_closed, fit_gumbel, fit_moments, fit_weibull, newton_fit, profile_sums
 
@@ -23,6 +23,9 @@ from .fit import CLOSED, PassBudgetError, fit_closed, fit_gumbel, fit_moments, f
 def fit_family(df: DataFrame, value: str, name: str, method: str = "mle", weight: str | None = None, event: str | None = None, **columns) -> dict:
     """Fit one family by the cheapest sound way: a closed form, a profile, or Newton passes where rows are weighted, censored or truncated."""
     f = family(name)
+    state = cell("right" if event else "any" if {"status", "upper"} & set(columns) else "none", "any" if {"trunc_lower", "trunc_upper"} & set(columns) else "none", "frequency" if weight else "none", "fit")
+    if not state.startswith("supported"):
+        raise CapabilityError(state)
     if method == "moments":
         r = fit_moments(df, value, [f.name]).first()
         return {"family": f.name, "code": "OK", "n": r["n"], "params": dict(zip(f.params, [r["p1"], r["p2"], r["p3"]], strict=False))}
@@ -88,9 +91,14 @@ def assess(df: DataFrame, value: str, families: Sequence[str], replicates: int =
     return df.sparkSession.createDataFrame(rows, "family string, code string, p_value double, aic double"), best
 
 
-def hypothesis_test(df: DataFrame, value: str, generate: Callable, statistic: Callable, replicates: int = 200, seed: int = 0, two_sided: bool = False) -> dict:
-    """p-value of a statistic of the sample against samples that ``generate(rng, n)`` draws under the null; one generator for each replicate."""
-    x = np.array([r[0] for r in df.select(F.col(value).cast("double")).collect()])
+def hypothesis_test(df: DataFrame, value: str, generate: Callable, statistic: Callable, replicates: int = 200, seed: int = 0, two_sided: bool = False, most_rows: int = 100_000) -> dict:
+    """p-value of a statistic of the sample against samples that ``generate(rng, n)`` draws under the null; one generator for each replicate.
+
+    Replicates are whole samples, so samples of over ``most_rows`` rows are refused.
+    """
+    x = np.array([r[0] for r in df.select(F.col(value).cast("double")).limit(most_rows + 1).collect()])
+    if len(x) > most_rows:
+        raise gof.RefitRefused(f"over {most_rows} rows")
     seen, n = float(statistic(x)), len(x)
 
     def run(batches):
@@ -102,6 +110,19 @@ def hypothesis_test(df: DataFrame, value: str, generate: Callable, statistic: Ca
     return {"statistic": seen, "p_value": out["p"], "n": n}
 
 
+def best_by_p(candidates: DataFrame) -> DataFrame:
+    """(family, p_value): of rows (family, p_value), the one of largest p-value; ties by name."""
+    best = candidates.filter("p_value is not null").agg(F.min(F.struct((-F.col("p_value")).alias("p"), "family")).alias("b"))
+    return best.select("b.family", (-F.col("b.p")).alias("p_value"))
+
+
+def calibration(p_values: DataFrame, level: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., runs, rejected, rate, error): how often tests of true hypotheses reject, with the binomial error of the rate."""
+    seen = p_values.filter("p_value is not null").groupBy(*by).agg(F.count("*").alias("runs"), F.count_if(F.col("p_value") < F.lit(level)).alias("rejected"))
+    rate = F.col("rejected") / F.col("runs")
+    return seen.select(*by, "runs", "rejected", rate.alias("rate"), F.sqrt(rate * (1 - rate) / F.col("runs")).alias("error"))
+
+
 def profile_shape(df: DataFrame, value: str, fitted: dict, level: float = 0.95, budget: int = 9) -> dict:
     """Profile-likelihood interval of a Weibull shape (or of a Gumbel scale) over data of any size.
 

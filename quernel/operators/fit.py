@@ -15,6 +15,7 @@ OPTIMIZER_EXHAUSTED, in this order.
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.families import EULER, family
 from ..functions.likelihood import contributions
-from .ranking import quantiles
+from .ranking import grouped_quantiles, quantiles
 
 CLOSED = ("exponential", "normal", "lognormal", "uniform", "rayleigh", "laplace", "pareto", "wald", "poisson", "geometric")
 MOMENTS = ("normal", "exponential", "uniform", "gamma", "beta", "lognormal", "logistic", "gumbel", "pareto", "laplace", "rayleigh", "wald", "poisson", "geometric", "negative_binomial")
@@ -37,22 +38,29 @@ def _values(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 def sufficient(df: DataFrame, value: str, by: Sequence[str] = (), order: bool = False) -> DataFrame:
     """Counts, sums and extremes from which all closed forms follow; one row, or one for each group.
 
-    ``order`` adds med, q1 and q3.  Without groups they come from ``quantiles``, which scales; a group's exact
-    percentiles hold its distinct values in one task.
+    ``order`` adds med, q1 and q3, which no task has to sort a group for.
     """
     positive = F.when(_x() > 0, F.log("x"))
-    own = [F.percentile("x", F.lit(p)).alias(k) for k, p in (("q1", 0.25), ("med", 0.5), ("q3", 0.75))] if order and by else []
     out = _values(df, value, by).groupBy(*by).agg(
         F.count("x").alias("n"), F.sum("x").alias("s1"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.var_samp("x").alias("var1"),
         F.sum(_x() * _x()).alias("s2"), F.sum(positive).alias("sl"), F.avg(positive).alias("ml"), F.var_pop(positive).alias("vl"), F.var_samp(positive).alias("vl1"),
         F.sum(F.when(_x() != 0, 1 / _x())).alias("sr"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-        F.sum(F.when((_x() < 0) | (_x() != F.floor("x")), 1).otherwise(0)).alias("odd"), *own,
+        F.sum(F.when((_x() < 0) | (_x() != F.floor("x")), 1).otherwise(0)).alias("odd"),
     )
-    if order and not by:
+    if order and by:
+        out = same_groups(out, grouped_quantiles(df, value, by, {"q1": 0.25, "med": 0.5, "q3": 0.75}), by)
+    elif order:
         out = out.withColumns({k: F.lit(v).cast("double") for k, v in zip(("q1", "med", "q3"), quantiles(df, value, (0.25, 0.5, 0.75)), strict=True)})
     return out
 
 
+def same_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on group columns, where null equals null."""
+    named = right.select(*[F.col(k).alias(f"_{k}") for k in by], *[c for c in right.columns if c not in by])
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
+    return left.join(named, on, how).drop(*[f"_{k}" for k in by])
+
+
 def _absolute(df: DataFrame, value: str, by: Sequence[str], stats: DataFrame) -> DataFrame:
     """Adds the mean distance from the median, which takes a second pass."""
     if not by:
@@ -60,10 +68,8 @@ def _absolute(df: DataFrame, value: str, by: Sequence[str], stats: DataFrame) ->
         if med is None:
             return stats.withColumn("mad", F.lit(None).cast("double"))
         return stats.crossJoin(_values(df, value).agg(F.avg(F.abs(_x() - F.lit(med))).alias("mad")))
-    names = [F.col(k).alias(f"_{k}") for k in by]
-    right = stats.select(*names, "med")
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
-    return stats.join(_values(df, value, by).join(right, on).groupBy(*by).agg(F.avg(F.abs(_x() - F.col("med"))).alias("mad")), list(by), "left")
+    away = same_groups(_values(df, value, by), stats.select(*by, "med"), by).groupBy(*by).agg(F.avg(F.abs(_x() - F.col("med"))).alias("mad"))
+    return same_groups(stats, away, by)
 
 
 def _c(name: str) -> Column:
@@ -107,7 +113,7 @@ def fit_closed(df: DataFrame, value: str, families: Sequence[str] = CLOSED, by:
     if "poisson" in families:
         factorial = _values(df, value, by).filter((_x() >= 0) & (_x() == F.floor("x"))).groupBy(*by, "x").count()
         factorial = factorial.withColumn("w", F.col("count") * _log_factorial(F.col("x"))).groupBy(*by).agg(F.sum("w").alias("lf"))
-        stats = stats.crossJoin(factorial) if not by else stats.join(factorial, list(by), "left")
+        stats = stats.crossJoin(factorial) if not by else same_groups(stats, factorial, by)
     forms, rows = _closed_forms(), []
     for name in families:
         params, loglik, holds, flat = forms[name]
@@ -220,82 +226,118 @@ class PassBudgetError(RuntimeError):
     """A fit needs more passes over the data than it was allowed."""
 
 
-def _profile_root(df: DataFrame, w: Column, mean_w: float, budget: int, used: int, tol: float = 1e-8) -> tuple[float, float, int]:
-    """Root b of 1/b - s1/s0 + mean(w), the sum s0 there, and passes used: a grid of eight, then safeguarded Newton steps."""
-    grid, width = np.exp(np.linspace(-8, 8, 8)), 8.0
-    low, high, best = None, None, None
+class Passes:
+    """Counts passes over the data against a budget, and keeps a ledger of them."""
+
+    def __init__(self, budget: int):
+        self.budget, self.ledger = budget, []
+
+    def run(self, what: str, frame: DataFrame) -> dict:
+        """The only row of an aggregation, as one more pass."""
+        if len(self.ledger) >= self.budget:
+            raise PassBudgetError(f"{self.budget} passes do not suffice")
+        began = time.perf_counter()
+        row = self.row(what, frame)
+        self.ledger.append({"pass": len(self.ledger) + 1, "what": what, "seconds": round(time.perf_counter() - began, 3)})
+        return row
+
+    def row(self, what: str, frame: DataFrame) -> dict:
+        return frame.first().asDict()
+
+
+def _profile_root(passes: Passes, df: DataFrame, w: Column, mean_w: float, start: float, close: float = 1e-5) -> tuple[float, float]:
+    """Root b of 1/b - s1/s0 + mean(w), and the sum s0 there; not a number where none is found.
+
+    ``start`` comes from a moment of the sample, so the first three candidates nearly
+    always hold the root between them.  The next three lie around the zero of the
+    cubic through both ends and their slopes.  Once a Newton step is small, it is
+    taken without a pass: s0, s1 and s2 give the sum there to second order.
+    """
+    spread, grid, low, high = 1.5, [start / 1.5, start, start * 1.5], None, None
     while True:
-        if used >= budget:
-            raise PassBudgetError(f"{budget} passes do not suffice")
-        row = profile_sums(df, w, grid).first()
-        used += 1
+        row = passes.run("profile", profile_sums(df, w, grid))
         points = []
         for i, b in enumerate(grid):
             s0, s1, s2 = (row[f"s{k}_{i}"] for k in range(3))
             r = s1 / s0
-            points.append((float(b), 1 / b - r + mean_w, -1 / b**2 - (s2 / s0 - r * r), s0))
-        above = [p for p in points if p[1] > 0]
-        below = [p for p in points if p[1] <= 0]
-        if above:
-            low = max(above) if low is None else max(low, max(above))
-        if below:
-            high = min(below) if high is None else min(high, min(below))
+            points.append((float(b), 1 / b - r + mean_w, -1 / b**2 - (s2 / s0 - r * r), s0, s1, s2))
+        low = max([p for p in points if p[1] > 0] + ([low] if low else []), default=None)
+        high = min([p for p in points if p[1] <= 0] + ([high] if high else []), default=None)
         if low is None or high is None:
-            width += 4
-            if width > 20:
-                return math.nan, math.nan, used
-            grid = np.exp(np.linspace(*((8, width) if high is None else (-width, -8)), 8))
+            spread *= spread
+            if spread > 1e12:
+                return math.nan, math.nan
+            edge = high[0] if low is None else low[0]
+            grid = [edge * spread ** ((-k if low is None else k) / 3) for k in (1, 2, 3)]
             continue
-        best = min((low, high), key=lambda p: abs(p[1] / p[2]))
+        best = min(low, high, key=lambda p: abs(p[1] / p[2]))
         step = -best[1] / best[2]
-        if abs(step) <= tol * best[0]:
-            return best[0], best[3], used
-        target = best[0] + step
-        if not low[0] < target < high[0]:
-            target = math.sqrt(low[0] * high[0])
-        reach = max(abs(step) ** 2 / target, target * 1e-12)
-        grid = np.unique(np.clip([target, target - reach, target + reach, target - 8 * reach, target + 8 * reach, math.sqrt(low[0] * high[0])], low[0], high[0]))
+        if abs(step) <= close * best[0]:
+            return best[0] + step, best[3] + best[4] * step + best[5] * step * step / 2
+        t = low[1] / (low[1] - high[1])
+        gap = high[1] - low[1]
+        cubic = low[0] * (1 + 2 * t) * (1 - t) ** 2 + high[0] * t * t * (3 - 2 * t) + gap * (t * (1 - t) ** 2 / low[2] - t * t * (1 - t) / high[2])
+        target = cubic if low[0] < cubic < high[0] else best[0] + step if low[0] < best[0] + step < high[0] else math.sqrt(low[0] * high[0])
+        reach = max(abs(target - best[0] - step), 1e-9 * target)
+        grid = sorted({min(max(v, low[0]), high[0]) for v in (target - reach, target, target + reach)})
 
 
-def fit_weibull(df: DataFrame, value: str, budget: int = 17) -> dict:
+def fit_weibull(df: DataFrame, value: str, budget: int = 12, passes: Passes | None = None) -> dict:
     """Exact-sample Weibull fit in few passes: one pilot, then profile sums; keep ``df`` cheap to read again."""
-    data = _values(df, value)
-    p = data.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg(F.when(_x() > 0, F.log("x"))).alias("ml")).first()
+    data, passes = _values(df, value), passes or Passes(budget)
+    log = F.when(_x() > 0, F.log("x"))
+    p = passes.run("pilot", data.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg(log).alias("ml"), F.stddev_pop(log).alias("sl")))
+    out = lambda code, **more: {"family": "weibull", "code": code, "n": p["n"], **more, "passes": len(passes.ledger), "ledger": passes.ledger}
     if not p["n"]:
-        return {"family": "weibull", "code": "EMPTY_SAMPLE", "n": 0, "passes": 1}
+        return out("EMPTY_SAMPLE")
     if p["lo"] <= 0:
-        return {"family": "weibull", "code": "INVALID_SUPPORT", "n": p["n"], "passes": 1}
+        return out("INVALID_SUPPORT")
     if p["lo"] == p["hi"]:
-        return {"family": "weibull", "code": "DEGENERATE_SAMPLE", "n": p["n"], "passes": 1}
-    top = math.log(p["hi"])
-    k, s0, used = _profile_root(data, F.log("x") - F.lit(top), p["ml"] - top, budget, 1)
+        return out("DEGENERATE_SAMPLE")
+    top, n = math.log(p["hi"]), p["n"]
+    k, s0 = _profile_root(passes, data, F.log("x") - F.lit(top), p["ml"] - top, math.pi / math.sqrt(6) / max(p["sl"], 1e-9))
     if not math.isfinite(k):
-        return {"family": "weibull", "code": "BOUNDARY_SOLUTION", "n": p["n"], "passes": used}
-    scale = math.exp(top + math.log(s0 / p["n"]) / k)
-    n = p["n"]
+        return out("BOUNDARY_SOLUTION")
+    scale = math.exp(top + math.log(s0 / n) / k)
     loglik = n * (math.log(k) - k * math.log(scale)) + (k - 1) * n * p["ml"] - s0 * math.exp(k * (top - math.log(scale)))
-    return {"family": "weibull", "code": "OK", "n": n, "shape": k, "scale": scale, "loglik": loglik, "passes": used}
+    return out("OK", shape=k, scale=scale, loglik=loglik)
 
 
-def fit_gumbel(df: DataFrame, value: str, budget: int = 17) -> dict:
+def fit_gumbel(df: DataFrame, value: str, budget: int = 12, passes: Passes | None = None) -> dict:
     """Exact-sample right-Gumbel fit, by the same root on values centred and scaled."""
-    data = _values(df, value)
-    p = data.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("m")).first()
+    data, passes = _values(df, value), passes or Passes(budget)
+    p = passes.run("pilot", data.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s")))
+    out = lambda code, **more: {"family": "gumbel", "code": code, "n": p["n"], **more, "passes": len(passes.ledger), "ledger": passes.ledger}
     if not p["n"]:
-        return {"family": "gumbel", "code": "EMPTY_SAMPLE", "n": 0, "passes": 1}
+        return out("EMPTY_SAMPLE")
     if p["lo"] == p["hi"]:
-        return {"family": "gumbel", "code": "DEGENERATE_SAMPLE", "n": p["n"], "passes": 1}
-    peak = max(abs(p["lo"] - p["m"]), abs(p["hi"] - p["m"]))
+        return out("DEGENERATE_SAMPLE")
+    n, peak = p["n"], max(abs(p["lo"] - p["m"]), abs(p["hi"] - p["m"]))
     z_low = (p["lo"] - p["m"]) / peak
     w = F.lit(z_low) - (_x() - F.lit(p["m"])) / F.lit(peak)
-    b, s0, used = _profile_root(data, w, z_low, budget, 1)
+    b, s0 = _profile_root(passes, data, w, z_low, math.pi / math.sqrt(6) * peak / p["s"])
     if not math.isfinite(b):
-        return {"family": "gumbel", "code": "BOUNDARY_SOLUTION", "n": p["n"], "passes": used}
+        return out("BOUNDARY_SOLUTION")
     scale = peak / b
-    location = p["m"] + peak * (z_low - math.log(s0 / p["n"]) / b)
-    n = p["n"]
+    location = p["m"] + peak * (z_low - math.log(s0 / n) / b)
     loglik = -n * math.log(scale) - n * (p["m"] - location) / scale - n
-    return {"family": "gumbel", "code": "OK", "n": n, "location": location, "scale": scale, "loglik": loglik, "passes": used}
+    return out("OK", location=location, scale=scale, loglik=loglik)
+
+
+def power_sums(df: DataFrame, w: Column, candidates: Sequence[float], wide: int = 64) -> list[float]:
+    """Sums of e^(b w) at up to some hundreds of candidates b, in aggregations of ``wide`` columns; w <= 0."""
+    w, out = w.cast("double"), []
+    for at in range(0, len(candidates), wide):
+        part = candidates[at : at + wide]
+        row = df.agg(*[F.sum(F.exp(w * F.lit(float(b)))).alias(f"s{i}") for i, b in enumerate(part)]).first()
+        out += [row[f"s{i}"] for i in range(len(part))]
+    return out
+
+
+def grouped_by_multiplicity(obs: DataFrame) -> DataFrame:
+    """Observations with equal rows as one, of the sum of their weights; the log-likelihood stays the same."""
+    keys = ["value", "status", "upper", "trunc_lower", "trunc_upper"]
+    return obs.groupBy(*keys).agg(F.sum("weight").alias("weight"))
 
 
 def log_likelihoods(obs: DataFrame, name: str, points: Sequence[Sequence[float]]) -> tuple[int, np.ndarray]:

@@ -41,6 +41,27 @@ def ks_p_value(d: float, n: int) -> float:
     return sp.kolmogorov_sf((r + 0.12 + 0.11 / r) * d)
 
 
+def ks_test(df: DataFrame, value: str, name: str, params: Sequence[float], side: str = "two", exact_rows: int = 2000) -> dict:
+    """statistic, p_value, place and side of the largest distance: two, plus (sample above) or minus.
+
+    Up to ``exact_rows`` rows the p-value is exact; beyond, it is that of the limit, with the usual factor.
+    """
+    ranked, n = tied_ranks(df, value)
+    if not n:
+        return {"n": 0, "statistic": None, "p_value": None, "place": None, "side": None}
+    p = ranked.withColumn("p", column(name, "cdf", "x", *params))
+    plus, minus = (F.col("before") + F.col("c")) / F.lit(float(n)) - F.col("p"), F.col("p") - F.col("before") / F.lit(float(n))
+    at = p.agg(F.max(F.struct(plus.alias("d"), (-F.col("x")).alias("x"))).alias("a"), F.max(F.struct(minus.alias("d"), (-F.col("x")).alias("x"))).alias("b")).first()
+    found = {"plus": (at["a"]["d"], -at["a"]["x"]), "minus": (at["b"]["d"], -at["b"]["x"])}
+    which = side if side != "two" else max(found, key=lambda k: (found[k][0], k))
+    d, place = found[which]
+    if side == "two":
+        value_ = sp.kolmogorov_exact(d, n) if n <= exact_rows else ks_p_value(d, n)
+    else:
+        value_ = sp.kolmogorov_one_sided(d, n) if n <= exact_rows else math.exp(-2 * n * d * d - 2 * d / 3) if d > 0 else 1.0
+    return {"n": n, "statistic": d, "p_value": min(1.0, max(0.0, value_)), "place": place, "side": which}
+
+
 def chi_square(df: DataFrame, value: str, name: str, params: Sequence[float], bins: int | None = None, merge: bool = True, least: float = 5.0, fitted: int | None = None) -> dict:
     """Equal-width histogram against the family; sparse neighbours are merged, or dropped if ``merge`` is off."""
     x = F.col("x")
@@ -109,10 +130,26 @@ def large_sample(df: DataFrame, value: str, name: str, params: Sequence[float],
 _FAST = {
     "exponential": lambda x: (1 / x.mean(),), "normal": lambda x: (x.mean(), x.std()), "lognormal": lambda x: (np.log(x).mean(), np.log(x).std()), "uniform": lambda x: (x.min(), x.max()),
     "rayleigh": lambda x: (math.sqrt((x * x).mean() / 2),), "laplace": lambda x: (np.median(x), np.abs(x - np.median(x)).mean()), "pareto": lambda x: (len(x) / np.log(x / x.min()).sum(), x.min()), "wald": lambda x: (x.mean(), 1 / ((1 / x).mean() - 1 / x.mean())),
-    "gumbel": lambda x: _gumbel(x), "weibull": lambda x: _weibull(x), "gamma": lambda x: _gamma(x), "logistic": lambda x: (x.mean(), x.std() * math.sqrt(3) / math.pi),
+    "gumbel": lambda x: _gumbel(x), "weibull": lambda x: _weibull(x), "gamma": lambda x: _gamma(x), "logistic": lambda x: _logistic(x),
 }
 
 
+def _logistic(x):
+    """Likelihood equations by Newton steps from the moments."""
+    m, s = float(np.median(x)), max(float(x.std()) * math.sqrt(3) / math.pi, 1e-12)
+    for _ in range(60):
+        z = (x - m) / s
+        t = np.tanh(z / 2)
+        d = (1 - t * t) / 2
+        g = np.array([t.sum(), (z * t).sum() - len(x)])
+        jacobian = -np.array([[d.sum(), (z * d).sum()], [(t + z * d).sum(), (z * (t + z * d)).sum()]]) / s
+        step = np.linalg.solve(jacobian, g)
+        m, s = m - float(np.clip(step[0], -2 * s, 2 * s)), max(s - float(step[1]), s / 3)
+        if np.max(np.abs(step)) < 1e-12 * s:
+            break
+    return m, s
+
+
 def _weibull(x):
     w = np.log(x) - np.log(x).max()
     k = 1.2 / max(w.std(), 1e-6)

@@ -7,25 +7,26 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special as sp
 from ..functions.families import column, family
 from ..plans.shared import settle
-from .fit import CLOSED, fit_closed, newton_fit, sufficient
-from .ranking import quantiles, running_sum, tied_ranks
+from .fit import CLOSED, fit_closed, newton_fit, same_groups, sufficient
+from .ranking import grouped_quantiles, quantiles, running_sum, tied_ranks
 
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """n, mean, sd, median, extremes, quartiles, biased skewness and excess kurtosis, outliers by 1.5 interquartile ranges."""
     x = df.select(*by, F.col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)")
-    order = [F.percentile("x", F.lit(p)).alias(k) for k, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))] if by else []
-    s = x.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("low"), F.max("x").alias("high"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"), *order)
+    s = x.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("low"), F.max("x").alias("high"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"))
     wide = 1.5 * (F.col("q3") - F.col("q1"))
     out = (F.col("x") < F.col("q1") - wide) | (F.col("x") > F.col("q3") + wide)
     if by:
-        return s.join(x.join(s.select(*by, "q1", "q3"), list(by)).groupBy(*by).agg(F.count_if(out).alias("outliers")), list(by))
+        s = same_groups(s, grouped_quantiles(x, "x", by, {"q1": 0.25, "median": 0.5, "q3": 0.75}), by)
+        return same_groups(s, same_groups(x, s.select(*by, "q1", "q3"), by).groupBy(*by).agg(F.count_if(out).alias("outliers")), by)
     q = {k: F.lit(v).cast("double") for k, v in zip(("q1", "median", "q3"), quantiles(x, "x", (0.25, 0.5, 0.75)), strict=True)}
     return s.withColumns(q).crossJoin(x.withColumns({k: q[k] for k in ("q1", "q3")}).agg(F.count_if(out).alias("outliers")))  # one row by one row
 
@@ -37,11 +38,13 @@ def mean_interval(n: int, mean: float, sd: float, level: float = 0.95) -> tuple[
 
 
 def suggest(df: DataFrame, value: str) -> DataFrame:
-    """(family): candidates by sign, skewness and kurtosis."""
-    s = df.select(F.col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.skewness("x").alias("sk"), F.kurtosis("x").alias("ku"))
-    above, flat, heavy, unit = F.col("lo") > 0, F.abs("sk") < 0.5, F.col("ku") > 3, (F.col("lo") >= 0) & (F.col("hi") <= 1)
-    pick = [("normal", flat), ("logistic", flat), ("uniform", flat & (F.col("ku") < -1)), ("laplace", flat & heavy), ("student_t", flat & heavy), ("exponential", above & (F.col("sk") > 1)), ("gamma", above & ~flat), ("weibull", above), ("lognormal", above & ~flat), ("gumbel", ~above & (F.col("sk") > 0.5)), ("pareto", above & (F.col("sk") > 2)), ("beta", unit)]
-    return s.select(F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in pick]), lambda v: v.isNotNull())).alias("family"))
+    """(place, family, why): normal always; lognormal, gamma, Weibull and exponential where all values are above 0; ``why`` also tells
+    a skewness over 0.5 either way and an excess kurtosis over 1."""
+    s = df.select(F.col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)").agg(F.min("x").alias("lo"), F.skewness("x").alias("sk"), F.kurtosis("x").alias("ku"))
+    above = F.coalesce(F.col("lo") > 0, F.lit(False))
+    shape = F.concat_ws(", ", F.when(F.abs("sk") > 0.5, "skewed"), F.when(F.col("ku") > 1, "heavy tails"))
+    families = F.when(above, F.array(*map(F.lit, ("normal", "lognormal", "gamma", "weibull", "exponential")))).otherwise(F.array(F.lit("normal")))
+    return s.select(F.posexplode(families).alias("place", "family"), F.concat_ws(", ", F.when(above, "above 0"), F.when(shape != "", shape)).alias("why"))
 
 
 # Weights
@@ -51,9 +54,13 @@ def weighted_summary(df: DataFrame, value: str, weight: str, by: Sequence[str] =
     """Weighted mean, variance, extremes and Kish's effective size; rows of weight 0 or without a finite value are left out."""
     x, w = F.col("x"), F.col("w")
     d = _weighted(df, value, weight, by)
-    s = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum("w").alias("sw"), (F.sum(w * x) / F.sum("w")).alias("mean"), F.sum(w * x * x).alias("s2"), F.min("x").alias("low"), F.max("x").alias("high"), (F.sum("w") * F.sum("w") / F.sum(w * w)).alias("ess"))
-    var = F.greatest(F.lit(0.0), F.col("s2") / F.col("sw") - F.col("mean") * F.col("mean"))
-    return s.select(*by, "n", "sw", "mean", var.alias("var"), F.sqrt(var).alias("sd"), "low", "high", "ess")
+    s = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum("w").alias("sw"), (F.sum(w * x) / F.sum("w")).alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"), (F.sum("w") * F.sum("w") / F.sum(w * w)).alias("ess"))
+    # Squares of distances from the mean take a second pass; sums of squares would cancel.
+    centred = same_groups(d, s.select(*by, "mean"), by) if by else d.crossJoin(s.select("mean"))  # one row
+    away = x - F.col("mean")
+    v = centred.groupBy(*by).agg((F.sum(w * away * away) / F.sum("w")).alias("var"))
+    out = same_groups(s, v, by) if by else s.crossJoin(v)  # one row by one row
+    return out.select(*by, "n", "sw", "mean", "var", F.sqrt("var").alias("sd"), "low", "high", "ess")
 
 
 def _weighted(df: DataFrame, value: str, weight: str, by: Sequence[str] = ()) -> DataFrame:
@@ -74,11 +81,15 @@ def weighted_moments(df: DataFrame, value: str, weight: str) -> DataFrame:
     d = _weighted(df, value, weight)
     x, w = F.col("x"), F.col("w")
     lx = F.when(x > 0, F.log("x"))
-    s = d.agg((F.sum(w * x) / F.sum("w")).alias("m"), (F.sum(w * x * x) / F.sum("w")).alias("m2"), (F.sum(w * lx) / F.sum(F.when(x > 0, w))).alias("ml"), (F.sum(w * lx * lx) / F.sum(F.when(x > 0, w))).alias("ml2"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    m, v = F.col("m"), F.col("m2") - F.col("m") * F.col("m")
+    wl = F.when(x > 0, w)
+    p = d.agg((F.sum(w * x) / F.sum("w")).alias("m"), (F.sum(w * lx) / F.sum(wl)).alias("ml")).first()
+    mean, mean_log = (F.lit(p[k]).cast("double") for k in ("m", "ml"))
+    s = d.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), (F.sum(w * (x - mean) * (x - mean)) / F.sum("w")).alias("v"), (F.sum(w * (lx - mean_log) * (lx - mean_log)) / F.sum(wl)).alias("vl"))
+    s = s.withColumns({"m": mean, "ml": mean_log})
+    m, v = F.col("m"), F.col("v")
     common = m * (1 - m) / v - 1
     nan = F.lit(None).cast("double")
-    forms = {"normal": (m, F.sqrt(v)), "exponential": (1 / m, nan), "uniform": (F.col("lo"), F.col("hi")), "gamma": (m * m / v, v / m), "beta": (F.greatest(F.lit(0.1), m * common), F.greatest(F.lit(0.1), (1 - m) * common)), "lognormal": (F.col("ml"), F.sqrt(F.col("ml2") - F.col("ml") * F.col("ml"))), "logistic": (m, F.sqrt(3 * v) / F.lit(math.pi)), "gumbel": (m - 0.5772156649015329 * F.sqrt(6 * v) / F.lit(math.pi), F.sqrt(6 * v) / F.lit(math.pi)), "laplace": (m, F.sqrt(v / 2)), "rayleigh": (F.sqrt(F.col("m2") / 2), nan), "poisson": (m, nan), "geometric": (F.least(F.lit(1.0), 1 / m), nan)}
+    forms = {"normal": (m, F.sqrt(v)), "exponential": (1 / m, nan), "uniform": (F.col("lo"), F.col("hi")), "gamma": (m * m / v, v / m), "beta": (F.greatest(F.lit(0.1), m * common), F.greatest(F.lit(0.1), (1 - m) * common)), "lognormal": (F.col("ml"), F.sqrt("vl")), "logistic": (m, F.sqrt(3 * v) / F.lit(math.pi)), "gumbel": (m - 0.5772156649015329 * F.sqrt(6 * v) / F.lit(math.pi), F.sqrt(6 * v) / F.lit(math.pi)), "laplace": (m, F.sqrt(v / 2)), "rayleigh": (F.sqrt((v + m * m) / 2), nan), "poisson": (m, nan), "geometric": (F.least(F.lit(1.0), 1 / m), nan)}
     rows = [F.struct(F.lit(k).alias("family"), a.cast("double").alias("p1"), b.cast("double").alias("p2")) for k, (a, b) in forms.items()]
     return s.select(F.explode(F.array(*rows)).alias("f")).select("f.*")
 
@@ -107,13 +118,16 @@ def leave_one_out(df: DataFrame, value: str, name: str) -> DataFrame:
     """(family, loo): minus the sum of log densities of each value under the fit to all others, from totals less the row."""
     x = df.select(F.col(value).cast("double").alias("x")).filter("x is not null")
     y = F.log("x") if name == "lognormal" else F.col("x")
-    t = x.agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")).first()
-    m = F.lit(float(t["n"] - 1))
-    mean = (F.lit(t["s"]) - y) / m
+    t = x.agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("var")).first()
+    n = float(t["n"])
+    if n < 2:
+        return x.agg(F.lit(name).alias("family"), F.lit(None).cast("double").alias("loo"))
+    away = y - F.lit(t["mean"])  # from the common mean, so that nothing cancels
+    mean = F.lit(t["mean"]) - away / (n - 1)
     if name == "exponential":
         term = -F.log(mean) - y / mean
     elif name in ("normal", "lognormal"):
-        var = (F.lit(t["q"]) - y * y) / m - mean * mean
+        var = (F.lit(n * t["var"]) - away * away * (n / (n - 1))) / (n - 1)
         term = -0.5 * (F.log(2 * math.pi * var) + (y - mean) * (y - mean) / var) - (F.log("x") if name == "lognormal" else F.lit(0.0))
     else:
         raise ValueError("leave-one-out from totals is for exponential, normal and lognormal")
@@ -217,18 +231,28 @@ def poisson_bootstrap(df: DataFrame, value: str, replicates: int = 200, seed: in
 
     One pass, no copies of rows; with a ``key`` column of distinct values, the result doesn't depend on partitions.
     """
-    source = F.col(key) if key else F.monotonically_increasing_id()
-    d = df.select(F.col(value).cast("double").alias("x"), source.alias("k")).filter("x is not null")
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "k", "r"), 11) / F.lit(float(1 << 53))
-    p, total, cuts = math.exp(-1), 0.0, []
-    for i in range(9):
-        total += p
-        cuts.append(total)
-        p /= i + 1
-    w = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    each = d.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", w)
-    x = F.col("x")
-    return each.groupBy("r").agg(F.sum("w").alias("n"), (F.sum(F.col("w") * x) / F.sum("w")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("w") * x * x) / F.sum("w") - F.pow(F.sum(F.col("w") * x) / F.sum("w"), F.lit(2.0)))).alias("sd")).withColumnRenamed("r", "replicate")
+    source = F.xxhash64(F.lit(seed), F.col(key) if key else F.monotonically_increasing_id())
+    pilot = df.agg(F.avg(F.col(value).cast("double"))).first()[0] or 0.0
+    d = df.select((F.col(value).cast("double") - F.lit(pilot)).alias("x"), source.alias("k")).filter("x is not null")
+    cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
+    names = np.arange(replicates, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches):
+        total = np.zeros((replicates, 3))
+        for b in batches:
+            x, k = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            terms = np.stack([np.ones(len(x)), x, x * x], axis=1)
+            for i in range(0, len(x), 4096):
+                h = k[i : i + 4096] + names[:, None]
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values: a published 64-bit finaliser
+                    h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+                u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
+                total += np.searchsorted(cuts, u, "right") @ terms[i : i + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), *[pa.array(total[:, c].copy()) for c in range(3)]], ["replicate", "w", "s", "q"])
+
+    each = d.mapInArrow(run, "replicate bigint, w double, s double, q double").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in "wsq"])
+    mean = F.col("s") / F.col("w")
+    return each.select("replicate", F.col("w").cast("bigint").alias("n"), (mean + F.lit(pilot)).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("w") - mean * mean)).alias("sd"))
 
 
 def bootstrap_interval(values: np.ndarray, estimate: float, level: float = 0.95, method: str = "percentile", jackknife: np.ndarray | None = None) -> tuple[float, float]:
@@ -316,16 +340,21 @@ def normal_posterior(df: DataFrame, value: str, prior_mean: float, prior_var: fl
 
 
 def mixture_step(df: DataFrame, value: str, parts: Sequence[tuple[float, float, float]]) -> DataFrame:
-    """(component, weight, mu, sigma) after one EM step from (weight, mu, sigma) of each component, in one aggregation."""
+    """(component, weight, mu, sigma, loglik) after one EM step from (weight, mu, sigma) of each component, in one aggregation; ``loglik`` is that of the old ones."""
     x = F.col(value).cast("double")
     logs = [F.lit(math.log(w) if w > 0 else -math.inf) + column("normal", "logpdf", x, m, s) for w, m, s in parts]
     most = F.array_max(F.array(*logs))  # far out all densities are 0, their ratios are not
     dens = [F.exp(v - most) for v in logs]
     total = sum(dens[1:], dens[0])
     r = [d / total for d in dens]
-    aggs = [e for k, v in enumerate(r) for e in (F.sum(v).alias(f"r{k}"), F.sum(v * x).alias(f"m{k}"), F.sum(v * x * x).alias(f"q{k}"))]
-    s = df.agg(F.count(value).alias("n"), *aggs)
-    rows = [F.struct(F.lit(k).alias("component"), (F.col(f"r{k}") / F.col("n")).alias("weight"), (F.col(f"m{k}") / F.col(f"r{k}")).alias("mu"), F.sqrt(F.greatest(F.lit(1e-12), F.col(f"q{k}") / F.col(f"r{k}") - F.pow(F.col(f"m{k}") / F.col(f"r{k}"), F.lit(2.0)))).alias("sigma")) for k in range(len(parts))]
+    away = [x - F.lit(float(m)) for _, m, _ in parts]  # from the old means, so that squares don't cancel
+    aggs = [e for k, v in enumerate(r) for e in (F.sum(v).alias(f"r{k}"), F.sum(v * away[k]).alias(f"m{k}"), F.sum(v * away[k] * away[k]).alias(f"q{k}"))]
+    s = df.agg(F.count(value).alias("n"), F.sum(most + F.log(total)).alias("loglik"), *aggs)
+    rows = []
+    for k, (_, m, _) in enumerate(parts):
+        shift = F.col(f"m{k}") / F.col(f"r{k}")
+        sigma = F.sqrt(F.greatest(F.lit(1e-12), F.col(f"q{k}") / F.col(f"r{k}") - shift * shift))
+        rows.append(F.struct(F.lit(k).alias("component"), (F.col(f"r{k}") / F.col("n")).alias("weight"), (F.lit(float(m)) + shift).alias("mu"), sigma.alias("sigma"), F.col("loglik")))
     return s.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
 
 
@@ -342,6 +371,18 @@ def mixture(df: DataFrame, value: str, components: int, steps: int = 100, tol: f
     return parts
 
 
+def best_mixture(df: DataFrame, value: str, most: int = 4, steps: int = 100) -> dict:
+    """Of mixtures of 1 to ``most`` normals, the one of least BIC: components, parts, loglik, bic, and the BIC of each number."""
+    n, seen, best = df.select(value).filter(F.col(value).isNotNull()).count(), {}, None
+    for k in range(1, most + 1):
+        parts = mixture(df, value, k, steps)
+        loglik = mixture_step(df, value, parts).first()["loglik"]
+        seen[k] = (3 * k - 1) * math.log(n) - 2 * loglik
+        if best is None or seen[k] < best["bic"]:
+            best = {"components": k, "parts": parts, "loglik": loglik, "bic": seen[k]}
+    return {**best, "by_components": seen}
+
+
 def value_at_risk(df: DataFrame, value: str, level: float, name: str, params: Sequence[float]) -> DataFrame:
     """(empirical, parametric) lower quantiles."""
     return df.sparkSession.range(1).select(F.lit(quantiles(df, value, [1 - level])[0]).cast("double").alias("empirical")).withColumn("parametric", F.lit(float(family(name).quantile(np.array([1 - level]), *params)[0])))

@@ -11,16 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one is set only where none is."""
+    """``spark.checkpoint.dir`` of the session; one is set only where none is, and only on a local master, whose executors share the machine's folders."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = Path(tempfile.gettempdir(), f"quernel-{os.getuid()}").as_uri()
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove what this session's queries have settled; tables read from it can't be read again after that."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/quernel/{_own(spark)}")
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def _own(spark: SparkSession) -> str:
+    return spark.sparkContext.applicationId
+
+
 def settle(df: DataFrame, tag: str = "table") -> DataFrame:
     """``df``, written once as Parquet and read back, so that later passes and lost executors don't repeat its plan."""
-    path = f"{folder(df.sparkSession)}/quernel/{uuid.uuid4().hex}/{tag}"
+    path = f"{folder(df.sparkSession)}/quernel/{_own(df.sparkSession)}/{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,42 +1,122 @@
-"""Strict reading of lifetimes from CSV: header ``time,event_observed``, two fields, plain decimal times, events 0 or 1."""
+"""Strict reading of lifetimes from CSV: header ``time,event_observed``, two fields, plain decimal times, events 0 or 1.
+
+A file starts with the header (a byte order mark may stand before it); blank lines may stand at its
+end only; every other line is a row.  Lines keep their order within a split of a file, so the first line of
+the split at offset 0 is the header's, and a blank line is inside where rows follow in its split or a later one.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import settle
+
 HEADER = "time,event_observed"
 TIME = r"^(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 
 
 class CsvRefused(ValueError):
-    """The file breaks the rules; the message says which one and in how many rows."""
+    """The input breaks the rules; the message says which one and in how many rows."""
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, line, code): each line with the rule it breaks, or null. Blank lines count only inside a file."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, at, id, line, code): each line with the rule it breaks by itself, or null; ``id`` grows within a split."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"),
+    )
+    lines = lines.withColumn("line", F.regexp_replace("line", "^\ufeff(?=time,)", ""))
     parts = F.split("line", ",", -1)
     time, event = parts[0], F.get(parts, F.lit(1))
     value = F.expr("try_cast(split(line, ',', -1)[0] as double)")
     code = (
-        F.when(F.col("line") == "", "BLANK").when(F.size(parts) != 2, "FIELDS").when(~time.rlike(TIME), "TIME").when(value.isNull() | (F.abs(value) == float("inf")), "TIME_RANGE")
+        F.when(F.col("line") == "", "BLANK").when(F.contains("line", F.lit("\ufffd")), "ENCODING").when(F.size(parts) != 2, "FIELDS").when(~time.rlike(TIME), "TIME").when(value.isNull() | (F.abs(value) == float("inf")), "TIME_RANGE")
         .when((value == 0) & time.rlike("[1-9]") & ~time.rlike(r"^0(\.0+)?([eE]|$)"), "TIME_RANGE").when(~event.isin("0", "1"), "EVENT")
     )
-    return lines.withColumn("code", F.when(F.col("line") == HEADER, "HEADER").otherwise(code))
+    return lines.withColumn("code", code)
 
 
-def read_lifetimes(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """(time, event) of all files; one aggregation first refuses files that break a rule, unless ``check`` is off."""
+def violations(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(code, rows): rules that files of ``path`` break; none if all are sound. Codes: HEADER, BLANK, ENCODING, FIELDS, TIME, TIME_RANGE, EVENT."""
     lines = read_lines(spark, path)
+    splits = settle(
+        lines.groupBy("file", "at").agg(
+            F.min(F.struct("id", "line"))["line"].alias("head"), F.max(F.when(F.col("code").isNull() | (F.col("code") != "BLANK"), F.col("id"))).alias("full"), F.min(F.when(F.col("code") == "BLANK", F.col("id"))).alias("blank"),
+            *[F.count_if(F.col("code") == c).alias(c) for c in ("ENCODING", "FIELDS", "TIME", "TIME_RANGE", "EVENT", "BLANK")],
+        ),
+        "splits",
+    )
+    files = splits.groupBy("file").agg(
+        F.count_if((F.col("at") == 0) & (F.col("head") == HEADER)).alias("headers"), F.max(F.when(F.col("full").isNotNull(), F.col("at"))).alias("last"),
+    )
+    whole = spark.read.format("binaryFile").load(path).filter("length = 0").count()
+    inner = (F.col("blank") < F.col("full")) | (F.col("blank").isNotNull() & (F.col("at") < F.col("last")))
+    blanks = splits.join(files, "file").filter(inner).agg(F.lit("BLANK").alias("code"), F.count("*").alias("rows"))
+    heads = files.agg(F.lit("HEADER").alias("code"), (F.count_if(F.col("headers") == 0) + F.lit(whole)).alias("rows"))
+    # The header itself reads as a line whose time is no number.
+    counted = splits.agg(*[F.sum(c).alias(c) for c in ("ENCODING", "FIELDS", "TIME", "TIME_RANGE", "EVENT")]).crossJoin(files.agg(F.sum("headers").alias("h")))  # one row by one row
+    each = counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), (F.coalesce(F.col(c), F.lit(0)) - (F.coalesce("h", F.lit(0)) if c == "TIME" else 0)).alias("rows")) for c in ("ENCODING", "FIELDS", "TIME", "TIME_RANGE", "EVENT")])).alias("e")).select("e.*")
+    return heads.union(blanks).union(each).filter("rows > 0")
+
+
+def read_lifetimes(spark: SparkSession, path: str | list[str], check: bool = True) -> DataFrame:
+    """(time, event, file) of all files; files that break a rule are refused first, unless ``check`` is off."""
     if check:
-        bad = lines.filter("code is not null and code <> 'HEADER'").groupBy("code").count().collect()
-        bad = [r for r in bad if r["code"] != "BLANK"]
-        headers = lines.groupBy("file").agg(F.count_if(F.col("code") == "HEADER").alias("h")).filter("h <> 1").count()
-        if headers:
-            raise CsvRefused(f"header is not {HEADER!r}, once, in {headers} files")
+        bad = violations(spark, path).orderBy("code").collect()
         if bad:
-            raise CsvRefused(", ".join(f"{r['code']} in {r['count']} rows" for r in bad))
-    sound = lines.filter("code is null")
+            raise CsvRefused(", ".join(f"{r['code']} in {r['rows']} places" for r in bad))
+    sound = read_lines(spark, path).filter("code is null")
     parts = F.split("line", ",", -1)
-    return sound.select(parts[0].cast("double").alias("time"), (parts[1] == "1").alias("event"))
+    return sound.select(parts[0].cast("double").alias("time"), (parts[1] == "1").alias("event"), "file")
+
+
+SUMS = "file string, length bigint, modified timestamp, n bigint, events bigint, exposure double"
+
+
+def checkpointed_fit(spark: SparkSession, path: str, store: str, source_id: str, files_each: int = 1000, cancel: Callable[[], bool] = lambda: False) -> dict:
+    """Exponential fit of strict CSV files, file by file: code COMPLETE, CANCELLED, or a refusal, with what is covered.
+
+    The sums of up to ``files_each`` files at a time are written as one step, which
+    Spark's success mark makes complete; a later call goes on after the last one.
+    A store belongs to one ``source_id``; files whose size or time has changed since
+    their step are refused (REVISION_MISMATCH), as are other sources (SOURCE_MISMATCH).
+    """
+    from .partitions import generations
+
+    marks = generations(spark, store)
+    job = json.dumps({"source": source_id, "schema": HEADER}, sort_keys=True)
+    if generations(spark, f"{store}/job"):
+        if spark.read.text(f"{store}/job/generation=0").first()[0] != job:
+            return {"code": "SOURCE_MISMATCH"}
+    else:
+        spark.range(1).select(F.lit(job).alias("value")).coalesce(1).write.mode("overwrite").text(f"{store}/job/generation=0")
+    files = settle(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified")), "files")
+    total, code = files.count(), "COMPLETE"
+
+    def so_far() -> DataFrame:
+        steps = [f"{store}/generation={m}" for m in marks]
+        return spark.read.schema(SUMS).parquet(*steps) if steps else spark.createDataFrame([], SUMS)
+
+    changed = so_far().alias("a").join(files.alias("b"), "file", "left").filter("b.length is null or a.length <> b.length or a.modified <> b.modified")
+    if changed.limit(1).count():
+        return {"code": "REVISION_MISMATCH"}
+    while True:
+        todo = files.join(so_far(), "file", "left_anti").orderBy("file").limit(files_each)
+        names = [r["file"] for r in todo.select("file").collect()]  # at most files_each
+        if not names:
+            break
+        if cancel():
+            code = "CANCELLED"
+            break
+        rows = read_lifetimes(spark, names)
+        sums = rows.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.col("event").cast("int")).alias("events"), F.sum("time").alias("exposure"))
+        number = (marks[-1] if marks else 0) + 1
+        step = todo.join(sums, "file", "left").select("file", "length", "modified", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("events", F.lit(0)).cast("bigint").alias("events"), F.coalesce("exposure", F.lit(0.0)).alias("exposure"))
+        step.write.mode("overwrite").parquet(f"{store}/generation={number}")
+        marks = [*marks, number]
+    s = so_far().agg(F.count("*").alias("files"), F.sum("n").alias("n"), F.sum("events").alias("events"), F.sum("exposure").alias("exposure")).first()
+    out = {"code": code, "files": total, "files_done": s["files"], "steps": len(marks), "n": s["n"] or 0, "events": s["events"] or 0, "exposure": s["exposure"] or 0.0}
+    return {**out, "rate": s["events"] / s["exposure"] if s["events"] and s["exposure"] else None}

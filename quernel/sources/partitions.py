@@ -11,6 +11,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import settle
+
 
 class ResumeRefused(ValueError):
     """Stored states don't belong to this input, and the caller did not allow the difference."""
@@ -25,9 +27,18 @@ def parquet_values(spark: SparkSession, path: str, column: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """(partition_id, fingerprint) of each file, of its size and time or of its bytes."""
+    """(partition_id, fingerprint) of each file: of its size and time, or of what its rows hold, in any order.
+
+    Contents are hashed row by row and added up, so a file of any size is read in splits by as many tasks as it has.
+    """
+    if content:
+        rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+        h = F.xxhash64(*rows.columns)
+        each = rows.select(F.col("_metadata.file_path").alias("partition_id"), h.alias("h"), F.xxhash64(F.lit(1), h).alias("g")).groupBy("partition_id")
+        sums = each.agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("a"), F.bit_xor("g").alias("b"))
+        return sums.select("partition_id", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in "nab"]).cast("binary"), 256).alias("fingerprint"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    mark = F.sha2(F.col("content"), 256) if content else F.sha2(F.concat_ws("|", F.col("length").cast("string"), F.col("modificationTime").cast("string")).cast("binary"), 256)
+    mark = F.sha2(F.concat_ws("|", F.col("length").cast("string"), F.col("modificationTime").cast("string")).cast("binary"), 256)
     return files.select(F.col("path").alias("partition_id"), mark.alias("fingerprint"))
 
 
@@ -39,54 +50,66 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "partition_id", "full_outer").select("partition_id", change.alias("change"))
 
 
+STATE = "partition_id string, fingerprint string, n bigint, mean double, m2 double, nl bigint, meanl double, m2l double, low double, high double"
+
+
 def states(values: DataFrame, prints: DataFrame | None = None) -> DataFrame:
-    """(partition_id, fingerprint, n, s1, s2, sl, sl2, low, high) from (partition_id, x)."""
+    """State rows from (partition_id, x): counts, means and squared distances from them, of values and of their logarithms."""
     x = F.col("x")
     lx = F.when(x > 0, F.log("x"))
-    out = values.groupBy("partition_id").agg(F.count("x").alias("n"), F.sum("x").alias("s1"), F.sum(x * x).alias("s2"), F.sum(lx).alias("sl"), F.sum(lx * lx).alias("sl2"), F.min("x").alias("low"), F.max("x").alias("high"))
+    sums = [e for tag, v in (("", x), ("l", lx)) for e in (F.count(v).alias(f"n{tag}"), F.avg(v).alias(f"mean{tag}"), (F.var_pop(v) * F.count(v)).alias(f"m2{tag}"))]
+    out = values.groupBy("partition_id").agg(*sums, F.min("x").alias("low"), F.max("x").alias("high"))
     return out.join(prints, "partition_id") if prints is not None else out.withColumn("fingerprint", F.lit(None).cast("string"))
 
 
 def merge(rows: DataFrame) -> DataFrame:
-    """One row of exponential, normal and lognormal estimates from states."""
-    s = rows.agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "sl", "sl2")], F.min("low").alias("low"), F.max("high").alias("high"))
-    n = F.col("n")
-    mean, ml = F.col("s1") / n, F.col("sl") / n
+    """One row of exponential, normal and lognormal estimates from states; distances are taken from the common mean, so nothing cancels."""
+    mean = lambda tag: (F.sum(F.col(f"n{tag}") * F.col(f"mean{tag}")) / F.sum(f"n{tag}"))
+    common = rows.agg(mean("").alias("mu"), mean("l").alias("mu_log"), F.sum("n").alias("n"), F.sum("nl").alias("nl"), F.min("low").alias("low"), F.max("high").alias("high"))
+    far = lambda tag, c: F.sum(F.col(f"m2{tag}") + F.col(f"n{tag}") * (F.col(f"mean{tag}") - F.col(c)) * (F.col(f"mean{tag}") - F.col(c)))
+    spread = rows.crossJoin(common.select("mu", "mu_log")).agg(far("", "mu").alias("m2"), far("l", "mu_log").alias("m2l"))  # one row
+    s = common.crossJoin(spread)  # one row by one row
     positive = F.col("low") > 0
-    return s.select("n", (1 / mean).alias("rate"), mean.alias("mu"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / n - mean * mean)).alias("sigma"), F.when(positive, ml).alias("mu_log"), F.when(positive, F.sqrt(F.greatest(F.lit(0.0), F.col("sl2") / n - ml * ml))).alias("sigma_log"))
+    return s.select("n", (1 / F.col("mu")).alias("rate"), "mu", F.sqrt(F.col("m2") / F.col("n")).alias("sigma"), F.when(positive, F.col("mu_log")).alias("mu_log"), F.when(positive, F.sqrt(F.col("m2l") / F.col("nl"))).alias("sigma_log"))
+
+
+def generations(spark: SparkSession, store: str) -> list[int]:
+    """Complete generations in a store: those whose write left Spark's success mark."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/generation=*/_SUCCESS")
+    paths = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found)
+    return sorted(int(str(f.getPath().getParent().getName()).split("=")[1]) for f in paths or [])
 
 
 def incremental(spark: SparkSession, path: str, column: str, store: str, recompute_changed: bool = False, allow_removed: bool = False) -> tuple[DataFrame, dict]:
     """Estimates over all files of ``path``, with the number of files kept, added, changed and removed.
 
-    States live as Parquet in ``store``; a new generation is written beside the
-    old one and then named in a marker, so a failure leaves the old one in force.
+    States live as Parquet in ``store``, a folder for each generation, which Spark
+    marks as complete once all of it is written; the latest complete one is in
+    force, so a failure leaves the one before.  File lists stay in Spark.
     """
-    new = fingerprints(spark, path)
-    marker = f"{store}/current.json"
-    try:
-        at = json.loads(spark.read.text(marker).first()[0])["generation"]
-    except Exception as e:  # a store that isn't there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        at = 0
-    old = spark.read.parquet(f"{store}/generation={at}") if at else spark.createDataFrame([], "partition_id string, n bigint, s1 double, s2 double, sl double, sl2 double, low double, high double, fingerprint string")
-    diff = manifest_diff(old, new)
+    new = settle(fingerprints(spark, path), "fingerprints")
+    done = generations(spark, store)
+    at = done[-1] if done else 0
+    old = spark.read.schema(STATE).parquet(f"{store}/generation={at}") if at else spark.createDataFrame([], STATE)
+    diff = settle(manifest_diff(old, new), "manifest")
     seen = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
     if seen.get("changed") and not recompute_changed:
         raise ResumeRefused("PARTITION_CHANGED")
     if seen.get("removed") and not allow_removed:
         raise ResumeRefused("PARTITION_MISSING")
-    kept = old.join(diff.filter("change = 'kept'"), "partition_id", "left_semi")
-    todo = [r[0] for r in diff.filter("change in ('added', 'changed')").select("partition_id").collect()]
-    fresh = states(spark.read.parquet(*todo).select(F.col(column).cast("double").alias("x"), F.col("_metadata.file_path").alias("partition_id")), new) if todo else kept.limit(0)
-    now = kept.unionByName(fresh.select(*kept.columns))
-    now.write.parquet(f"{store}/generation={at + 1}")
-    spark.range(1).select(F.lit(json.dumps({"generation": at + 1})).alias("value")).coalesce(1).write.mode("overwrite").text(marker)
-    return merge(spark.read.parquet(f"{store}/generation={at + 1}")), seen
+    now = old.join(diff.filter("change = 'kept'"), "partition_id", "left_semi")
+    todo = diff.filter("change in ('added', 'changed')")
+    if seen.get("added") or seen.get("changed"):
+        values = parquet_values(spark, path, column).join(todo.select("partition_id"), "partition_id", "left_semi")
+        now = now.unionByName(states(values, new).select(*old.columns))
+    target = f"{store}/generation={at + 1}"
+    now.select(*old.columns).write.mode("overwrite").parquet(target)  # an unfinished one of this number is replaced
+    return merge(spark.read.schema(STATE).parquet(target)), seen
 
 
 def provenance(df: DataFrame, fit: dict, **more) -> str:
     """Canonical JSON of what was fitted from what: sorted keys, no spaces."""
-    about = {"rows": df.count(), "files": sorted(df.inputFiles()), "spark": df.sparkSession.version, "fit": fit, **more}
+    files = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").cast("string").alias("t")).distinct() if df.inputFiles() else None
+    digest = files.agg(F.count("*").alias("files"), F.sum(F.xxhash64("f", "s", "t").cast("decimal(38,0)")).alias("digest")).first() if files is not None else {"files": 0, "digest": 0}
+    about = {"rows": df.count(), "files": digest["files"], "files_digest": str(digest["digest"]), "spark": df.sparkSession.version, "fit": fit, **more}
     return json.dumps(about, sort_keys=True, separators=(",", ":"), default=str)
