@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import special as sp
 from ..functions.families import EULER, family
 from ..functions.likelihood import contributions
 from .ranking import grouped_quantiles, quantiles
@@ -192,6 +193,17 @@ def fit_gamma(df: DataFrame, value: str, by: Sequence[str] = (), steps: int = 40
     return s.select(*by, "n", F.when(ok, shape).alias("shape"), F.col("mean").alias("m")).select(*by, "n", "shape", (F.col("m") / F.col("shape")).alias("scale"))
 
 
+def log_digamma_root(gap: float, steps: int = 60) -> float:
+    """The shape at which ln shape - digamma(shape) is ``gap``."""
+    k = (3 - gap + math.sqrt((gap - 3) ** 2 + 24 * gap)) / (12 * gap)
+    for _ in range(steps):
+        new = max(float(k - (math.log(k) - sp.digamma(k) - gap) / (1 / k - sp.trigamma(k))), k / 4)
+        if abs(new - k) <= 1e-15 * k:
+            break
+        k = new
+    return k
+
+
 def _shift(k: Column, f) -> Column:
     """Sum of f(k + i), i = 0..11, which moves the argument to where the series is good."""
     total = f(k)

@@ -235,25 +235,17 @@ for _name, (_p, _lp, _cdf, _ppf) in _FORMS.items():
         return e.select("event_id", F.round(column(name, "logpdf", "value", *p), 7).alias("logpdf"), F.round(column(name, "cdf", "value", *p), 9).alias("cdf"), F.round(column(name, "sf", "value", *p), 9).alias("sf"), F.round(column(name, "ppf", "u", *p), 5).alias("ppf"))
 
 
-@query("functions_normal", """select event_id, round(-0.5 * z * z - ln(50.0) - 0.5 * ln(2 * pi()), 8) as logpdf, round(0.5 + exp(-0.5 * z * z) / sqrt(2 * pi()) * (select sum(t) from (select exp((2 * k + 1) * ln(abs(z) + 1e-300) - (select coalesce(sum(ln(2 * j + 1)), 0) from range(0, k + 1) r(j))) * sign(z) as t from range(0, 90) q(k))), 8) as cdf from (select event_id, (value - 50.0) / 50.0 as z from events where value < 300 and event_id % 20 = 0)""")
-def _(spark, d):
-    e = _events(spark, d).filter("value < 300 and event_id % 20 = 0")
-    return e.select("event_id", F.round(column("normal", "logpdf", "value", 50.0, 50.0), 8).alias("logpdf"), F.round(column("normal", "cdf", "value", 50.0, 50.0), 8).alias("cdf"))
-
-
-@query("functions_gamma", """select event_id, round(1.5 * ln(y) - y - lgamma(2.5) - ln(20.0), 8) as logpdf, round(exp(2.5 * ln(y) - y - lgamma(2.5)) * (select sum(exp(k * ln(y) - (select sum(ln(2.5 + j)) from range(0, k + 1) r(j)))) from range(0, 120) q(k)), 8) as cdf from (select event_id, value / 20.0 as y from events where value < 400 and value > 0 and event_id % 20 = 0)""")
-def _(spark, d):
-    e = _events(spark, d).filter("value < 400 and value > 0 and event_id % 20 = 0")
-    return e.select("event_id", F.round(column("gamma", "logpdf", "value", 2.5, 20.0), 8).alias("logpdf"), F.round(column("gamma", "cdf", "value", 2.5, 20.0), 8).alias("cdf"))
-
-
-for _name, _p in (("normal", (50.0, 50.0)), ("gamma", (2.5, 20.0))):
+_SERIES = {
+    "normal": ((50.0, 50.0), "select event_id, (value - 50.0) / 50.0 as z from events", "-0.5 * z * z - ln(50.0) - 0.5 * ln(2 * pi())", "0.5 + exp(-0.5 * z * z) / sqrt(2 * pi()) * sign(z) * list_sum([exp((2 * k + 1) * ln(abs(z) + 1e-300) - lgamma(k + 1.5) - (k + 1) * ln(2) + 0.5 * ln(pi())) for k in range(0, 260)])"),
+    "gamma": ((2.5, 20.0), "select event_id, value / 20.0 as y from events where value > 0", "1.5 * ln(y) - y - lgamma(2.5) - ln(20.0)", "exp(2.5 * ln(y) - y) * list_sum([exp(k * ln(y) - lgamma(k + 3.5)) for k in range(0, 260)])"),
+}
+for _name, (_p, _from, _lp, _cdf) in _SERIES.items():
+    for _suffix in ("", "_whole"):
 
-    @query(f"functions_{_name}_whole")
-    def _(spark, d, name=_name, p=_p):
-        """Every event; a series in SQL is too slow for that and doesn't converge far out."""
-        e = _events(spark, d) if name == "normal" else _events(spark, d).filter("value > 0")
-        return e.select("event_id", F.round(column(name, "logpdf", "value", *p), 8).alias("logpdf"), F.round(column(name, "cdf", "value", *p), 8).alias("cdf"))
+        @query(f"functions_{_name}{_suffix}", f"select event_id, round({_lp}, 8) as logpdf, round({_cdf}, 8) as cdf from ({_from})")
+        def _(spark, d, name=_name, p=_p):
+            e = _events(spark, d) if name == "normal" else _events(spark, d).filter("value > 0")
+            return e.select("event_id", F.round(column(name, "logpdf", "value", *p), 8).alias("logpdf"), F.round(column(name, "cdf", "value", *p), 8).alias("cdf"))
 
 
 @query("loglik_weibull_mixed", """with o as (select value as v, event_id % 4 as s, value * 1.5 as u, case when event_id % 3 = 0 then value * 0.1 end as lo from events where value > 0.01),
@@ -508,9 +500,9 @@ def _(spark, d):
     return r.select(F.round("post_mean", 6).alias("post_mean"), F.round("post_var", 8).alias("post_var"))
 
 
-@query("mixture_step", "with t as (select value as x, 0.5 * exp(-0.5 * pow((value - 20.0) / 15.0, 2)) / (15.0 * sqrt(2 * pi())) as a, 0.5 * exp(-0.5 * pow((value - 90.0) / 40.0, 2)) / (40.0 * sqrt(2 * pi())) as b from events where value < 250), r as (select x, a / (a + b) as r0, b / (a + b) as r1 from t) select 0 as component, round(avg(r0), 7) as weight, round(sum(r0 * x) / sum(r0), 5) as mu from r union all select 1, round(avg(r1), 7), round(sum(r1 * x) / sum(r1), 5) from r")
+@query("mixture_step", "with t as (select value as x, ln(0.5) - 0.5 * pow((value - 20.0) / 15.0, 2) - ln(15.0) as a, ln(0.5) - 0.5 * pow((value - 90.0) / 40.0, 2) - ln(40.0) as b from events), r as (select x, exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) as r0, exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) as r1 from t) select 0 as component, round(avg(r0), 7) as weight, round(sum(r0 * x) / sum(r0), 5) as mu from r union all select 1, round(avg(r1), 7), round(sum(r1 * x) / sum(r1), 5) from r")
 def _(spark, d):
-    r = samples.mixture_step(_events(spark, d).filter("value < 250"), "value", [(0.5, 20.0, 15.0), (0.5, 90.0, 40.0)])
+    r = samples.mixture_step(_events(spark, d), "value", [(0.5, 20.0, 15.0), (0.5, 90.0, 40.0)])
     return r.select("component", F.round("weight", 7).alias("weight"), F.round("mu", 5).alias("mu"))
 
 
@@ -530,9 +522,9 @@ def _(spark, d):
     return samples.shifted_exponential(_events(spark, d), "value").select("shift", F.round("scale", 6).alias("scale"))
 
 
-@query("weibull_hazard", "select event_id, round(1.2 / 50.0 * pow(value / 50.0, 0.2), 8) as hazard from events where value > 0.001 and value < 300")
+@query("weibull_hazard", "select event_id, round(1.2 / 50.0 * pow(value / 50.0, 0.2), 8) as hazard from events where value > 0")
 def _(spark, d):
-    return _events(spark, d).filter("value > 0.001 and value < 300").select("event_id", F.round(samples.hazard("weibull", "value", 1.2, 50.0), 8).alias("hazard"))
+    return _events(spark, d).filter("value > 0").select("event_id", F.round(samples.hazard("weibull", "value", 1.2, 50.0), 8).alias("hazard"))
 
 
 @query("weibull_hazard_whole", "select event_id, round(1.2 / 50.0 * pow(value / 50.0, 0.2), 8) as hazard from events where value > 0")

@@ -39,21 +39,33 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.withColumn("code", code)
 
 
+def _without_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Files of no bytes, which no scan visits."""
+    found = 0
+    for p in paths:
+        pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for top in fs.globStatus(pattern) or []:
+            for f in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
+                found += f.isFile() and f.getLen() == 0 and not f.getPath().getName().startswith(("_", "."))
+    return found
+
+
 def violations(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(code, rows): rules that files of ``path`` break; none if all are sound. Codes: HEADER, BLANK, ENCODING, FIELDS, TIME, TIME_RANGE, EVENT."""
     lines = read_lines(spark, path)
     splits = settle(
         lines.groupBy("file", "at").agg(
-            F.min(F.struct("id", "line"))["line"].alias("head"), F.max(F.when(F.col("code").isNull() | (F.col("code") != "BLANK"), F.col("id"))).alias("full"), F.min(F.when(F.col("code") == "BLANK", F.col("id"))).alias("blank"),
-            *[F.count_if(F.col("code") == c).alias(c) for c in ("ENCODING", "FIELDS", "TIME", "TIME_RANGE", "EVENT", "BLANK")],
+            F.min(F.struct("id", "line"))["line"].alias("head"), F.max(F.when(F.col("code").isNull() | (F.col("code") != "BLANK"), F.col("id"))).alias("full"), F.min(F.when(F.col("code") == "BLANK", F.col("id"))).alias("empty"),
+            *[F.count_if(F.col("code") == c).alias(c) for c in ("ENCODING", "FIELDS", "TIME", "TIME_RANGE", "EVENT")],
         ),
         "splits",
     )
     files = splits.groupBy("file").agg(
         F.count_if((F.col("at") == 0) & (F.col("head") == HEADER)).alias("headers"), F.max(F.when(F.col("full").isNotNull(), F.col("at"))).alias("last"),
     )
-    whole = spark.read.format("binaryFile").load(path).filter("length = 0").count()
-    inner = (F.col("blank") < F.col("full")) | (F.col("blank").isNotNull() & (F.col("at") < F.col("last")))
+    whole = _without_bytes(spark, [path] if isinstance(path, str) else path)
+    inner = (F.col("empty") < F.col("full")) | (F.col("empty").isNotNull() & (F.col("at") < F.col("last")))
     blanks = splits.join(files, "file").filter(inner).agg(F.lit("BLANK").alias("code"), F.count("*").alias("rows"))
     heads = files.agg(F.lit("HEADER").alias("code"), (F.count_if(F.col("headers") == 0) + F.lit(whole)).alias("rows"))
     # The header itself reads as a line whose time is no number.
@@ -62,15 +74,15 @@ def violations(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return heads.union(blanks).union(each).filter("rows > 0")
 
 
-def read_lifetimes(spark: SparkSession, path: str | list[str], check: bool = True) -> DataFrame:
-    """(time, event, file) of all files; files that break a rule are refused first, unless ``check`` is off."""
+def read_lifetimes(spark: SparkSession, path: str | list[str], check: bool = True, files: bool = False) -> DataFrame:
+    """(time, event) of all files, and ``file`` if asked; files that break a rule are refused first, unless ``check`` is off."""
     if check:
         bad = violations(spark, path).orderBy("code").collect()
         if bad:
             raise CsvRefused(", ".join(f"{r['code']} in {r['rows']} places" for r in bad))
     sound = read_lines(spark, path).filter("code is null")
     parts = F.split("line", ",", -1)
-    return sound.select(parts[0].cast("double").alias("time"), (parts[1] == "1").alias("event"), "file")
+    return sound.select(parts[0].cast("double").alias("time"), (parts[1] == "1").alias("event"), *(["file"] if files else []))
 
 
 SUMS = "file string, length bigint, modified timestamp, n bigint, events bigint, exposure double"
@@ -111,7 +123,7 @@ def checkpointed_fit(spark: SparkSession, path: str, store: str, source_id: str,
         if cancel():
             code = "CANCELLED"
             break
-        rows = read_lifetimes(spark, names)
+        rows = read_lifetimes(spark, names, files=True)
         sums = rows.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.col("event").cast("int")).alias("events"), F.sum("time").alias("exposure"))
         number = (marks[-1] if marks else 0) + 1
         step = todo.join(sums, "file", "left").select("file", "length", "modified", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("events", F.lit(0)).cast("bigint").alias("events"), F.coalesce("exposure", F.lit(0.0)).alias("exposure"))
