@@ -50,12 +50,12 @@ def running_sum(placed: DataFrame, by: Sequence[str], order: str, amount: str, o
 HELD, FINE = 20_000, 10_000
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], held: int = HELD) -> list[float | None]:
     """Exact interpolated quantiles of a column, without moving or sorting it.
 
     A pass brackets each rank that is needed by approximate percentiles, whose error
     is bounded, and counts what lies below and inside; passes go on inside the
-    brackets, each some thousand times narrower, until these hold at most ``HELD``
+    brackets, each some thousand times narrower, until these hold at most ``held``
     rows, whose distinct values are then fetched.
     """
     x = df.select(F.col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)")
@@ -64,17 +64,17 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float |
     if not n:
         return [None] * len(probs)
     ends = [(h, int(h), min(int(h) + 1, n - 1)) for h in ((n - 1) * p for p in probs)]
-    found = ranked_values(x, sorted({r for _, a, b in ends for r in (a, b)}), (n, s["lo"], s["hi"]))
+    found = ranked_values(x, sorted({r for _, a, b in ends for r in (a, b)}), (n, s["lo"], s["hi"]), held)
     return [found[a] + (h - a) * (found[b] - found[a]) if found[a] != found[b] else found[a] for h, a, b in ends]
 
 
-def ranked_values(x: DataFrame, ranks: Sequence[int], about: tuple[int, float, float]) -> dict[int, float]:
+def ranked_values(x: DataFrame, ranks: Sequence[int], about: tuple[int, float, float], held: int = HELD) -> dict[int, float]:
     """The values of some ranks (from 0) of column x; ``about`` is its number of rows, least and largest value."""
     n, lo, hi = about
     bracket = {r: (lo, hi, 0, n) for r in ranks}  # least and largest value, rows below and inside
     inside = lambda a, b: (F.col("x") >= F.lit(a)) & (F.col("x") <= F.lit(b))
     while True:
-        wide = [r for r, (a, b, _, m) in bracket.items() if a < b and m > HELD]
+        wide = [r for r, (a, b, _, m) in bracket.items() if a < b and m > held]
         if not wide:
             break
         grids = []
@@ -101,10 +101,10 @@ def ranked_values(x: DataFrame, ranks: Sequence[int], about: tuple[int, float, f
         near = inside(*bracket[left[0]][:2])
         for r in left[1:]:
             near = near | inside(*bracket[r][:2])
-        held = sorted((r["x"], r["c"]) for r in x.filter(near).groupBy("x").agg(F.count("*").alias("c")).collect())
+        fetched = sorted((r["x"], r["c"]) for r in x.filter(near).groupBy("x").agg(F.count("*").alias("c")).collect())
         for r in left:
             a, b, before, _ = bracket[r]
-            for v, c in held:
+            for v, c in fetched:
                 if a <= v <= b:
                     if before + c > r:
                         out[r] = v

@@ -213,15 +213,12 @@ def test_exact_sums(spark):
         exact.exact_sum(spark.createDataFrame([(math.inf,)], "x double"), "x")
 
 
-def test_quantiles_narrow_down(spark, monkeypatch):
-    from quernel.operators import ranking
-
-    monkeypatch.setattr(ranking, "HELD", 50)
+def test_quantiles_narrow_down(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([np.round(rng.normal(size=9000), 3), np.full(6000, 0.25), rng.exponential(size=3000) * 1e6])
     d = spark.createDataFrame([(float(v), int(k % 3) if k % 7 else None) for k, v in enumerate(x)], "x double, g int")
     probs = [0.0, 0.001, 0.25, 0.5, 0.77, 0.999, 1.0]
-    assert quantiles(d, "x", probs) == pytest.approx(np.quantile(x, probs).tolist())
+    assert quantiles(d, "x", probs, 50) == pytest.approx(np.quantile(x, probs).tolist())
     assert quantiles(d.limit(0), "x", [0.5]) == [None]
     got = {r["g"]: (r["a"], r["b"]) for r in grouped_quantiles(d, "x", ["g"], {"a": 0.1, "b": 0.9}).collect()}
     groups = [None if k % 7 == 0 else k % 3 for k in range(len(x))]
