@@ -8,8 +8,9 @@ labelled main text are kept.  The network is trained on the driver, from a fixed
 seed, on ``PAGES`` generated pages; its weights have a fixed size and are all
 that executors get.
 
-Inline tags don't cut; ``br`` is white space; scripts, styles, templates, head
-and comments have no blocks; elements that HTML closes by itself are closed.
+Inline tags and formulas don't cut; ``br`` is white space; scripts, styles, templates,
+head, form controls, drawings, frames and comments have no blocks, and all other
+text is left to the labeller; elements that HTML closes by itself are closed.
 
 Defined results: null, empty or text-free html gives an empty text; rows that
 repeat stay; a page of any length is read whole; other columns are ignored.
@@ -33,10 +34,10 @@ PATH, WORDS, SHAPE, HIDDEN, PAGES, EPOCHS, SEED = 256, 32, 8, 20, 700, 10, 11
 SIZE = PATH + WORDS + SHAPE
 
 # Fixed values of the HTML standard: elements that are part of a line, that are empty, whose content isn't text, that end others.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr output".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr output math mi mn mo mrow msub msup msubsup mfrac msqrt mroot mtext mstyle mspace mover munder semantics annotation".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TEXT = frozenset("script style template noscript head title svg math iframe object textarea select option button canvas audio video".split())
-RAW = frozenset("script style textarea title iframe noscript".split())
+HIDDEN_TEXT = frozenset("script style template head title svg iframe textarea select option button".split())
+RAW = frozenset("script style textarea title iframe".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCE = frozenset("ul ol dl table".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">]++)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)

@@ -99,6 +99,23 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.uint32), counts
 
 
+def unpack_range(data: bytes, first: int, n: int) -> np.ndarray:
+    """Ids first .. first + n of a segment; only the blocks that hold them are read, by the chunk index."""
+    _, _, planes, block, docs, total = _HEAD.unpack_from(data)
+    entry = struct.Struct(f"<QI{planes}I")
+    index = _HEAD.size + 4 * docs
+    body, reader, out = index + entry.size * -(-total // block), zstandard.ZstdDecompressor(), [np.zeros(0, np.uint32)]
+    for k in range(first // block, -(-(first + n) // block) if n else 0):
+        at, m, *sizes = entry.unpack_from(data, index + k * entry.size)
+        at, plain, parts = at + body, m if planes == 4 else -(-m // 8), []
+        for size in sizes:
+            parts.append(reader.decompress(data[at : at + size], max_output_size=plain) if size else bytes(plain))
+            at += size
+        ids = from_planes(parts, m)
+        out.append(ids[max(0, first - k * block) : first + n - k * block])
+    return np.concatenate(out)
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them, with a cache by piece."""
 
@@ -137,16 +154,17 @@ class Encoder:
         cut[offs[:-1][offs[:-1] < len(data)]] = True
         return np.flatnonzero(cut)
 
-    def _of_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, closes: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _of_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, closes: np.ndarray, opens: np.ndarray, together: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, one after another, and how many each has.
 
         Pieces of one space and then none, with no other white space behind the
         space or at the end, are encoded many at a time: joined, they are cut
-        alike, and just the first token of each starts with a space.
+        alike, and just the first token of each starts with a space.  Should a
+        tokenizer cut them otherwise, each piece is encoded by itself.
         """
         blank = np.concatenate([[0], np.cumsum(data == 0x20)])
         size = ends - starts
-        joins = (size > 1) & (data[starts] == 0x20) & (blank[ends] - blank[starts] == 1) & closes[ends - 1]
+        joins = together & (size > 1) & (data[starts] == 0x20) & (blank[ends] - blank[starts] == 1) & closes[ends - 1]
         joins[joins] = opens[starts[joins] + 1]
         order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
         many = int(joins.sum())
@@ -165,7 +183,7 @@ class Encoder:
         head = int(lengths[:groups].sum())
         begins = np.flatnonzero(self.spaced[flat[:head]])
         if len(begins) != many:
-            raise ValueError("joined pieces were not cut apart")
+            return self._of_pieces(data, starts, ends, closes, opens, together=False)
         sizes = np.concatenate([np.diff(np.append(begins, head)), lengths[groups:]]) if many else lengths
         back = np.argsort(order)
         at = np.cumsum(sizes) - sizes
@@ -278,6 +296,24 @@ def read(segments: DataFrame) -> DataFrame:
     return mapped(rows, each, f"part int, seq int, doc_id {kind}, at bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def documents_of(segments: DataFrame, doc_ids: list) -> DataFrame:
+    """(doc_id, ids) of some documents, from the blocks that hold them."""
+    kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
+    wanted = set(doc_ids)
+
+    def each(batch):
+        for r in range(batch.num_rows):
+            data, names = batch.column(1)[r].as_buffer().to_pybytes(), batch.column(0)[r].as_py()
+            counts = np.frombuffer(data, "<u4", len(names), _HEAD.size).astype(np.int64)
+            starts = np.cumsum(counts) - counts
+            found = [(x, pa.array(unpack_range(data, int(starts[k]), int(counts[k])).astype(np.int64))) for k, x in enumerate(names) if x in wanted]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], batch.column(0).type.value_type), pa.array([i.to_pylist() for _, i in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    some = F.arrays_overlap("doc_ids", F.array(*[F.lit(x) for x in doc_ids]).cast(segments.schema["doc_ids"].dataType))
+    return mapped(segments.filter(some).select("doc_ids", "payload"), each, f"doc_id {kind}, ids array<bigint>")
+
+
 def write_and_read(docs: DataFrame, tokenizer: str, planes: int = 4) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, as read back from the stored segments."""
     segments = write(docs, tokenizer, planes)

@@ -10,7 +10,8 @@ to executors.
 
 Defined results: a null or empty text has zero statistics and gets the score of
 that; labels that are null are left out, several labels of a document count as
-their largest; without labels of both kinds every score is the labels' mean (0.5
+their largest; of labelled rows that share an id the one of least text hash is
+learnt from; without labels of both kinds every score is the labels' mean (0.5
 without any); rows that repeat stay; other columns are ignored.
 """
 
@@ -166,18 +167,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees from at most ``sample`` labelled rows outside fold 1."""
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     known = known.filter(fold() != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(known), "doc_id")
 
     def each(batch):
         for i, j in bs.slices(bs.column(batch.column(0))[1]):
             part = batch.slice(i, j - i)
             x = statistics(*bs.column(part.column(0)))
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["doc_id", "quality", "text_hash", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = mapped(rows.select("text", "doc_id", "quality"), each, f"doc_id {kind}, quality int, x array<float>").toPandas()
-    found["key"] = [tuple(x) for x in found["x"]]
-    found = found.sort_values(["doc_id", "key"])
+    found = mapped(rows.select("text", "doc_id", "quality", "text_hash"), each, f"doc_id {kind}, quality int, text_hash bigint, x array<float>")
+    # One row for each id, so that no more than ``sample`` reach the driver.
+    found = found.groupBy("doc_id").agg(F.min(F.struct("text_hash", "quality", "x")).alias("r")).select("doc_id", "r.quality", "r.x").toPandas().sort_values("doc_id")
     x = np.array(found["x"].tolist(), np.float32).reshape(-1, len(NAMES))
     return grow(x, found["quality"].to_numpy(np.float64))
 
@@ -208,5 +209,6 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
-    kept = score(docs, train(docs, labels, sample), "_quality_score").filter("_quality_score >= 0.5")
-    return kept.select(*docs.columns)
+    inner = docs.toDF(*[c if c in ("doc_id", "text") else f"other{i}" for i, c in enumerate(docs.columns)])  # no name clashes
+    kept = score(inner, train(docs, labels, sample)).filter("score >= 0.5")
+    return kept.drop("score").toDF(*docs.columns)

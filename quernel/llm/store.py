@@ -15,21 +15,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; one is set only where none is."""
+    """The session's ``spark.checkpoint.dir``; one is set only where none is, and only on a local master, whose executors share the machine's folders."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = Path(tempfile.gettempdir(), f"quernel-{os.getuid()}").as_uri()
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has stashed; until then it stays, since results read from it."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/quernel/{spark.sparkContext.applicationId}")
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts lineage: a lost executor costs the tasks it ran and never what was
     written.  Spark's commit protocol keeps the files of one attempt per task.
     """
-    path = f"{folder(df.sparkSession)}/quernel/{uuid.uuid4().hex}/{tag}"
+    path = f"{folder(df.sparkSession)}/quernel/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
