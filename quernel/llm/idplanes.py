@@ -116,6 +116,13 @@ def unpack_range(data: bytes, first: int, n: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def picked(data: bytes, names: list, wanted: set) -> list[tuple[object, np.ndarray]]:
+    """(name, ids) of those documents of a segment that are wanted."""
+    counts = np.frombuffer(data, "<u4", len(names), _HEAD.size).astype(np.int64)
+    starts = np.cumsum(counts) - counts
+    return [(x, unpack_range(data, int(starts[k]), int(counts[k]))) for k, x in enumerate(names) if x in wanted]
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them, with a cache by piece."""
 
@@ -303,12 +310,9 @@ def documents_of(segments: DataFrame, doc_ids: list) -> DataFrame:
 
     def each(batch):
         for r in range(batch.num_rows):
-            data, names = batch.column(1)[r].as_buffer().to_pybytes(), batch.column(0)[r].as_py()
-            counts = np.frombuffer(data, "<u4", len(names), _HEAD.size).astype(np.int64)
-            starts = np.cumsum(counts) - counts
-            found = [(x, pa.array(unpack_range(data, int(starts[k]), int(counts[k])).astype(np.int64))) for k, x in enumerate(names) if x in wanted]
+            found = picked(batch.column(1)[r].as_buffer().to_pybytes(), batch.column(0)[r].as_py(), wanted)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], batch.column(0).type.value_type), pa.array([i.to_pylist() for _, i in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], batch.column(0).type.value_type), pa.array([i.tolist() for _, i in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     some = F.arrays_overlap("doc_ids", F.array(*[F.lit(x) for x in doc_ids]).cast(segments.schema["doc_ids"].dataType))
     return mapped(segments.filter(some).select("doc_ids", "payload"), each, f"doc_id {kind}, ids array<bigint>")
