@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, htmlextract, idplanes, jaccard, mixing, piecewise, quality, spandedup, tokencount, toolchat
 
@@ -70,6 +71,16 @@ def op10_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.with_next(_table(spark, sf_dir, "documents"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the source mix no draw decides: sizes and targets."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts that fingerprints are compared on."""
+    return piecewise.with_next(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_scores": op1_quality_scores,
     "op2_source_mix": op2_source_mix,
@@ -81,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tool_chat": op8_tool_chat,
     "op9_shingle_components": op9_shingle_components,
     "op10_piecewise_fingerprints": op10_piecewise_fingerprints,
+    "mix_targets": mix_targets,
+    "fingerprint_edits": fingerprint_edits,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,6 +129,22 @@ l as (select x.doc_id as a, y.doc_id as b from s x join s y on x.g = y.g and x.d
 r(doc_id, other) as (select doc_id, doc_id from w union select r.doc_id, l.b from r join l on l.a = r.other)
 select w.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
 from w left join n using (doc_id) join (select doc_id, min(other) as component_id from r group by doc_id) c using (doc_id)
+""",
+    "mix_targets": r"""
+with w as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size from w group by source),
+r as (select *, row_number() over (order by source nulls last) - 1 as at, 2.0::double * source_size as cap from s),
+v as (select *, [5.0::double, 2.0, 1.0][at % 3 + 1] as weight from r),
+l as (select *, (1.5 * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, at rows between unbounded preceding and 1 preceding), 0))
+       / sum(weight) over (order by cap / weight, at rows between current row and unbounded following) as level from v),
+f as (select arg_min(level, cap / weight) as fill from l where cap / weight >= level)
+select w.doc_id, w.size, l.source_size, round(least(l.cap, coalesce(f.fill * l.weight, l.cap)), 6) as target
+from w join l on w.source is not distinct from l.source cross join f
+""",
+    "fingerprint_edits": """
+with t as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, first_value(coalesce(text, '')) over (order by doc_id desc) as top,
+                  lead(coalesce(text, '')) over (order by doc_id desc) as below from documents)
+select doc_id, n as n_chars, sha256(left(t, n - n // 2) || left(coalesce(below, top), n // 2)) as edited_sha256 from t
 """,
     # Rows with calls or results would be missing here; the given tables have none.
     "op8_tool_chat": """
