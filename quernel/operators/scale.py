@@ -19,6 +19,8 @@ from .fit import Passes, fit_gumbel, fit_weibull, log_digamma_root, power_sums,
 
 ONE_PASS, MANY = ("exponential", "normal", "lognormal", "gamma"), ("weibull", "gumbel")
 LEAST_BUDGET, MOST_BUDGET = 3, 17
+#: Sums beyond count, mean and extremes; the plan drops all others.
+SUMS = {"exponential": (), "normal": ("var",), "lognormal": ("ml", "vl", "sl"), "gamma": ("ml",)}
 
 
 class StoredPasses(Passes):
@@ -71,7 +73,7 @@ def fit(df: DataFrame, value: str, name: str, pass_budget: int = 8, store: str |
         r = (fit_weibull if f.name == "weibull" else fit_gumbel)(df, value, passes=passes)
         out = {"code": r["code"], "n": r["n"], "params": {k: r[k] for k in f.params if k in r}, "loglik": r.get("loglik")}
     else:
-        out = _one_pass(f.name, passes.run("sums", sufficient(df, value)))
+        out = _one_pass(f.name, passes.run("sums", sufficient(df, value).select("n", "mean", "lo", "hi", *SUMS[f.name])))
     k = len(f.params)
     if out["loglik"] is not None:
         out |= {"aic": 2 * k - 2 * out["loglik"], "bic": k * math.log(out["n"]) - 2 * out["loglik"]}
