@@ -133,10 +133,10 @@ from w left join n using (doc_id) join (select doc_id, min(other) as component_i
     "mix_targets": r"""
 with w as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from w group by source),
-r as (select *, row_number() over (order by source nulls last) - 1 as at, 2.0::double * source_size as cap from s),
-v as (select *, [5.0::double, 2.0, 1.0][at % 3 + 1] as weight from r),
-l as (select *, (1.5 * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, at rows between unbounded preceding and 1 preceding), 0))
-       / sum(weight) over (order by cap / weight, at rows between current row and unbounded following) as level from v),
+r as (select *, row_number() over (order by source nulls last) - 1 as k, 2.0::double * source_size as cap from s),
+v as (select *, [5.0::double, 2.0, 1.0][k % 3 + 1] as weight from r),
+l as (select *, (1.5 * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, k rows between unbounded preceding and 1 preceding), 0))
+       / sum(weight) over (order by cap / weight, k rows between current row and unbounded following) as level from v),
 f as (select arg_min(level, cap / weight) as fill from l where cap / weight >= level)
 select w.doc_id, w.size, l.source_size, round(least(l.cap, coalesce(f.fill * l.weight, l.cap)), 6) as target
 from w join l on w.source is not distinct from l.source cross join f
