@@ -180,7 +180,19 @@ def environment_digest(spark) -> str:
     return h.hexdigest()
 
 
-def report_html(fitted: dict, title: str = "Fit") -> str:
-    """A small semantic page about one fit."""
-    cells = "".join(f"<tr><th scope='row'>{html.escape(str(k))}</th><td>{html.escape(f'{v:.6g}' if isinstance(v, float) else str(v))}</td></tr>" for k, v in {**{k: v for k, v in fitted.items() if not isinstance(v, (dict, list))}, **fitted.get("params", {})}.items())
-    return f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><main><h1>{html.escape(title)}</h1><table>{cells}</table></main></body></html>"
+#: Labels of a report by language.
+LABELS = {
+    "en": {"family": "Family", "code": "Outcome", "n": "Values", "loglik": "Log-likelihood", "aic": "AIC", "bic": "BIC", "passes": "Passes", "title": "Fitted distribution"},
+    "de": {"family": "Familie", "code": "Ergebnis", "n": "Werte", "loglik": "Log-Likelihood", "aic": "AIC", "bic": "BIC", "passes": "Durchläufe", "title": "Angepasste Verteilung"},
+    "fa": {"family": "خانواده", "code": "نتیجه", "n": "تعداد", "loglik": "لگاریتم درست‌نمایی", "aic": "AIC", "bic": "BIC", "passes": "گذرها", "title": "توزیع برازش‌شده"},
+}
+
+
+def report_html(fitted: dict, title: str | None = None, language: str = "en") -> str:
+    """A small semantic page about one fit, in English, German or Persian (from right to left)."""
+    names = LABELS[language]
+    title = title or names["title"]
+    shown = {**{k: v for k, v in fitted.items() if not isinstance(v, (dict, list))}, **fitted.get("params", {})}
+    cells = "".join(f"<tr><th scope='row'>{html.escape(names.get(str(k), str(k)))}</th><td dir='ltr'>{html.escape(f'{v:.6g}' if isinstance(v, float) else str(v))}</td></tr>" for k, v in shown.items())
+    direction = "rtl" if language == "fa" else "ltr"
+    return f"<!DOCTYPE html><html lang='{language}' dir='{direction}'><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><main><h1>{html.escape(title)}</h1><table>{cells}</table></main></body></html>"

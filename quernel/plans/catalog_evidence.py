@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.families import column
-from ..operators import assess, evidence, exact, fit, gof, samples, scale, uncertainty
+from ..operators import assess, evidence, exact, fit, folds, gof, samples, scale, score, uncertainty
 from ..sources import lifetime_csv, partitions, tables
 from ..sources.observations import observations
 from ..streaming import fits as streams
@@ -117,6 +117,65 @@ def _(spark, d):
     return row(spark, n=r["n"], shape=round(r["params"]["shape"], 3), scale=round(r["params"]["scale"], 2))
 
 
+_FRACTION = "z"
+for _k in range(60, 0, -1):
+    _FRACTION = f"(z + {_k} / {_FRACTION})"
+_MILLS = f"case when z > 2 then {_FRACTION} else exp(-0.5 * z * z) / sqrt(2 * pi()) / (1 - ({_PHI})) end"
+for _name, _y in (("normal", "value"), ("lognormal", "ln(value)")):
+    # Expectation and maximisation, whose fixed point is the maximum of the likelihood.
+    _sql = f"""with recursive t as (select {_y} as y, event_type <> 'view' as seen from events where value > 0), e as (select count(*)::double as n, sum(y) filter (seen) as s1, sum(y * y) filter (seen) as s2 from t), c as (select y from t where not seen),
+p(i, m, s) as (select 0, avg(y), stddev_pop(y) from t union all select i + 1, m2, sqrt(q2 - m2 * m2) from (
+select i, (s1 + a) / n as m2, (s2 + b) / n as q2 from (select p.i, e.n, e.s1, e.s2, sum(m + s * lam) as a, sum(m * m + s * s + s * (y + m) * lam) as b from e, (select i, m, s, y, {_MILLS} as lam from (select p.i, p.m, p.s, c.y, (c.y - p.m) / p.s as z from p, c where p.i < 30)) p group by 1, 2, 3, 4)))
+select (select n::bigint from e) as n, round(m, 2) as mu, round(s, 2) as sigma from p where i = 30"""
+
+    @query(f"fit_{_name}_censored", _sql)
+    def _(spark, d, name=_name):
+        e = _events(spark, d).filter("value > 0").withColumn("seen", F.col("event_type") != "view")
+        r = fit.newton_fit(observations(e, "value", event="seen"), name)
+        return row(spark, n=r["n"], mu=round(r["params"]["mu"], 2), sigma=round(r["params"]["sigma"], 2))
+
+
+@query("fit_logistic", """with recursive t as (select o_totalprice / 100000 as x from orders), p(i, m, s) as (select 0, median(x), stddev_pop(x) * sqrt(3) / pi() from t union all
+select i + 1, m - (d22 * g1 - d12 * g2) / (d11 * d22 - d12 * d21), s - (d11 * g2 - d21 * g1) / (d11 * d22 - d12 * d21) from (
+select i, any_value(m) as m, any_value(s) as s, sum(h) as g1, sum(z * h) - count(*) as g2, -sum(d) / any_value(s) as d11, -sum(z * d) / any_value(s) as d12, -sum(h + z * d) / any_value(s) as d21, -sum(z * (h + z * d)) / any_value(s) as d22
+from (select i, m, s, (x - m) / s as z, tanh((x - m) / s / 2) as h, (1 - tanh((x - m) / s / 2) * tanh((x - m) / s / 2)) / 2 as d from p, t where i < 25) group by i))
+select (select count(*) from t) as n, round(m, 4) as location, round(s, 4) as scale from p where i = 25""")
+def _(spark, d):
+    o = _orders(spark, d).select((F.col("o_totalprice") / 100000).alias("x"))
+    r = fit.newton_fit(observations(o, "x"), "logistic")
+    return row(spark, n=r["n"], location=round(r["params"]["location"], 4), scale=round(r["params"]["scale"], 4))
+
+
+@query("fit_cauchy", """with recursive t as (select o_totalprice / 100000 as x from orders), p(i, m, s) as (select 0, median(x), 0.5::double from t union all
+select i + 1, m + a / w, sqrt((q - a * a / w) / n * 2) from (select i, any_value(m) as m, count(*)::double as n, sum(1 / (1 + z * z)) as w, sum((x - m) / (1 + z * z)) as a, sum((x - m) * (x - m) / (1 + z * z)) as q from (select i, m, s, x, (x - m) / s as z from p, t where i < 120) group by i))
+select (select count(*) from t) as n, round(m, 3) as location, round(s, 3) as scale from p where i = 120""")
+def _(spark, d):
+    o = _orders(spark, d).select((F.col("o_totalprice") / 100000).alias("x"))
+    r = fit.newton_fit(observations(o, "x"), "cauchy")
+    return row(spark, n=r["n"], location=round(r["params"]["location"], 3), scale=round(r["params"]["scale"], 3))
+
+
+@query("score_weibull", "select round(sum(case when seen then ln(1.2 / 50.0) + 0.2 * ln(x / 50.0) else 0 end - pow(x / 50.0, 1.2)), 3) as value, round(sum(case when seen then 1 + u else 0 end - u * exp(u)), 3) as d_shape, round(sum(1.2 * (exp(u) - seen::int)), 3) as d_scale, round(sum(case when seen then u else 0 end - u * exp(u) - u * u * exp(u)), 3) as d_shape_shape, round(sum(1.2 * (exp(u) + u * exp(u) - seen::int)), 3) as d_shape_scale, round(sum(-1.44 * exp(u)), 3) as d_scale_scale from (select value as x, 1.2 * ln(value / 50.0) as u, event_type <> 'view' as seen from events where value > 0)")
+def _(spark, d):
+    """Log-likelihood, gradient and Hessian of a censored sample from one aggregation."""
+    o = observations(_events(spark, d).filter("value > 0").withColumn("seen", F.col("event_type") != "view"), "value", event="seen")
+    v, g, h = score.derivatives(o, "weibull", (1.2, 50.0))
+    return row(spark, value=round(v, 3), d_shape=round(g[0], 3), d_scale=round(g[1], 3), d_shape_shape=round(h[0, 0], 3), d_shape_scale=round(h[0, 1], 3), d_scale_scale=round(h[1, 1], 3))
+
+
+@query("own_reducer", "select count(*) as n, round(sum(value), 4) as total, max(value) as top from events")
+def _(spark, d):
+    """An aggregation of one's own, folded in tasks and merged in a tree."""
+    import struct
+
+    r = folds.Reducer(
+        empty=lambda: (0, 0.0, 0.0), update=lambda s, b: (s[0] + b.num_rows, s[1] + float(b.column(0).to_numpy().sum()), max(s[2], float(b.column(0).to_numpy().max()))),
+        merge=lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2])), to_bytes=lambda s: struct.pack("<qdd", *s), from_bytes=lambda v: struct.unpack("<qdd", v),
+    )
+    n, total, top = folds.fold(_events(spark, d).select("value").repartition(9), r, fan=2)
+    return row(spark, n=n, total=round(total, 4), top=top)
+
+
 # Sources
 
 

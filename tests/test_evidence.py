@@ -260,3 +260,51 @@ def test_refusals_and_choice(spark):
     m, s = gof._FAST["logistic"](x)
     t = np.tanh((x - m) / s / 2)
     assert abs(t.sum()) < 1e-8 and abs(((x - m) / s * t).sum() - len(x)) < 1e-6
+
+
+@pytest.mark.parametrize("name,params", [("exponential", (0.3,)), ("weibull", (1.4, 3.0)), ("gumbel", (2.0, 1.5)), ("normal", (2.5, 1.7)), ("lognormal", (0.8, 0.9)), ("gamma", (2.2, 1.3))])
+def test_derivatives_equal_differences(spark, name, params):
+    from quernel.functions.families import family
+    from quernel.operators import score
+    from quernel.sources.observations import observations
+
+    rng = np.random.default_rng(5)
+    rows = [(float(v), bool(c) or name == "gamma", float(w)) for v, c, w in zip(rng.gamma(2, 1.5, 60) + 0.05, rng.random(60) < 0.6, rng.integers(0, 3, 60), strict=True)]
+    o = observations(spark.createDataFrame(rows, "x double, seen boolean, w double"), "x", event="seen", weight="w").persist()
+    value, g, h = score.derivatives(o, name, params)
+    positive = family(name).positive
+    move = lambda u: tuple(math.exp(v) if q else v for v, q in zip(u, positive, strict=True))
+    u, e = np.array([math.log(v) if q else v for v, q in zip(params, positive, strict=True)]), 1e-3
+    k = len(u)
+    points = [u] + [u + s * e * np.eye(k)[i] for i in range(k) for s in (1, -1)] + [u + e * (s * np.eye(k)[0] + t * np.eye(k)[1]) for s in (1, -1) for t in (1, -1) if k > 1]
+    _, ll = fit.log_likelihoods(o, name, [move(p) for p in points])
+    assert value == pytest.approx(ll[0], rel=1e-10)
+    for i in range(k):
+        assert g[i] == pytest.approx((ll[1 + 2 * i] - ll[2 + 2 * i]) / (2 * e), rel=1e-4, abs=1e-4)
+        assert h[i, i] == pytest.approx((ll[1 + 2 * i] - 2 * ll[0] + ll[2 + 2 * i]) / e**2, rel=1e-3, abs=1e-3)
+    if k > 1:
+        pp, pm, mp, mm = ll[1 + 2 * k :]
+        assert h[0, 1] == h[1, 0] == pytest.approx((pp - pm - mp + mm) / (4 * e * e), rel=1e-3, abs=1e-3)
+    o.unpersist()
+
+
+def test_stream_of_draws(spark, tmp_path):
+    from quernel.streaming import source
+
+    source.register(spark)
+    s = spark.readStream.format("quernel_draws").option("family", "exponential").option("params", "[0.5]").option("rows", 200).option("blocks", 6).load()
+    q = s.writeStream.format("memory").queryName("draws").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for _ in range(40):
+            q.processAllAvailable()
+            if spark.table("draws").count() >= 1200:
+                break
+    finally:
+        q.stop()
+    rows = spark.table("draws").toPandas().sort_values("row")
+    assert rows.row.tolist() == list(range(1200)) and abs(rows["value"].mean() - 2) < 0.3
+
+
+def test_report_languages():
+    f = {"family": "weibull", "code": "OK", "n": 3, "params": {"shape": 1.5}}
+    assert "dir='rtl'" in assess.report_html(f, language="fa") and "Werte" in assess.report_html(f, language="de") and "Values" in assess.report_html(f)
