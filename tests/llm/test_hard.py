@@ -233,3 +233,15 @@ def test_mix_stage_equals_its_plan(spark, sf):
     got = mixing.mixed_documents(docs).groupBy("doc_id", F.xxhash64("text").alias("h")).count()
     assert {r["doc_id"]: r["count"] for r in got.collect()} == want
     assert got.join(docs.select("doc_id", F.xxhash64("text").alias("h")), ["doc_id", "h"], "left_anti").count() == 0
+
+
+def test_labels_without_telling_names(monkeypatch):
+    """Pages whose main block is a plain div with no class, or one that says nothing."""
+    from quernel.llm import pagemaker
+
+    monkeypatch.setitem(pagemaker.TAGS, "main", "div")
+    monkeypatch.setitem(pagemaker.NAMES, "main", "wrapper container row box x7f2a")
+    x, first, y = htmlextract.generated(150, 777)
+    right = (htmlextract.network().label(x, first) >= 0.5) == y
+    print("blocks labelled right without telling names:", right.mean())
+    assert right.mean() > 0.93
