@@ -5,7 +5,9 @@ piece ends, so that equal passages are cut alike wherever they stand.  Each piec
 gives one of 64 characters.  k is the largest at which a text has at least
 ``HALF`` cuts (``LEAST_K`` for short texts), and a fingerprint holds the
 characters at k and at k + 1, up to ``FULL`` each, of which the last stands for
-all the rest.  Two fingerprints are compared at k's they share, by edit distance,
+all the rest: of a text with more pieces than that, which happens where cuts
+cluster, a change behind the last cut that counts shows in one character only.
+Two fingerprints are compared at k's they share, by edit distance,
 bit-parallel over all pairs of a batch.
 
 Neighbours in order of doc_id come from a range partition: each task streams its
