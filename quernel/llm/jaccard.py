@@ -13,17 +13,20 @@ signatures to make against pairs that chance would make from the corpus' number
 of documents; short sets in a large corpus get deletions.
 
 Sets that share a signature are compared by a sketch first: of 4 (H + 1)
-sub-segments, a link leaves all but H equal, so one byte for each gives an exact
-upper bound.  Survivors are verified on their whole texts.  To report components
+sub-segments, a link leaves all but H equal, so four bits for each give an exact
+bound.  Survivors are verified on their whole texts.  To report components
 it isn't needed to verify every pair.  In a first round every set of a bucket
 meets the one that is in most buckets, such as the text that others were edited
 from, and of the partners that its sketch allows one is verified.  After that nearly
 all buckets hold sets of one component only and are dropped.  The second round
-compares all sets of different components in the buckets that are left.  A
-bucket's largest component needs no comparison within itself; all other sets meet
-each other and it in blocks of about ``BLOCK`` sets, by as many tasks as there are
-pairs of blocks, so that neither a task nor the rows grow with the square of a
-group of copies.
+compares all sets of different components in the buckets that are left.  Of a
+bucket of up to ``LISTED`` sets the pairs themselves are told, which are the same in
+the many buckets that two sets share, and get their sketches once; beyond that the
+sketches go along and only near pairs are told.  There a bucket's largest component
+needs no comparison within itself; all other sets meet each other and it in blocks
+of about ``BLOCK`` sets, by as many tasks as there are pairs of blocks, so that
+neither a task nor the rows grow with the square of a group of copies.  Both ways
+tell the same pairs.
 
 Equal sets are one node, a 64-bit fingerprint whose collisions are detected with
 a second one.  Defined results: a null or empty text has no words, 0 shingles
@@ -47,7 +50,7 @@ from .bits import bitmap, inside
 from .components import components
 from .store import mapped, ship, stash, trim
 
-SHINGLE, BLOCK, FINE, TOGETHER = 3, 512, 4, 1 << 12
+SHINGLE, LISTED, BLOCK, FINE, TOGETHER = 3, 32, 512, 4, 1 << 12
 SEEN = 1 << 18
 KEY = ("text_hash", "text_hash_2")
 _U = np.uint64
@@ -59,6 +62,10 @@ def text_key() -> list:
     return [F.xxhash64("text").alias(KEY[0]), F.xxhash64(F.lit(7), "text").alias(KEY[1])]
 
 
+#: How many of a byte's two halves are not zero.
+_HALVES = np.array([(b & 15 > 0) + (b >> 4 > 0) for b in range(256)], np.uint8)
+
+
 class Plan:
     """Bands and, for each scheme, the largest difference, segments, and how many of these get deletions."""
 
@@ -159,7 +166,8 @@ def sketches(h: np.ndarray, first: np.ndarray, plan: Plan) -> tuple[list[bytes |
                 q = FINE * (int(plan.most[k]) + 1)
                 total = np.zeros(q, _U)
                 np.add.at(total, ((part >> _U(32)) * _U(q) >> _U(32)).astype(np.int64), bs.mix(part))
-                out[k & 1][r] = (bs.mix(total) & _U(255)).astype(np.uint8).tobytes()
+                half = (bs.mix(total) & _U(15)).astype(np.uint8)
+                out[k & 1][r] = (half[0::2] | half[1::2] << 4).tobytes()
     return out
 
 
@@ -203,6 +211,21 @@ def _grouped(rows: DataFrame, keys: list[str], each, schema: str, order: tuple[s
     return dealt.mapInArrow(run, schema)
 
 
+def _pairs_of(batch: pa.RecordBatch, cuts: np.ndarray):
+    """All pairs of nodes of different roots in each group."""
+    node, root = (batch.column(batch.schema.names.index(k)).to_numpy() for k in ("node", "root"))
+    low, high = [], []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        i, j = np.triu_indices(b - a, 1)
+        apart = root[a + i] != root[a + j]
+        low.append(node[a + i[apart]])
+        high.append(node[a + j[apart]])
+    lo, hi = np.concatenate(low), np.concatenate(high)
+    if len(lo):
+        pair = np.unique(np.stack([np.minimum(lo, hi), np.maximum(lo, hi)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
+
+
 class Join:
     """One run: its tables are written once and read by the rounds."""
 
@@ -298,7 +321,7 @@ class Join:
             for r, k in enumerate(scheme.tolist()):
                 x, y = (left if k % 2 == 0 else right)
                 x, y = (np.frombuffer(v[r].as_buffer(), np.uint8) for v in (x, y))
-                keep[r] = len(x) == len(y) and int((x != y).sum()) <= plan.most[k]
+                keep[r] = len(x) == len(y) and int(_HALVES[x ^ y].sum()) <= plan.most[k]
             at = pa.array(np.flatnonzero(keep))
             return pa.RecordBatch.from_arrays([cols["a"].take(at), cols["b"].take(at)], ["a", "b"])
 
@@ -327,7 +350,9 @@ class Join:
         shape = each_root.groupBy("sig").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"))
         one = F.col("c") <= BLOCK
         others, most = F.ceil((F.col("c") - F.col("top.c")) / BLOCK).cast("int"), F.ceil(F.col("top.c") / BLOCK).cast("int")
-        shape = shape.select("sig", F.col("top.root").alias("top"), F.when(one, 1).otherwise(others).alias("others"), F.when(one, 0).otherwise(most).alias("most"))
+        few = self.open.join(shape.filter(F.col("c") <= LISTED).select("sig"), "sig")
+        listed = self.near(_grouped(few, ["sig"], _pairs_of, "a bigint, b bigint").distinct())
+        shape = shape.filter(F.col("c") > LISTED).select("sig", F.col("top.root").alias("top"), F.when(one, 1).otherwise(others).alias("others"), F.when(one, 0).otherwise(most).alias("most"))
         many = self.open.join(shape, "sig")
         within = (F.col("root") == F.col("top")) & (F.col("most") > 0)
         block = F.when(within, F.col("others") + F.pmod(F.xxhash64("node"), F.greatest("most", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
@@ -346,7 +371,7 @@ class Join:
                 if b - a < 2 or (group[a:b] == group[a]).all():
                     continue
                 marks = np.frombuffer(b"".join(cols["sketch"].slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
-                most, step = marks.shape[1] // FINE - 1, max(1, TOGETHER // (b - a))
+                most, step = 2 * marks.shape[1] // FINE - 1, max(1, TOGETHER // (b - a))
                 for c in range(a, b, step):
                     j, i = (x.ravel() for x in np.meshgrid(np.arange(c, min(c + step, b)), np.arange(a, b), indexing="ij"))
                     fits = (i < j) & (group[i] != group[j]) & (10 * np.minimum(size[i], size[j]) >= 9 * np.maximum(size[i], size[j]))
@@ -355,7 +380,7 @@ class Join:
                         fits &= block[i] != block[j]
                     i, j = i[fits], j[fits]
                     if len(i):
-                        near = np.concatenate([(marks[i[k : k + 512] - a] != marks[j[k : k + 512] - a]).sum(axis=1) for k in range(0, len(i), 512)]) <= most
+                        near = np.concatenate([_HALVES[marks[i[k : k + 512] - a] ^ marks[j[k : k + 512] - a]].sum(axis=1) for k in range(0, len(i), 512)]) <= most
                         low.append(node[i[near]])
                         high.append(node[j[near]])
             if low:
@@ -363,7 +388,7 @@ class Join:
                 pair = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
 
-        return _grouped(rows, ["sig", "p", "q"], each, "a bigint, b bigint").distinct()
+        return listed.union(_grouped(rows, ["sig", "p", "q"], each, "a bigint, b bigint")).distinct()
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sets, made again from the whole texts, are similar enough."""

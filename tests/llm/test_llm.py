@@ -590,8 +590,9 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_jaccard_components(spark, monkeypatch, block):
+@pytest.mark.parametrize("listed,block", [(32, 512), (1, 4)])
+def test_jaccard_components(spark, monkeypatch, listed, block):
+    monkeypatch.setattr(jaccard, "LISTED", listed)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = np.random.default_rng(11)
     vocab = [f"t{k}" for k in range(400)]
