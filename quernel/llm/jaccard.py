@@ -26,7 +26,8 @@ sketches go along and only near pairs are told.  There a bucket's largest compon
 needs no comparison within itself; all other sets meet each other and it in blocks
 of about ``BLOCK`` sets, by as many tasks as there are pairs of blocks, so that
 neither a task nor the rows grow with the square of a group of copies.  Both ways
-tell the same pairs.
+tell the same pairs.  Joins with tables that grow with the corpus are merge joins at
+every size, so that none becomes a broadcast where the corpus happens to be small.
 
 Equal sets are one node, a 64-bit fingerprint whose collisions are detected with
 a second one.  Defined results: a null or empty text has no words, 0 shingles
@@ -310,7 +311,7 @@ class Join:
         """Pairs whose sizes and sketches allow a link."""
         plan = self.plan
         side = self.held.select("node", "n", "even", "odd")
-        met = pairs.join(side.toDF("a", "na", "ea", "oa"), "a").join(side.toDF("b", "nb", "eb", "ob"), "b")
+        met = pairs.join(side.toDF("a", "na", "ea", "oa").hint("merge"), "a").join(side.toDF("b", "nb", "eb", "ob").hint("merge"), "b")
         met = met.filter(F.least("na", "nb") * 10 >= F.greatest("na", "nb") * 9)
 
         def each(batch):
@@ -330,10 +331,10 @@ class Join:
     def star_pairs(self) -> DataFrame:
         """For each set one near partner, of those that are in more buckets than all others of some bucket."""
         degree = self.buckets.groupBy("node").agg(F.count("*").alias("degree"))
-        ranked = self.buckets.join(degree, "node")
+        ranked = self.buckets.join(degree.hint("merge"), "node").repartition("sig")  # one exchange for both uses
         centre = ranked.groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("c"))
-        met = ranked.join(centre, "sig").filter("node <> c.node").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-        near = self.near(met).join(degree.toDF("a", "degree"), "a")
+        met = ranked.join(centre.hint("merge"), "sig").filter("node <> c.node").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+        near = self.near(met).join(degree.toDF("a", "degree").hint("merge"), "a")
         return near.groupBy("b").agg(F.max(F.struct("degree", "a")).alias("c")).select("c.a", "b")
 
     def rest_pairs(self, root: DataFrame) -> DataFrame:
@@ -343,14 +344,14 @@ class Join:
         belong to the other scheme, under which they share a signature too.
         """
         plan = self.plan
-        rooted = self.buckets.join(root, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+        rooted = self.buckets.join(root.hint("merge"), "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")).repartition("sig")
         several = rooted.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("sig")
-        self.open = stash(rooted.join(several, "sig"), "open")
+        self.open = stash(rooted.join(several.hint("merge"), "sig"), "open")
         each_root = self.open.groupBy("sig", "root").agg(F.count("*").alias("c"))
         shape = each_root.groupBy("sig").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"))
         one = F.col("c") <= BLOCK
         others, most = F.ceil((F.col("c") - F.col("top.c")) / BLOCK).cast("int"), F.ceil(F.col("top.c") / BLOCK).cast("int")
-        few = self.open.join(shape.filter(F.col("c") <= LISTED).select("sig"), "sig")
+        few = self.open.join(shape.filter(F.col("c") <= LISTED).select("sig").hint("merge"), "sig")
         listed = self.near(_grouped(few, ["sig"], _pairs_of, "a bigint, b bigint").distinct())
         shape = shape.filter(F.col("c") > LISTED).select("sig", F.col("top.root").alias("top"), F.when(one, 1).otherwise(others).alias("others"), F.when(one, 0).otherwise(most).alias("most"))
         many = self.open.join(shape, "sig")
@@ -393,7 +394,7 @@ class Join:
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sets, made again from the whole texts, are similar enough."""
         side = self.held.select("node", "body")
-        met = pairs.join(side.toDF("a", "ta"), "a").join(side.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        met = pairs.join(side.toDF("a", "ta").hint("merge"), "a").join(side.toDF("b", "tb").hint("merge"), "b").select("a", "b", "ta", "tb")
 
         def each(batch):
             reader, a, b, i = zstandard.ZstdDecompressor(), batch.column(2), batch.column(3), 0
