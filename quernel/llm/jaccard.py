@@ -455,13 +455,22 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = stash(own.join(crowded, "root").filter(order != F.col("best")).select("doc_id", *KEY), "gone")
     again = stash(own.filter("copies > 1").select("doc_id", *KEY), "again")
     hashed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), *[h.alias(f"_{k}") for h, k in zip(text_key(), KEY, strict=True)])
+    # Whole rows move only where their text hash may be one of these; all others are kept as they are read.
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.union(again), KEY[0]))
+
+    @F.arrow_udf("boolean")
+    def named_too(h: pa.Array) -> pa.Array:
+        return pa.array(inside(h.to_numpy(zero_copy_only=False).view(np.uint64), *bits.value))
+
+    clear, kept = (hashed.filter(f) for f in (~named_too(f"_{KEY[0]}"), named_too(f"_{KEY[0]}")))
 
     def met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         named = keys.toDF("id", *KEY)
         return rows.join(named, F.col("_id").eqNullSafe(named["id"]) & (F.col(f"_{KEY[0]}") == named[KEY[0]]) & (F.col(f"_{KEY[1]}") == named[KEY[1]]), how)
 
-    kept = met(hashed, gone, "left_anti")
+    kept = met(kept, gone, "left_anti")
     if again.limit(1).count():
         once = met(kept, again, "left_semi").dropDuplicates(["_id", *[f"_{k}" for k in KEY]])
         kept = met(kept, again, "left_anti").unionByName(once)
+    kept = clear.unionByName(kept)
     return kept.select("_row.*")
