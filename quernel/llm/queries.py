@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlextract, idplanes, jaccard, mixing, piecewise, quality, spandedup, tokencount, toolchat
+from . import collocations, decontam, htmlextract, idplanes, jaccard, mixing, pii, piecewise, quality, spandedup, tokencount, toolchat, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,21 @@ def op10_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.with_next(_table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail and network addresses, card and phone numbers, disguised ones too."""
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings on the first four components, with unit variance."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to five words of each language."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the source mix no draw decides: sizes and targets."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
@@ -92,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tool_chat": op8_tool_chat,
     "op9_shingle_components": op9_shingle_components,
     "op10_piecewise_fingerprints": op10_piecewise_fingerprints,
+    "op11_personal_data": op11_personal_data,
+    "op12_whitened": op12_whitened,
+    "op13_phrase_collocations": op13_phrase_collocations,
     "mix_targets": mix_targets,
     "fingerprint_edits": fingerprint_edits,
 }
@@ -129,6 +147,26 @@ l as (select x.doc_id as a, y.doc_id as b from s x join s y on x.g = y.g and x.d
 r(doc_id, other) as (select doc_id, doc_id from w union select r.doc_id, l.b from r join l on l.a = r.other)
 select w.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
 from w left join n using (doc_id) join (select doc_id, min(other) as component_id from r group by doc_id) c using (doc_id)
+""",
+    "op13_phrase_collocations": rf"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+n as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
+g as (select lang, k, array_to_string(ws[i : i + k - 1], ' ') as phrase, count(*) as f
+      from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (select unnest(range(1, 6)) as k) where len(ws) >= k)
+      group by lang, k, phrase having count(*) >= 100),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from g where k > 1),
+cut as (select c.lang, c.k, c.phrase, c.a, x.f as l, y.f as r, n.n, j, (1000::hugeint * c.a * n.n) // (x.f::hugeint * y.f) as score
+        from (select *, unnest(range(1, k)) as j from c) c
+        join g x on x.lang = c.lang and x.phrase = array_to_string(ws[1 : j], ' ')
+        join g y on y.lang = c.lang and y.phrase = array_to_string(ws[j + 1 : c.k], ' ') join n on n.lang = c.lang),
+best as (select *, row_number() over (partition by lang, phrase order by score, j) as best from cut),
+inside as (select lang, array_to_string(ws[i : i + m - 1], ' ') as phrase, max(a) as a
+           from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c)) group by all),
+kept as (select b.* from best b left join inside on inside.lang = b.lang and inside.phrase = b.phrase
+         where b.best = 1 and (inside.a is null or 100 * inside.a < 100 * b.a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score from ranked where rank <= 2000
 """,
     "mix_targets": r"""
 with w as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
