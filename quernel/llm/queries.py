@@ -86,6 +86,35 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"))
 
 
+def with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose assistant texts are wrapped in five calls each, sound and unsound, and half of whose user texts are results."""
+    text, turn, conv = toolchat._text("text"), F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    within = F.concat(F.lit('"filter":{"field":"title","within":[{"from":'), turn, F.lit(',"to":null}]}'))
+    bodies = [
+        ("search", F.concat(F.lit('{"query":'), text, F.lit(',"limit":'), turn, F.lit(","), within, F.lit("}"))),
+        ("fetch", F.concat(F.lit('{"timeout":'), (F.col("turn") - 2).cast("string"), F.lit(',"headers":{"a":'), conv, F.lit("}}"))),
+        ("calculate", F.concat(F.lit('{"expression":'), text, F.lit(',"digits":'), (F.col("turn") * 10).cast("string"), F.lit("}"))),
+        ("lookup", F.lit('{"a":1}')),
+        ("search", F.concat(F.lit('{"other":true,"query":'), turn, F.lit(',"filter":{"field":"nope"}}'))),
+    ]
+    calls = [F.concat(F.lit('<tool_call>{"id":"c'), turn, F.lit(f'_{k}","name":"{name}","arguments":'), body, F.lit("}</tool_call>")) for k, (name, body) in enumerate(bodies)]
+    answer = (F.col("role") == "user") & ((F.col("conv_id") + F.col("turn")) % 2 == 0)
+    result = F.concat(F.lit('{"tool_call_id":"c'), (F.col("turn") - 1).cast("string"), F.lit("_"), (F.col("conv_id") % 5).cast("string"), F.lit('","content":'), text, F.lit("}"))
+    said = F.when(F.col("role") == "assistant", F.concat(F.lit("see "), *calls)).when(answer, result).otherwise(F.col("text"))
+    rows = _table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.when(answer, "tool").otherwise(F.col("role")).alias("role"), said.alias("text"))
+
+
+def tool_calls_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 on conversations with calls and results."""
+    return toolchat.link(with_calls(spark, sf_dir), toolchat.tool_table(spark))
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain patterns' numbers of spans."""
+    return pii.digest(_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the source mix no draw decides: sizes and targets."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
@@ -110,6 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_personal_data": op11_personal_data,
     "op12_whitened": op12_whitened,
     "op13_phrase_collocations": op13_phrase_collocations,
+    "tool_calls_linked": tool_calls_linked,
+    "pii_counts": pii_counts,
     "mix_targets": mix_targets,
     "fingerprint_edits": fingerprint_edits,
 }
@@ -183,6 +214,35 @@ from w join l on w.source is not distinct from l.source cross join f
 with t as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, first_value(coalesce(text, '')) over (order by doc_id desc) as top,
                   lead(coalesce(text, '')) over (order by doc_id desc) as below from documents)
 select doc_id, n as n_chars, sha256(left(t, n - n // 2) || left(coalesce(below, top), n // 2)) as edited_sha256 from t
+""",
+    "tool_calls_linked": """
+with m as (select conv_id, turn, role as was, case when role = 'user' and (conv_id + turn) % 2 = 0 then 'tool' else role end as role, text, cast(to_json(text) as varchar) as j from conversations),
+c as (select *, '{"content":"see","role":"assistant","tool_calls":['
+       || '{"arguments":{"filter":{"field":"title","within":[{"from":' || turn || ',"to":null}]},"limit":' || turn || ',"query":' || j || '},"errors":[],"id":"c' || turn || '_0","name":"search","valid":true},'
+       || '{"arguments":{"headers":{"a":' || conv_id || '},"timeout":' || (turn - 2) || '},"errors":["missing url"' || case when turn < 2 then ',"range timeout"' else '' end || '],"id":"c' || turn || '_1","name":"fetch","valid":false},'
+       || '{"arguments":{"digits":' || (turn * 10) || ',"expression":' || j || '},"errors":[' || case when turn > 4 then '"range digits"' else '' end || '],"id":"c' || turn || '_2","name":"calculate","valid":' || (turn <= 4) || '},'
+       || '{"arguments":{"a":1},"errors":["no such tool"],"id":"c' || turn || '_3","name":"lookup","valid":false},'
+       || '{"arguments":{"filter":{"field":"nope"},"other":true,"query":' || turn || '},"errors":["unknown other","type query","enum filter.field"],"id":"c' || turn || '_4","name":"search","valid":false}]}' as line,
+       2 - (turn > 4)::int as n_valid from m where role = 'assistant')
+select conv_id, turn, role, 'call' as state, null as call_id, null as call_turn, turn as order_turn, 0 as order_phase, 0 as order_call, 5 as n_calls, n_valid, line from c
+union all
+select a.conv_id, a.turn, 'tool', case when c.turn is null then 'orphan' else 'result' end, 'c' || (a.turn - 1) || '_' || (a.conv_id % 5), c.turn, a.turn, 0,
+       case when c.turn is null then 0 else a.conv_id % 5 end, 0, 0, '{"content":' || a.j || ',"role":"tool","tool_call_id":"c' || (a.turn - 1) || '_' || (a.conv_id % 5) || '"}'
+from m a left join c on c.conv_id = a.conv_id and c.turn = a.turn - 1 where a.role = 'tool'
+union all
+select conv_id, turn, role, 'plain', null, null, turn, 0, 0, 0, 0, '{"content":' || j || ',"role":"' || role || '"}' from m where role not in ('assistant', 'tool')
+""",
+    "pii_counts": r"""
+with t as (select doc_id, coalesce(text, '') as t from documents),
+f as (select doc_id,
+        len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) as n_email,
+        len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda m: list_max(list_transform(string_split(m, '.'), lambda p: try_cast(p as hugeint))) <= 255)) as n_ip,
+        list_filter(list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda m: reverse(regexp_replace(m, '[^0-9]', '', 'g'))), lambda d: length(d) between 16 and 19) as cards,
+        len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) between 8 and 15)) as n_phone
+      from t)
+select doc_id, n_email, n_ip,
+       len(list_filter(cards, lambda d: list_sum(list_transform(range(1, length(d) + 1), lambda i: [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 0, 2, 4, 6, 8, 1, 3, 5, 7, 9][1 + 10 * ((i + 1) % 2) + substr(d, i, 1)::int])) % 10 = 0)) as n_card, n_phone
+from f
 """,
     # Rows with calls or results would be missing here; the given tables have none.
     "op8_tool_chat": """

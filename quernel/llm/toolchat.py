@@ -23,8 +23,9 @@ by conversation and place to get transcripts.
 Defined results: the first call (by turn, then place in the text) of an
 identifier gets all its results, of which the first by turn is ``result`` and
 the rest are ``repeated``; a result without call is an ``orphan``; calls that
-can't be read or lack a name or id are invalid and stay in the text; rows
-without conv_id link with nothing; a message's own calls stay with it, whatever
+can't be read (an object with a key twice is one of these) or lack a name or id are
+invalid and stay in the text; identifiers that are numbers count as their text; results
+without a turn are ``repeated`` ones at their call's place; rows without conv_id link with nothing; a message's own calls stay with it, whatever
 rows share its conv_id and turn; null texts have null content; of two tools with
 one name the first schema in order of text counts; rows that repeat stay; an empty
 table gives none; other columns are ignored.
@@ -148,19 +149,19 @@ def with_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
     return messages.withColumn("calls", calls)
 
 
-def calls_of(messages: DataFrame, tools: DataFrame) -> DataFrame:
-    """(conv_id, turn, k, call_id, name, arguments, valid, errors) of each call in assistant texts."""
-    own = messages.filter((F.col("role") == "assistant") & F.col("text").contains("<tool_call>")).select("conv_id", "turn", "role", "text")
-    each = with_calls(own, tools).select("conv_id", "turn", F.posexplode("calls").alias("k", "c"))
-    return each.select("conv_id", "turn", "k", *[f"c.{n}" for n in ("call_id", "name", "arguments", "valid", "errors")])
+def first_calls(messages: DataFrame) -> DataFrame:
+    """(conv_id, call_id, call_turn, order_call): where each identifier is called first; arguments are not looked at."""
+    raw = F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("k", "raw")
+    each = messages.filter((F.col("role") == "assistant") & F.col("text").contains("<tool_call>")).select("conv_id", "turn", raw)
+    each = each.withColumn("call_id", F.try_variant_get(F.try_parse_json("raw"), "$.id", "string")).filter("call_id is not null")
+    first = each.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "k")).alias("at"))
+    return first.select("conv_id", "call_id", F.col("at.turn").alias("call_turn"), F.col("at.k").alias("order_call"))
 
 
 def link(messages: DataFrame, tools: DataFrame) -> DataFrame:
     """One row for each message: conv_id, turn, role, state, call_id, call_turn, order_turn, order_phase, order_call, n_calls, n_valid, line."""
     own = messages.select("conv_id", "turn", "role", "text")
-    calls = calls_of(own, tools)
-    first = calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "k")).alias("at"))
-    first = first.select("conv_id", "call_id", F.col("at.turn").alias("call_turn"), F.col("at.k").alias("order_call"))
+    first = first_calls(own)
 
     is_result = F.coalesce(F.col("role") == "tool", F.lit(False))
     parsed = F.when(is_result, F.try_parse_json("text"))

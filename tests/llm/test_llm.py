@@ -529,7 +529,9 @@ def conversations_with_calls(n, seed=3):
     def arguments(name):
         names = list(toolchat.TOOLS.get(name, {"properties": {"a": 0}})["properties"]) + ["extra"]
         good = {"query": "q", "expression": "1+1", "url": "u", "limit": 3, "digits": 2, "timeout": 1.5, "exact": True, "sites": ["s"], "headers": {}, "filter": {"field": "title", "within": [{"from": 1, "to": None}, {"from": 2}]}}
-        return {k: good[k] if k in good and rng.random() < 0.7 else value() for k in names if rng.random() < 0.6}
+        bad = {"digits": 99, "timeout": -1, "filter": {"field": "nope"}, "url": ""}
+        wrong = lambda k: bad[k] if k in bad and rng.random() < 0.5 else value()
+        return {k: good[k] if k in good and rng.random() < 0.7 else wrong(k) for k in names if rng.random() < 0.6}
 
     rows, conv = [], 0
     while len(rows) < n:
