@@ -47,7 +47,7 @@ from .store import ship, stash, trim
 
 LONGEST, LEAST, COVER, FIRST = 5, 100, 100, 2000
 LEAST_BITS, MOST_BITS, BYTES_PER_CELL, LOAD = 18, 26, 16, 16
-CELLS, BLOCK, SEEN, SALTS = 1 << 16, 4 << 20, 1 << 18, 32
+CELLS, BLOCK, SEEN, NAMED, SALTS = 1 << 16, 4 << 20, 1 << 18, 1 << 11, 32
 UNKNOWN = "und"
 _U = np.uint64
 _C = _U(0xD6E8FEB86659FD93)
@@ -215,29 +215,55 @@ def _sketched(docs: DataFrame, sketch: Sketch, longest: int, least: int) -> tupl
 
 
 def _named(docs: DataFrame, sketch: Sketch, longest: int) -> DataFrame:
-    """(lang, phrase) of the runs of words whose cells may be frequent."""
+    """(lang, phrase) of the runs of words whose cells may be frequent.
+
+    A task sends its distinct phrases as packed lists, by ranges of their hashes, and a range's lists are united one by one.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    marked = sum(int(np.bitwise_count(m).sum()) for m in (sketch.pairs, sketch.longer))
+    shift = 64 - max(1, int(np.ceil(np.log2(1 + marked / NAMED))))
+
+    def packed(held):
+        packer = zstandard.ZstdCompressor(level=3)
+        rows = [(bucket, lang, packer.compress("\n".join(sorted(names)).encode())) for (bucket, lang), names in held.items()]
+        return _rows(rows, pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("names", pa.binary())]))
 
     def run(batches):
-        own, seen = shared.value, set()
+        own, seen, held = shared.value, set(), {}
         for batch in batches:
             for data, offs, langs in chunks(batch):
                 h, s, e, who, left = words(data, offs, langs)
-                names, raw, out = langs.to_pylist(), data.tobytes().lower(), []
+                names, raw = langs.to_pylist(), data.tobytes().lower()
                 for k, at, hashes in own.levels(h, left, longest):
                     hashes, first = np.unique(hashes, return_index=True)
                     for x, p in zip(hashes.tolist(), at[first].tolist(), strict=True):
                         if x not in seen:
-                            if len(seen) >= SEEN:
-                                seen.clear()
                             seen.add(x)
-                            out.append((names[who[p]], b" ".join(raw[s[p] : e[p + k - 1]].split()).decode()))
-                if out:
-                    yield _rows(out, pa.schema([("lang", pa.string()), ("phrase", pa.string())]))
+                            held.setdefault((x >> shift, names[who[p]]), []).append(b" ".join(raw[s[p] : e[p + k - 1]].split()).decode())
+                if len(seen) >= SEEN:
+                    yield packed(held)
+                    seen, held = set(), {}
+        if held:
+            yield packed(held)
+        trim()
+
+    def united(batches):
+        reader, now, names = zstandard.ZstdDecompressor(), None, set()
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([now[1]] * len(names), pa.string()), pa.array(sorted(names), pa.string())], ["lang", "phrase"])
+        for batch in batches:
+            for bucket, lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (bucket, lang) != now:
+                    if now is not None:
+                        yield told()
+                    now, names = (bucket, lang), set()
+                names.update(reader.decompress(data.as_buffer()).decode().split("\n"))
+        if now is not None:
+            yield told()
         trim()
 
-    return stash(docs.mapInArrow(run, "lang string, phrase string").distinct(), "phrases")
+    lists = docs.mapInArrow(run, "bucket int, lang string, names binary")
+    return stash(lists.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(united, "lang string, phrase string"), "phrases")
 
 
 def built(token: str, entries: dict[str, list[str]]) -> dict:
