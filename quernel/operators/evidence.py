@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
+from urllib.parse import unquote
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -58,13 +60,47 @@ def parameter_fingerprint(name: str, params) -> str:
     return digest("parameters", family(name).name, *[float(p).hex() for p in params])
 
 
+def plan_text(df: DataFrame) -> str:
+    """The plan of ``df`` with all its expressions and literals, the same for equal plans of any session."""
+    conf, key = df.sparkSession.conf, "spark.sql.debug.maxToStringFields"
+    before = conf.get(key)
+    conf.set(key, str(1 << 30))
+    try:
+        return df._jdf.queryExecution().analyzed().canonicalized().toString()
+    finally:
+        conf.set(key, before)
+
+
+def files_listed(df: DataFrame) -> DataFrame | None:
+    """(path, length, modified) of the files behind ``df``, from a listing; no file is opened.  None where there are none."""
+    names = [glob_safe(unquote(n)) for n in df.inputFiles()]
+    if not names:
+        return None
+    listed = df.sparkSession.read.format("binaryFile").load(names)
+    return listed.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def glob_safe(path: str) -> str:
+    """A path that Spark's readers take as it stands, whatever marks of patterns it holds."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def source_digest(df: DataFrame) -> str:
-    """Digest of the files behind ``df`` (names, sizes, times); of its plan where there are none."""
-    if not df.inputFiles():
-        return digest("plan", df._jdf.queryExecution().analyzed().canonicalized().toString())
-    about = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").cast("string").alias("t")).distinct()
-    r = about.agg(F.count("*").alias("n"), F.sum(F.xxhash64("f", "s", "t").cast("decimal(38,0)")).alias("h")).first()
-    return digest("files", str(r["n"]), str(r["h"]))
+    """Digest of the plan and of what it reads: names, sizes and times of files, and rows where some come from memory.
+
+    Plans over files alone take a listing and no pass over the data; others take one pass.
+    """
+    about = [digest("plan", plan_text(df))]
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    kinds = {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())}
+    files = files_listed(df)
+    if files is not None:
+        mark = F.xxhash64("path", "length", F.col("modified").cast("string"))
+        r = files.agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("h")).first()
+        about.append(digest("files", str(r["n"]), str(r["h"])))
+    if not kinds <= {"LogicalRelation", "Range", "OneRowRelation"}:
+        about.append(row_digest(df))
+    return digest("source", *about)
 
 
 def replay(df: DataFrame, tag: str = "replay") -> tuple[DataFrame, str]:
@@ -104,11 +140,10 @@ def outcomes(covered: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def zip_weights(values: DataFrame, weights: DataFrame, index: str = "row") -> DataFrame:
-    """Values and weights of equal row numbers side by side; a row that either lacks is an error."""
-    met = values.join(weights, index, "full_outer")
+    """Values and weights of equal row numbers side by side; a row that either side lacks is an error, a null entry is not."""
+    met = values.withColumn("_has_value", F.lit(True)).join(weights.withColumn("_has_weight", F.lit(True)), index, "full_outer")
     columns = [c for c in (*values.columns, *weights.columns) if c != index]
-    left, right = [c for c in values.columns if c != index][0], [c for c in weights.columns if c != index][0]
-    lack = met.agg(F.count_if(F.col(left).isNull() | F.col(right).isNull()).alias("c")).first()["c"]
+    lack = met.agg(F.count_if(F.col("_has_value").isNull() | F.col("_has_weight").isNull()).alias("c")).first()["c"]
     if lack:
         raise ValueError(f"LENGTH_MISMATCH: {lack} rows lack a value or a weight")
     return met.select(index, *columns)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import special as sp
 from ..functions.families import family
 from ..sources.observations import CapabilityError
-from ..sources.partitions import ResumeRefused, generations, incremental
-from .evidence import canonical, digest, source_digest
+from ..sources.partitions import ResumeRefused, bound_job, generations, merged_sums, refreshed
+from .evidence import canonical, digest, plan_text, source_digest
 from .fit import Passes, fit_gumbel, fit_weibull, log_digamma_root, power_sums, sufficient
 
 ONE_PASS, MANY = ("exponential", "normal", "lognormal", "gamma"), ("weibull", "gumbel")
@@ -26,33 +26,29 @@ SUMS = {"exponential": (), "normal": ("var",), "lognormal": ("ml", "vl", "sl"),
 class StoredPasses(Passes):
     """Passes whose sums are kept in a store; a pass that the store has isn't made again.
 
-    A pass is known by its number and by the plan of its aggregation's columns, so only a run that asks the same is answered.
+    A pass is known by its number and by its whole plan, with the literals of its aggregates, so only a run that asks the same is answered.
     """
 
     def __init__(self, budget: int, spark, store: str, identity: str, resume: bool):
         super().__init__(budget)
         self.spark, self.store, self.identity = spark, store, identity
         known = generations(spark, f"{store}/job")
-        if known and spark.read.text(f"{store}/job/generation=0").first()[0] != identity:
-            raise ResumeRefused("JOB_CHANGED")
         if known and not resume:
             raise ResumeRefused("STORE_IN_USE")
-        if not known:
-            self._write(f"{store}/job/generation=0", identity)
+        if not bound_job(spark, store, identity):
+            raise ResumeRefused("JOB_CHANGED")
         self.done = generations(spark, store)
 
-    def _write(self, path: str, text: str) -> None:
-        self.spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(path)
-
     def row(self, what: str, frame: DataFrame) -> dict:
-        number, asked = len(self.ledger) + 1, digest("pass", what, *frame.columns, str(frame._jdf.queryExecution().analyzed().output().size()))
+        number, asked = len(self.ledger) + 1, digest("pass", what, plan_text(frame))
         if number in self.done:
             kept = json.loads(self.spark.read.text(f"{self.store}/generation={number}").first()[0])
             if kept["asked"] == asked:
                 self.reused = getattr(self, "reused", 0) + 1
                 return kept["row"]
         row = frame.first().asDict()
-        self._write(f"{self.store}/generation={number}", json.dumps({"asked": asked, "row": row}))
+        text = self.spark.range(1).select(F.lit(json.dumps({"asked": asked, "row": row})).alias("value"))
+        text.coalesce(1).write.mode("overwrite").text(f"{self.store}/generation={number}")
         return row
 
 
@@ -60,14 +56,16 @@ def fit(df: DataFrame, value: str, name: str, pass_budget: int = 8, store: str |
     """Exact-sample fit of exponential, normal, lognormal, gamma, Weibull or Gumbel: code, n, params, loglik, aic, bic, passes, ledger, identity.
 
     With a ``store``, the sums of each pass are kept there; after a failure, ``resume`` answers passes from it as
-    long as family, column and files are the same (else JOB_CHANGED).
+    long as family, column, plan and files (rows, where some come from memory) are the same (else JOB_CHANGED).
+    ``identity`` names family, column and plan, and with a store also what the plan reads.
     """
     f = family(name)
     if f.name not in ONE_PASS + MANY:
         raise CapabilityError(f"{f.name} has no plan at scale")
     if not LEAST_BUDGET <= pass_budget <= MOST_BUDGET:
         raise ValueError(f"a pass budget is {LEAST_BUDGET} to {MOST_BUDGET}")
-    identity = canonical({"family": f.name, "column": value, "source": source_digest(df)})
+    source = source_digest(df) if store else digest("plan", plan_text(df))
+    identity = canonical({"family": f.name, "column": value, "source": source})
     passes = StoredPasses(pass_budget, df.sparkSession, store, identity, resume) if store else Passes(pass_budget)
     if f.name in MANY:
         r = (fit_weibull if f.name == "weibull" else fit_gumbel)(df, value, passes=passes)
@@ -97,14 +95,17 @@ def _one_pass(name: str, s: dict) -> dict:
 
 
 def fit_incremental(spark, path: str, column: str, name: str, store: str, recompute_changed: bool = False, allow_removed: bool = False) -> dict:
-    """One-pass fit of exponential, normal or lognormal over all files of a path, of which only new and changed ones are read."""
+    """One-pass fit of exponential, normal, lognormal or gamma over all files of a path, of which only new and changed ones are read.
+
+    Codes are those of ``fit``; a store that belongs to another column is refused (JOB_CHANGED).
+    """
     name = family(name).name
-    if name not in ("exponential", "normal", "lognormal"):
+    if name not in ONE_PASS:
         raise CapabilityError(f"{name} takes no incremental passes")
-    merged, seen = incremental(spark, path, column, store, recompute_changed, allow_removed)
-    r = merged.first()
-    params = {"exponential": {"rate": r["rate"]}, "normal": {"mu": r["mu"], "sigma": r["sigma"]}, "lognormal": {"mu": r["mu_log"], "sigma": r["sigma_log"]}}[name]
-    return {"family": name, "code": "OK" if r["n"] and all(v is not None for v in params.values()) else "INVALID_SUPPORT" if r["n"] else "EMPTY_SAMPLE", "n": r["n"], "params": params, "files": seen}
+    rows, seen = refreshed(spark, path, column, store, recompute_changed, allow_removed)
+    s = merged_sums(rows).first().asDict()
+    s |= {"lo": s["low"], "hi": s["high"], "sl": s["nl"] * (s["ml"] or 0.0)}
+    return {"family": name, **_one_pass(name, s), "files": seen}
 
 
 def information(fitted: dict) -> dict:

@@ -39,7 +39,8 @@ def fingerprints(spark: SparkSession, path: str, content: bool = False) -> DataF
         return sums.select("partition_id", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in "nab"]).cast("binary"), 256).alias("fingerprint"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
     mark = F.sha2(F.concat_ws("|", F.col("length").cast("string"), F.col("modificationTime").cast("string")).cast("binary"), 256)
-    return files.select(F.col("path").alias("partition_id"), mark.alias("fingerprint"))
+    # The same column names files here and where their values are read.
+    return files.select(F.col("_metadata.file_path").alias("partition_id"), mark.alias("fingerprint"))
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -62,15 +63,24 @@ def states(values: DataFrame, prints: DataFrame | None = None) -> DataFrame:
     return out.join(prints, "partition_id") if prints is not None else out.withColumn("fingerprint", F.lit(None).cast("string"))
 
 
-def merge(rows: DataFrame) -> DataFrame:
-    """One row of exponential, normal and lognormal estimates from states; distances are taken from the common mean, so nothing cancels."""
-    mean = lambda tag: (F.sum(F.col(f"n{tag}") * F.col(f"mean{tag}")) / F.sum(f"n{tag}"))
-    common = rows.agg(mean("").alias("mu"), mean("l").alias("mu_log"), F.sum("n").alias("n"), F.sum("nl").alias("nl"), F.min("low").alias("low"), F.max("high").alias("high"))
+def merged_sums(rows: DataFrame) -> DataFrame:
+    """One row of n, mean, var, low, high and the same of logarithms (nl, ml, vl) from states; distances are from the common mean, so nothing cancels."""
+    some = rows.filter("n > 0")
+    mean = lambda tag: F.sum(F.col(f"n{tag}") * F.col(f"mean{tag}")) / F.nullif(F.sum(f"n{tag}"), F.lit(0))
+    counts = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "nl")]
+    common = some.agg(mean("").alias("mean"), mean("l").alias("ml"), *counts, F.min("low").alias("low"), F.max("high").alias("high"))
     far = lambda tag, c: F.sum(F.col(f"m2{tag}") + F.col(f"n{tag}") * (F.col(f"mean{tag}") - F.col(c)) * (F.col(f"mean{tag}") - F.col(c)))
-    spread = rows.crossJoin(common.select("mu", "mu_log")).agg(far("", "mu").alias("m2"), far("l", "mu_log").alias("m2l"))  # one row
+    centres = common.select(F.col("mean").alias("c"), F.col("ml").alias("cl"))
+    spread = some.crossJoin(centres).agg(far("", "c").alias("m2"), far("l", "cl").alias("m2l"))  # with one row
     s = common.crossJoin(spread)  # one row by one row
-    positive = F.col("low") > 0
-    return s.select("n", (1 / F.col("mu")).alias("rate"), "mu", F.sqrt(F.col("m2") / F.col("n")).alias("sigma"), F.when(positive, F.col("mu_log")).alias("mu_log"), F.when(positive, F.sqrt(F.col("m2l") / F.col("nl"))).alias("sigma_log"))
+    return s.select("n", "nl", "mean", (F.col("m2") / F.nullif("n", F.lit(0))).alias("var"), "ml", (F.col("m2l") / F.nullif("nl", F.lit(0))).alias("vl"), "low", "high")
+
+
+def merge(rows: DataFrame) -> DataFrame:
+    """One row of exponential, normal and lognormal estimates from states."""
+    s, positive = merged_sums(rows), F.col("low") > 0
+    logs = [F.when(positive, F.col("ml")).alias("mu_log"), F.when(positive, F.sqrt("vl")).alias("sigma_log")]
+    return s.select("n", (1 / F.nullif("mean", F.lit(0.0))).alias("rate"), F.col("mean").alias("mu"), F.sqrt("var").alias("sigma"), *logs)
 
 
 def generations(spark: SparkSession, store: str) -> list[int]:
@@ -80,13 +90,24 @@ def generations(spark: SparkSession, store: str) -> list[int]:
     return sorted(int(str(f.getPath().getParent().getName()).split("=")[1]) for f in paths or [])
 
 
-def incremental(spark: SparkSession, path: str, column: str, store: str, recompute_changed: bool = False, allow_removed: bool = False) -> tuple[DataFrame, dict]:
-    """Estimates over all files of ``path``, with the number of files kept, added, changed and removed.
+def bound_job(spark: SparkSession, store: str, job: str) -> bool:
+    """Whether ``store`` belongs to ``job``, a text; a store without a job becomes its own."""
+    if generations(spark, f"{store}/job"):
+        return spark.read.option("wholetext", "true").text(f"{store}/job/generation=0").first()[0].rstrip("\n") == job
+    spark.range(1).select(F.lit(job).alias("value")).coalesce(1).write.mode("overwrite").text(f"{store}/job/generation=0")
+    return True
+
+
+def refreshed(spark: SparkSession, path: str, column: str, store: str, recompute_changed: bool = False, allow_removed: bool = False) -> tuple[DataFrame, dict]:
+    """States of all files of ``path``, with the number of files kept, added, changed and removed.
 
     States live as Parquet in ``store``, a folder for each generation, which Spark
     marks as complete once all of it is written; the latest complete one is in
-    force, so a failure leaves the one before.  File lists stay in Spark.
+    force, so a failure leaves the one before.  File lists stay in Spark.  A store belongs to
+    one column (else JOB_CHANGED).
     """
+    if not bound_job(spark, store, json.dumps({"column": column, "state": STATE}, sort_keys=True)):
+        raise ResumeRefused("JOB_CHANGED")
     new = settle(fingerprints(spark, path), "fingerprints")
     done = generations(spark, store)
     at = done[-1] if done else 0
@@ -98,18 +119,29 @@ def incremental(spark: SparkSession, path: str, column: str, store: str, recompu
     if seen.get("removed") and not allow_removed:
         raise ResumeRefused("PARTITION_MISSING")
     now = old.join(diff.filter("change = 'kept'"), "partition_id", "left_semi")
-    todo = diff.filter("change in ('added', 'changed')")
+    todo = diff.filter("change in ('added', 'changed')").select("partition_id")
     if seen.get("added") or seen.get("changed"):
-        values = parquet_values(spark, path, column).join(todo.select("partition_id"), "partition_id", "left_semi")
-        now = now.unionByName(states(values, new).select(*old.columns))
+        values = parquet_values(spark, path, column).join(todo, "partition_id", "left_semi")
+        # A file without rows has a state of no values.
+        fresh = new.join(todo, "partition_id", "left_semi").join(states(values).drop("fingerprint"), "partition_id", "left")
+        now = now.unionByName(fresh.fillna(0, ["n", "nl"]).select(*old.columns))
     target = f"{store}/generation={at + 1}"
     now.select(*old.columns).write.mode("overwrite").parquet(target)  # an unfinished one of this number is replaced
-    return merge(spark.read.schema(STATE).parquet(target)), seen
+    return spark.read.schema(STATE).parquet(target), seen
+
+
+def incremental(spark: SparkSession, path: str, column: str, store: str, recompute_changed: bool = False, allow_removed: bool = False) -> tuple[DataFrame, dict]:
+    """Estimates over all files of ``path``, of which only new and changed ones are read; see ``refreshed``."""
+    rows, seen = refreshed(spark, path, column, store, recompute_changed, allow_removed)
+    return merge(rows), seen
 
 
 def provenance(df: DataFrame, fit: dict, **more) -> str:
     """Canonical JSON of what was fitted from what: sorted keys, no spaces."""
-    files = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").cast("string").alias("t")).distinct() if df.inputFiles() else None
-    digest = files.agg(F.count("*").alias("files"), F.sum(F.xxhash64("f", "s", "t").cast("decimal(38,0)")).alias("digest")).first() if files is not None else {"files": 0, "digest": 0}
+    from ..operators.evidence import files_listed
+
+    files = files_listed(df)
+    mark = F.sum(F.xxhash64("path", "length", F.col("modified").cast("string")).cast("decimal(38,0)")).alias("digest")
+    digest = files.agg(F.count("*").alias("files"), mark).first() if files is not None else {"files": 0, "digest": 0}
     about = {"rows": df.count(), "files": digest["files"], "files_digest": str(digest["digest"]), "spark": df.sparkSession.version, "fit": fit, **more}
     return json.dumps(about, sort_keys=True, separators=(",", ":"), default=str)
