@@ -154,6 +154,53 @@ def log_gamma_pq(a, x):
     return np.where(x <= 0, -np.inf, np.where(np.isposinf(x), 0.0, lower)), np.where(x <= 0, 0.0, np.where(np.isposinf(x), -np.inf, upper))
 
 
+def log_gamma_q_slopes(a: float, x):
+    """ln Q(a, x) for one shape, and its first and second derivatives by the shape.
+
+    Below a + 1 from the series of P, whose terms y^k / gamma(a + k + 1) are differentiated one by one; above it from
+    the continued fraction of Q, run backwards on values with two derivatives.
+    """
+    x = np.asarray(x, float)
+    out = np.zeros((3, *x.shape))
+    low, high = (x > 0) & (x < a + 1), (x >= a + 1) & np.isfinite(x)
+    if low.any():
+        y = x[low]
+        ly, psi, tri = np.log(y), float(digamma(a + 1)), float(trigamma(a + 1))
+        term, sums = np.ones_like(y), np.zeros((3, len(y)))
+        for k in range(100_000):
+            for row, share in enumerate((1.0, -psi, psi * psi - tri)):
+                sums[row] += term * share
+            if np.all(term * (1 + psi * psi) <= 1e-17 * sums[0]) and k > 2:
+                break
+            n = a + k + 1
+            term = term * y / n
+            psi, tri = psi + 1 / n, tri - 1 / (n * n)
+        t0, t1, t2 = sums
+        scale = np.exp(a * ly - y - math.lgamma(a + 1))
+        p0, p1, p2 = scale * t0, scale * (t0 * ly + t1), scale * (t0 * ly * ly + 2 * t1 * ly + t2)
+        q = 1 - p0
+        out[0][low], out[1][low] = np.log1p(-p0), -p1 / q
+        out[2][low] = -p2 / q - (p1 / q) ** 2
+    if high.any():
+        y = x[high]
+        k0, k1, k2 = y + 1 - a, np.full(len(y), -1.0), np.zeros(len(y))
+        near = float(np.min(y - a))
+        depth = int(min(20_000, 60 + 40 * math.sqrt(a) * min(1.0, 4 * math.sqrt(a) / max(near, 1.0)) + 400 / max(near, 1.0)))
+        k0 = y + 1 - a + 2 * depth
+        for i in range(depth, 0, -1):
+            n0, n1 = -i * (i - a), float(i)
+            q0 = n0 / k0
+            q1 = (n1 - q0 * k1) / k0
+            q2 = -(2 * q1 * k1 + q0 * k2) / k0
+            k0, k1, k2 = y + 1 - a + 2 * (i - 1) + q0, -1 + q1, q2
+        # Q is the front times 1 / k0.
+        out[0][high] = log_gamma_front(a, y) - np.log(k0)
+        out[1][high] = np.log(y) - float(digamma(a)) - k1 / k0
+        out[2][high] = -float(trigamma(a)) - (k2 / k0 - (k1 / k0) ** 2)
+    out[0][np.isposinf(x)] = -np.inf
+    return out
+
+
 def gamma_pq(a, x):
     """Regularised lower and upper incomplete gamma functions: a power series below a + 1, a continued fraction above."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import special as sp
 from ..functions.families import EULER, family
 from ..functions.likelihood import contributions
+from . import score
 from .ranking import grouped_quantiles, quantiles
 
 CLOSED = ("exponential", "normal", "lognormal", "uniform", "rayleigh", "laplace", "pareto", "wald", "poisson", "geometric")
@@ -388,13 +389,19 @@ def start_of(obs: DataFrame, name: str) -> list[float]:
 def newton_fit(obs: DataFrame, name: str, start: Sequence[float] | None = None, fixed: dict[int, float] | None = None, passes: int = 40, tol: float = 1e-7) -> dict:
     """Fit any smooth family to observations (value, status, upper, trunc_lower, trunc_upper, weight).
 
-    Each pass evaluates a central-difference stencil around the current point and
-    some trial points ahead; positive parameters move on a logarithmic scale.
+    Exact and right-censored rows of six families go by exact derivatives (``score.newton``), an aggregation a step.  For all else
+    each pass evaluates a central-difference stencil around the current point and
+    some trial points ahead.  Positive parameters move on a logarithmic scale.
     ``fixed`` holds parameters by index.  The result has the observed information
-    of the free parameters on that scale.
+    of the free parameters on that scale; an end where the gradient isn't small or the information isn't definite is
+    OPTIMIZER_EXHAUSTED.
     """
     f = family(name)
-    now = np.array(start if start is not None else start_of(obs, f.name), float)
+    known = score.admissible(obs) if f.name in score.FAMILIES else {"other": 1}
+    begin = start if start is not None else start_of(obs, f.name)
+    if not known["other"]:
+        return score.newton(obs, f.name, begin, fixed, passes, known=known)
+    now = np.array(begin, float)
     for i, v in (fixed or {}).items():
         now[i] = v
     free = [i for i in range(len(now)) if i not in (fixed or {})]
@@ -448,6 +455,9 @@ def newton_fit(obs: DataFrame, name: str, start: Sequence[float] | None = None,
         tl = np.where(np.isfinite(tl), tl, -np.inf)
         k = int(np.argmax(tl))
         if tl[k] <= best + 1e-12 * abs(best):
+            # No trial gains: an end only if what the quadratic model promises is noise, and the top is one.
+            if abs(g @ step) > 1e-6 * max(1.0, abs(best) * 1e-6) or np.min(w) <= 0:
+                return {"family": f.name, "code": "OPTIMIZER_EXHAUSTED", "n": n, "passes": used}
             break
         u = u + trial[k]
     else:

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from quernel.plans import catalog, catalog_evidence  # noqa: F401 - adds its queries
+from quernel.plans import catalog, catalog_evidence, catalog_fits  # noqa: F401 - these add their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
