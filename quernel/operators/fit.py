@@ -398,6 +398,8 @@ def newton_fit(obs: DataFrame, name: str, start: Sequence[float] | None = None,
     """
     f = family(name)
     known = score.admissible(obs) if f.name in score.FAMILIES else {"other": 1}
+    if known.get("n") == 0:
+        return {"family": f.name, "code": "EMPTY_SAMPLE", "n": 0}
     begin = start if start is not None else start_of(obs, f.name)
     if not known["other"]:
         return score.newton(obs, f.name, begin, fixed, passes, known=known)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.families import family
-from ..operators import fit, profile, shapes
+from ..operators import bootstrap, fit, loo, profile, shapes
+from ..operators.ranking import quantiles
 from ..sources.observations import observations
 from .catalog import _events, _items, _orders, query, row
 
@@ -165,3 +166,31 @@ def _(spark, d):
     obs, f = profile.exact(_orders(spark, d), "o_totalprice"), fit.fit_closed(_orders(spark, d), "o_totalprice", ["lognormal"]).first()
     (r,) = profile.intervals(obs, {"family": "lognormal", "code": f["code"], "params": {"mu": f["p1"], "sigma": f["p2"]}}, [("mu",)])
     return row(spark, quantity="mu", lower=round(r["lower"], 6), upper=round(r["upper"], 6))
+
+
+# Leave-one-out and bootstrap
+
+
+@query("leave_one_out_steps", """with t as (select ln(o_totalprice) as y, o_totalprice as x from orders), s as (select count(*)::double as n, avg(y) as m, var_pop(y) as v from t),
+d as (select n, m - (y - m) / (n - 1) as mean, (n * v - (y - m) * (y - m) * n / (n - 1)) / (n - 1) as var, y from t, s)
+select 'lognormal' as family, count(*) as n, round(sum(0.5 * ln(2 * pi() * var) + (y - mean) * (y - mean) / (2 * var) + y), 2) as loo from d""")
+def _(spark, d):
+    r = loo.leave_one_out(_orders(spark, d), "o_totalprice", "lognormal")
+    return row(spark, family=r["family"], n=r["n"], loo=round(r["loo"], 2))
+
+
+@query("leave_one_out_gamma")
+def _(spark, d):
+    """Minus the leave-one-out log-likelihood of Weibull, gamma and Gumbel fits to all positive events."""
+    e = _events(spark, d).filter("value > 0")
+    rows = [(n, (r := loo.leave_one_out(e, "value", n))["code"], r["n"], round(r["loo"], 4), r["refits"]) for n in ("weibull", "gamma", "gumbel")]
+    return spark.createDataFrame(rows, "family string, code string, n bigint, loo double, refits bigint")
+
+
+@query("bootstrap_median")
+def _(spark, d):
+    """Interval of the median of all prices by the bag of little bootstraps."""
+    items = _items(spark, d).withColumn("k", F.xxhash64("l_orderkey", "l_linenumber"))
+    (median,) = quantiles(items, "l_extendedprice", (0.5,))
+    r = bootstrap.interval(bootstrap.little_bootstraps(items, "l_extendedprice", bootstrap.weighted_quantile(0.5), key="k"), median)
+    return row(spark, estimate=round(r["estimate"], 4), se=round(r["se"], 4), lower=round(r["lower"], 4), upper=round(r["upper"], 4), bags=r["bags"])
