@@ -258,8 +258,8 @@ class Passes:
         return frame.first().asDict()
 
 
-def _profile_root(passes: Passes, df: DataFrame, w: Column, mean_w: float, start: float, close: float = 1e-5) -> tuple[float, float]:
-    """Root b of 1/b - s1/s0 + mean(w), and the sum s0 there; not a number where none is found.
+def _profile_root(passes: Passes, df: DataFrame, w: Column, mean_w: float, start: float, close: float = 1e-5) -> tuple[float, float, float, float]:
+    """Root b of 1/b - s1/s0 + mean(w), and the sums s0, s1 and s2 there; not numbers where none is found.
 
     ``start`` comes from a moment of the sample, so the first three candidates nearly
     always hold the root between them.  The next three lie around the zero of the
@@ -279,14 +279,14 @@ def _profile_root(passes: Passes, df: DataFrame, w: Column, mean_w: float, start
         if low is None or high is None:
             spread *= spread
             if spread > 1e12:
-                return math.nan, math.nan
+                return math.nan, math.nan, math.nan, math.nan
             edge = high[0] if low is None else low[0]
             grid = [edge * spread ** ((-k if low is None else k) / 3) for k in (1, 2, 3)]
             continue
         best = min(low, high, key=lambda p: abs(p[1] / p[2]))
         step = -best[1] / best[2]
         if abs(step) <= close * best[0]:
-            return best[0] + step, best[3] + best[4] * step + best[5] * step * step / 2
+            return best[0] + step, best[3] + best[4] * step + best[5] * step * step / 2, best[4] + best[5] * step, best[5]
         t = low[1] / (low[1] - high[1])
         gap = high[1] - low[1]
         cubic = low[0] * (1 + 2 * t) * (1 - t) ** 2 + high[0] * t * t * (3 - 2 * t) + gap * (t * (1 - t) ** 2 / low[2] - t * t * (1 - t) / high[2])
@@ -308,12 +308,15 @@ def fit_weibull(df: DataFrame, value: str, budget: int = 12, passes: Passes | No
     if p["lo"] == p["hi"]:
         return out("DEGENERATE_SAMPLE")
     top, n = math.log(p["hi"]), p["n"]
-    k, s0 = _profile_root(passes, data, F.log("x") - F.lit(top), p["ml"] - top, math.pi / math.sqrt(6) / max(p["sl"], 1e-9))
+    k, s0, s1, s2 = _profile_root(passes, data, F.log("x") - F.lit(top), p["ml"] - top, math.pi / math.sqrt(6) / max(p["sl"], 1e-9))
     if not math.isfinite(k):
         return out("BOUNDARY_SOLUTION")
     scale = math.exp(top + math.log(s0 / n) / k)
     loglik = n * (math.log(k) - k * math.log(scale)) + (k - 1) * n * p["ml"] - s0 * math.exp(k * (top - math.log(scale)))
-    return out("OK", shape=k, scale=scale, loglik=loglik)
+    # With h = (x / scale)^k and u = ln h: sums of u h and u^2 h from those of the last pass, by ln shape and ln scale.
+    c = math.log(n / s0)
+    uh, uuh = n / s0 * (k * s1 + c * s0), n / s0 * (k * k * s2 + 2 * k * c * s1 + c * c * s0)
+    return out("OK", shape=k, scale=scale, loglik=loglik, information=[[n + uuh, -k * uh], [-k * uh, k * k * n]])
 
 
 def fit_gumbel(df: DataFrame, value: str, budget: int = 12, passes: Passes | None = None) -> dict:
@@ -328,13 +331,16 @@ def fit_gumbel(df: DataFrame, value: str, budget: int = 12, passes: Passes | Non
     n, peak = p["n"], max(abs(p["lo"] - p["m"]), abs(p["hi"] - p["m"]))
     z_low = (p["lo"] - p["m"]) / peak
     w = F.lit(z_low) - (_x() - F.lit(p["m"])) / F.lit(peak)
-    b, s0 = _profile_root(passes, data, w, z_low, math.pi / math.sqrt(6) * peak / p["s"])
+    b, s0, s1, s2 = _profile_root(passes, data, w, z_low, math.pi / math.sqrt(6) * peak / p["s"])
     if not math.isfinite(b):
         return out("BOUNDARY_SOLUTION")
     scale = peak / b
     location = p["m"] + peak * (z_low - math.log(s0 / n) / b)
     loglik = -n * math.log(scale) - n * (p["m"] - location) / scale - n
-    return out("OK", location=location, scale=scale, loglik=loglik)
+    # With z = (x - location) / scale and e = exp(-z): sums of z e and z^2 e likewise, by location and ln scale.
+    c = math.log(s0 / n)
+    ze, zze = n / s0 * (c * s0 - b * s1), n / s0 * (b * b * s2 - 2 * b * c * s1 + c * c * s0)
+    return out("OK", location=location, scale=scale, loglik=loglik, information=[[n / scale**2, ze / scale], [ze / scale, n + zze]])
 
 
 def power_sums(df: DataFrame, w: Column, candidates: Sequence[float], wide: int = 64) -> list[float]:

@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special as sp
@@ -70,6 +70,8 @@ def fit(df: DataFrame, value: str, name: str, pass_budget: int = 8, store: str |
     if f.name in MANY:
         r = (fit_weibull if f.name == "weibull" else fit_gumbel)(df, value, passes=passes)
         out = {"code": r["code"], "n": r["n"], "params": {k: r[k] for k in f.params if k in r}, "loglik": r.get("loglik")}
+        if "information" in r:
+            out |= {"information": r["information"], "free": list(f.params)}
     else:
         out = _one_pass(f.name, passes.run("sums", sufficient(df, value).select("n", "mean", "lo", "hi", *SUMS[f.name])))
     k = len(f.params)
@@ -111,10 +113,10 @@ def fit_incremental(spark, path: str, column: str, name: str, store: str, recomp
 def information(fitted: dict) -> dict:
     """The fit with the observed information of its parameters, from its own estimates; positive ones on the logarithmic scale.
 
-    Exponential, normal, lognormal and gamma need no sums beyond those of the fit; others are refused.
+    No fit here needs sums beyond its own: Weibull and Gumbel have theirs from their last pass.
     """
     n, name = fitted["n"], fitted["family"]
-    if fitted["code"] != "OK":
+    if fitted["code"] != "OK" or "information" in fitted:
         return fitted
     if name == "exponential":
         info = [[float(n)]]
@@ -124,7 +126,7 @@ def information(fitted: dict) -> dict:
         a = fitted["params"]["shape"]
         info = [[n * a * a * float(sp.trigamma(a)), n * a], [n * a, n * a]]
     else:
-        raise CapabilityError(f"{name} needs another pass for its information")
+        raise CapabilityError(f"{name} has no information here")
     return {**fitted, "information": info, "free": list(family(name).params)}
 
 
@@ -136,21 +138,34 @@ class WeibullProfile:
     """The log-likelihood of a Weibull sample as a function of both parameters, from sums at some shapes.
 
     ln of the mean of e^(k w) is a smooth function of ln k; a polynomial through its values at Chebyshev points stands
-    for it between them, and a last pass tells how far it is off in the middle of the gaps.
+    for it between them, and its pass also tells how far it is off in the middle of the gaps.  The degree is
+    doubled, a pass each, until that moves the log-likelihood by no more than ``CLOSE``.
     """
 
+    CLOSE, MOST_DEGREE = 1e-4, 96
+
     def __init__(self, df: DataFrame, value: str, fitted: dict, half: float, degree: int = 24):
         x = F.col(value).cast("double")
+        self.passes = 1
         s = df.agg(F.count(x).alias("n"), F.max(F.log(x)).alias("top"), F.avg(F.log(x)).alias("m")).first()
         self.n, self.top, self.mean_log, self.shape, self.scale = s["n"], s["top"], s["m"], fitted["shape"], fitted["scale"]
         self.low, self.high = math.log(self.shape) - half, math.log(self.shape) + half
+        while True:
+            self.passes += 2
+            self._approach(df, x, degree)
+            # Sums of n terms are right to some 1e-13.
+            if self.error <= max(self.CLOSE / self.n, 2e-13) or 2 * degree > self.MOST_DEGREE:
+                break
+            degree *= 2
+        self.close = self.error * self.n <= max(10 * self.CLOSE, 2e-12 * self.n)
+
+    def _approach(self, df: DataFrame, x: Column, degree: int) -> None:
         at = _chebyshev(self.low, self.high, degree)
         gaps = (at[1:] + at[:-1]) / 2
         sums = power_sums(df, F.log(x) - F.lit(self.top), [math.exp(v) for v in [*at, *gaps]], wide=len(at))
         logs = np.log(np.array(sums) / self.n)
         self.poly = np.polynomial.chebyshev.Chebyshev.fit(at, logs[: len(at)], degree, domain=[self.low, self.high])
         self.error = float(np.max(np.abs(self.poly(gaps) - logs[len(at) :])))
-        self.passes = 3
 
     def loglik(self, log_shape, log_scale):
         """At ln shape and ln scale."""
@@ -173,7 +188,7 @@ def weibull_intervals(df: DataFrame, value: str, fitted: dict, quantities: Seque
     """Profile-likelihood intervals of a Weibull fit: ("shape",), ("scale",), ("mean",), ("quantile", q) or ("survival", t), at any size of data.
 
     All are read off one model of the likelihood that takes three passes; the window of shapes is doubled (three passes more)
-    where an end lies outside.
+    where an end lies outside, and what no degree brings close enough has the reason NOT_COMPUTABLE.
     """
     if fitted.get("code", "OK") != "OK":
         return [{"quantity": q[0], "reason": "NO_DATA"} for q in quantities]
@@ -185,7 +200,7 @@ def weibull_intervals(df: DataFrame, value: str, fitted: dict, quantities: Seque
             raise PassBudgetError("the window of shapes is not wide enough")
         model = WeibullProfile(df, value, fitted, half)
         used += model.passes
-        out = [_interval(model, q, level) for q in quantities]
+        out = [_interval(model, q, level) if model.close else None for q in quantities]
         if all(r is not None for r in out) or half >= 3:
             return [{**(r or {"quantity": q[0], "reason": "NOT_COMPUTABLE"}), "passes": used, "surrogate_error": model.error} for r, q in zip(out, quantities, strict=True)]
         half *= 2

@@ -7,8 +7,8 @@ import pytest
 from quernel.functions import special as sp
 from quernel.functions.families import family
 from quernel.functions.likelihood import contributions
-from quernel.operators import profile, score, shapes
-from quernel.operators.fit import newton_fit
+from quernel.operators import profile, scale, score, shapes, uncertainty
+from quernel.operators.fit import fit_weibull, newton_fit
 from quernel.sources.observations import observations
 
 TRUE = {"exponential": (0.5,), "weibull": (1.6, 3.0), "gumbel": (2.0, 1.5), "normal": (1.0, 2.0), "lognormal": (0.3, 0.8), "gamma": (2.3, 1.7)}
@@ -193,3 +193,23 @@ def test_triangular_peak(spark):
         every = [(ll(c), -c) for c in np.unique(x)]
         assert (got["loglik"], -peak) == pytest.approx(max(every), rel=1e-9) and all(ll(c) <= got["loglik"] + 1e-9 for c in np.linspace(low + 1e-3, high - 1e-3, 400))
     assert shapes.fit_triangular(frame(spark, [1, 2]), "x", 1.0, 3.0)["code"] == "INVALID_SUPPORT"
+
+
+@pytest.mark.parametrize("name", ["weibull", "gumbel"])
+def test_information_from_the_last_pass(spark, name):
+    x, _ = sample(name, 500, censored=False)
+    df = frame(spark, x)
+    got = scale.information(scale.fit(df, "x", name))
+    _, g, h = score.derivatives(profile.exact(df, "x"), name, list(got["params"].values()))
+    assert np.allclose(g, 0, atol=1e-4) and np.allclose(np.array(got["information"]), -h, rtol=1e-4, atol=1e-3)
+    assert got["free"] == list(family(name).params) and uncertainty.wald(got)["scale"]["se"] > 0
+
+
+def test_degree_grows_until_the_surrogate_is_close(spark, monkeypatch):
+    x, _ = sample("weibull", 300, censored=False)
+    df = frame(spark, x)
+    fitted = fit_weibull(df, "x")
+    few = scale.WeibullProfile(df, "x", fitted, 1.0, degree=3)
+    assert few.close and few.error * few.n <= 1e-3 and few.passes > 3
+    monkeypatch.setattr(scale.WeibullProfile, "MOST_DEGREE", 3)
+    assert not scale.WeibullProfile(df, "x", fitted, 3.0, degree=3).close
