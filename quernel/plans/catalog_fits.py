@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.families import family
 from ..operators import bootstrap, fit, loo, profile, shapes
 from ..operators.ranking import quantiles
+from ..sources import readers
 from ..sources.observations import observations
 from .catalog import _events, _items, _orders, query, row
 
@@ -194,3 +195,10 @@ def _(spark, d):
     (median,) = quantiles(items, "l_extendedprice", (0.5,))
     r = bootstrap.interval(bootstrap.little_bootstraps(items, "l_extendedprice", bootstrap.weighted_quantile(0.5), key="k"), median)
     return row(spark, estimate=round(r["estimate"], 4), se=round(r["se"], 4), lower=round(r["lower"], 4), upper=round(r["upper"], 4), bags=r["bags"])
+
+
+@query("source_duckdb_slices", "select count(*) as n, round(count(*) / sum(value), 9) as rate from events")
+def _(spark, d):
+    """A fit to a column that executors read through DuckDB in row ranges."""
+    r = fit.fit_closed(readers.read_duckdb(spark, f"{d}/events.parquet", "value", rows_each=4096), "x", ["exponential"])
+    return r.select("n", F.round("p1", 9).alias("rate"))
