@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from ..operators import bootstrap, fit, loo, profile, shapes
 from ..operators.ranking import quantiles
 from ..sources import readers
 from ..sources.observations import observations
-from .catalog import _events, _items, _orders, query, row
+from ..streaming import drift
+from .catalog import _events, _items, _orders, query, rounded, row
+from .shared import folder, settle
 
 
 def newton_sql(table: str, start: str, loglik: str, names: str, steps: int = 14, h: float = 1e-3) -> str:
@@ -202,3 +206,24 @@ def _(spark, d):
     """A fit to a column that executors read through DuckDB in row ranges."""
     r = fit.fit_closed(readers.read_duckdb(spark, f"{d}/events.parquet", "value", rows_each=4096), "x", ["exponential"])
     return r.select("n", F.round("p1", 9).alias("rate"))
+
+
+# Drift
+
+
+@query("drift_alarms", """with recursive r as (select event_type as key, avg(value) as m, stddev_pop(value) as s from events group by 1),
+w as (select event_type as key, date_trunc('day', ts) as start, count(*) as n, avg(value) as x from events group by 1, 2 having date_trunc('day', ts) + interval 1 day <= (select max(ts) from events)),
+z as (select w.key, start, n, row_number() over (partition by w.key order by start) as i, (x - m) * sqrt(n) / s as z from w join r using (key)),
+c as (select key, start, n, i, z, greatest(0.0, z - 0.5) as up, greatest(0.0, -z - 0.5) as down from z where i = 1
+union all select z.key, z.start, z.n, z.i, z.z, greatest(0.0, case when greatest(up, down) > 2 then 0.0 else up end + z.z - 0.5), greatest(0.0, case when greatest(up, down) > 2 then 0.0 else down end - z.z - 0.5) from c join z on z.key = c.key and z.i = c.i + 1)
+select key, start, n, round(z, 4) as z, round(up, 4) as up, round(down, 4) as down, case when up > 2 then 'RISE' when down > 2 then 'FALL' end as alarm from c""")
+def _(spark, d):
+    """Cumulative sums of each event type over a stream of all events, against the whole table's means."""
+    e = _events(spark, d)
+    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    name = f"drift_{uuid.uuid4().hex}"
+    told = drift.scores(stream, settle(drift.reference(e, "event_type", "value"), "reference"), "event_type", "ts", "value", limit=2.0)
+    place = f"{folder(spark)}/quernel/{name}"
+    told.writeStream.format("parquet").option("checkpointLocation", f"{place}/marks").outputMode("append").trigger(availableNow=True).start(f"{place}/out").awaitTermination()
+    out = spark.read.schema(told.schema).parquet(f"{place}/out")
+    return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
