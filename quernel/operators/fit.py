@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import special as sp
 from ..functions.families import EULER, family
 from ..functions.likelihood import contributions
+from ..plans.shared import settle
 from . import score
 from .ranking import grouped_quantiles, quantiles
 
@@ -379,6 +380,20 @@ def log_likelihoods(obs: DataFrame, name: str, points: Sequence[Sequence[float]]
     return (out[0]["n"], np.array([r["t"] for r in out])) if out else (0, np.zeros(len(points)))
 
 
+def exact_log_likelihood(obs: DataFrame, name: str, params: Sequence[float]) -> float:
+    """The weighted log-likelihood, correctly rounded from the exact sum of its rows' contributions: the same under any partitioning."""
+    from .exact import exact_sum
+
+    def run(batches):
+        for b in batches:
+            value, status, upper, lo, hi, weight = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(6))
+            each = np.where(weight > 0, weight * contributions(name, params, value, status, upper, lo, hi), 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(each)], ["x"])
+
+    rows = obs.select(*[F.col(c).cast("double") for c in ("value", "status", "upper", "trunc_lower", "trunc_upper", "weight")])
+    return float(exact_sum(rows.mapInArrow(run, "x double"), "x"))
+
+
 def start_of(obs: DataFrame, name: str) -> list[float]:
     """First parameters, from moments of the values as if all were exact."""
     s = obs.agg(F.sum("weight").alias("w"), (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("m"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.percentile_approx("value", [0.25, 0.5, 0.75]).alias("q"), F.avg(F.when(F.col("value") > 0, F.log("value"))).alias("ml"), F.stddev_pop(F.when(F.col("value") > 0, F.log("value"))).alias("sl"), F.stddev_pop("value").alias("sd")).first()
@@ -392,7 +407,7 @@ def start_of(obs: DataFrame, name: str) -> list[float]:
     }[name]
 
 
-def newton_fit(obs: DataFrame, name: str, start: Sequence[float] | None = None, fixed: dict[int, float] | None = None, passes: int = 40, tol: float = 1e-7) -> dict:
+def newton_fit(obs: DataFrame, name: str, start: Sequence[float] | None = None, fixed: dict[int, float] | None = None, passes: int = 40, tol: float = 1e-7, merged: bool = False) -> dict:
     """Fit any smooth family to observations (value, status, upper, trunc_lower, trunc_upper, weight).
 
     Exact and right-censored rows of six families go by exact derivatives (``score.newton``), an aggregation a step.  For all else
@@ -400,9 +415,10 @@ def newton_fit(obs: DataFrame, name: str, start: Sequence[float] | None = None,
     some trial points ahead.  Positive parameters move on a logarithmic scale.
     ``fixed`` holds parameters by index.  The result has the observed information
     of the free parameters on that scale; an end where the gradient isn't small or the information isn't definite is
-    OPTIMIZER_EXHAUSTED.
+    OPTIMIZER_EXHAUSTED.  ``merged`` adds up equal rows first, which pays where values repeat often.
     """
     f = family(name)
+    obs = settle(grouped_by_multiplicity(obs), "merged") if merged else obs
     known = score.admissible(obs) if f.name in score.FAMILIES else {"other": 1}
     if known.get("n") == 0:
         return {"family": f.name, "code": "EMPTY_SAMPLE", "n": 0}

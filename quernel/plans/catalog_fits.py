@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.families import family
-from ..operators import bootstrap, fit, loo, profile, shapes
+from ..operators import bootstrap, fit, loo, moments, profile, shapes
 from ..operators.ranking import quantiles
 from ..sources import readers
 from ..sources.observations import observations
@@ -173,6 +173,33 @@ def _(spark, d):
     return row(spark, quantity="mu", lower=round(r["lower"], 6), upper=round(r["upper"], 6))
 
 
+# Sums and moments
+
+
+@query("exact_loglik_exponential", "select count(*) as n, round(count(*) * ln(0.02) - 0.02 * sum(value), 4) as loglik from events")
+def _(spark, d):
+    obs = observations(_events(spark, d), "value")
+    return row(spark, n=obs.count(), loglik=round(fit.exact_log_likelihood(obs, "exponential", (0.02,)), 4))
+
+
+@query("fit_merged_rows", """with recursive t as (select l_quantity as x, count(*)::double as c from lineitem group by 1), w as (select ln(x) - max(ln(x)) over () as w, max(ln(x)) over () as top, c from t),
+b(i, lo, hi) as (select 0, ln(0.01::double), ln(100::double) union all select i + 1, case when g > 0 then (lo + hi) / 2 else lo end, case when g > 0 then hi else (lo + hi) / 2 end
+from (select i, lo, hi, (select 1 / exp((lo + hi) / 2) - sum(c * w * exp(exp((lo + hi) / 2) * w)) / sum(c * exp(exp((lo + hi) / 2) * w)) + sum(c * w) / sum(c) from w) as g from b where i < 50)),
+k as (select exp((lo + hi) / 2) as k from b where i = 50) select (select sum(c)::bigint from t) as n, round(any_value(k), 4) as shape, round(exp(any_value(top) + ln(sum(c * exp(k * w)) / sum(c)) / any_value(k)), 3) as scale from w, k""")
+def _(spark, d):
+    obs = observations(_items(spark, d), "l_quantity")
+    r = fit.newton_fit(obs, "weibull", merged=True)
+    return row(spark, n=obs.count(), shape=round(r["params"]["shape"], 4), scale=round(r["params"]["scale"], 3))
+
+
+@query("moment_test_exponential")
+def _(spark, d):
+    """Gaps of four moments of all events from a fitted exponential, and their p-values."""
+    e = _events(spark, d)
+    r = moments.moment_test(e, "value", "exponential", (fit.fit_closed(e, "value", ["exponential"]).first()["p1"],), 99)
+    return spark.createDataFrame([(k, round(r[k], 6), r["p_values"][k]) for k in moments.GAPS], "moment string, gap double, p_value double")
+
+
 # Leave-one-out and bootstrap
 
 
