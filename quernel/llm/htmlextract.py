@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bytescan as bs
-from .pagemaker import PageMaker
+from .pagemaker import NAMES, PageMaker
 from .store import mapped
 
 PATH, WORDS, SHAPE, HIDDEN, PAGES, EPOCHS, SEED = 256, 32, 8, 20, 700, 10, 11
@@ -327,11 +327,26 @@ def network() -> Network:
     return _trained[key]
 
 
+#: Tags of a paragraph, and of what may stand around it on a page of nothing else.
+PARAGRAPHS, AROUND = frozenset("p pre blockquote article main".split()), frozenset("html body div main article section p pre blockquote".split())
+_TELLING = frozenset(f".{w}" for kind, words in NAMES.items() if kind not in ("main", "plain") for w in words.split())
+
+
+def alone(block: tuple[tuple, str, int]) -> bool:
+    """Whether the only block of a page is its text: with nothing around it there is nothing to tell it from, so a paragraph without links and telling names counts."""
+    path, _, linked = block
+    tags = [e[0] for e in path]
+    return not linked and bool(tags) and tags[-1] in PARAGRAPHS and AROUND.issuperset(tags) and not any(_TELLING.intersection(e[1:]) for e in path)
+
+
 def texts_of(pages: list[str | None], net: Network) -> list[str]:
     """Main text of each page."""
     found = [blocks(p) if p else [] for p in pages]
     x, first = vectors(found)
     keep = net.label(x, first) >= 0.5
+    for r, own in enumerate(found):
+        if len(own) == 1 and alone(own[0]):
+            keep[first[r]] = True
     return ["\n".join(b[1] for b, k in zip(own, keep[first[r] : first[r + 1]].tolist(), strict=True) if k) for r, own in enumerate(found)]
 
 

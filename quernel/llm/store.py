@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -25,10 +26,36 @@ def folder(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+_scopes: list[str] = []
+
+
+def _own(spark: SparkSession) -> str:
+    return "/".join([f"{folder(spark)}/quernel/{spark.sparkContext.applicationId}", *_scopes])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove what this application has stashed; until then it stays, since results read from it."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/quernel/{spark.sparkContext.applicationId}")
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    _remove(spark, f"{folder(spark)}/quernel/{spark.sparkContext.applicationId}")
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """What is stashed within goes at the end: write results before, for they read from it.
+
+    ``with store.scope(spark): corpus_pipeline.run(spark, path).write.parquet(out)``
+    """
+    _scopes.append(uuid.uuid4().hex)
+    path = _own(spark)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        _remove(spark, path)
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
@@ -37,7 +64,7 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     This cuts lineage: a lost executor costs the tasks it ran and never what was
     written.  Spark's commit protocol keeps the files of one attempt per task.
     """
-    path = f"{folder(df.sparkSession)}/quernel/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}/{tag}"
+    path = f"{_own(df.sparkSession)}/{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

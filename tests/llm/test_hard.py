@@ -72,7 +72,10 @@ def test_long_page(spark):
     body = "".join(f"<p>Paragraph {k} of a very long article about the matter at hand, with some more words.</p>" for k in range(20_000))
     rows = spark.createDataFrame([(1, "u", f"<html><body><article>{body}</article></body></html>"), (2, "u", "<p>" + "y" * 1_000_000 + "</p>")], "page_id long, url string, html string")
     out = {r["page_id"]: r for r in htmlextract.extract(rows, net).collect()}
-    assert out[1]["n_chars"] > 1_000_000 and out[2]["n_chars"] in (0, 1_000_000)
+    assert out[1]["n_chars"] > 1_000_000 and out[2]["n_chars"] == 1_000_000
+    # A page's only block is its text if it is a paragraph, and not if it is anything that stands around one.
+    pages = {"<p>hi you</p>": "hi you", "<html><body><div class='post'><p>hi</p></div></body></html>": "hi", "<footer><p>hi</p></footer>": "", "<div class='menu nav'><p>hi</p></div>": "", "<p><a href='/'>hi</a></p>": "", "<form><p>hi</p></form>": "", "": ""}
+    assert htmlextract.texts_of(list(pages), net) == list(pages.values())
 
 
 def test_ids_of_other_types(spark, tokenizers):
@@ -245,3 +248,23 @@ def test_labels_without_telling_names(monkeypatch):
     right = (htmlextract.network().label(x, first) >= 0.5) == y
     print("blocks labelled right without telling names:", right.mean())
     assert right.mean() > 0.93
+
+
+def test_scope_removes_what_was_stashed(spark, tmp_path):
+    from quernel.llm import store
+
+    def files():
+        top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store.folder(spark)}/quernel/{spark.sparkContext.applicationId}")
+        fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return fs.getContentSummary(top).getFileCount() if fs.exists(top) else 0
+
+    before = files()
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, None)], "doc_id long, text string")
+    with store.scope(spark):
+        jaccard.join(docs).write.parquet(str(tmp_path / "out"))
+        with store.scope(spark):
+            inner = store.stash(docs, "inner")
+        assert files() > before
+    assert files() == before and {r["component_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1, 3}
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        inner.collect()
