@@ -406,7 +406,10 @@ def _(spark, d):
     return samples.adequate_best(rows).select("code", "family", F.round("aic", 4).alias("aic"))
 
 
-@query("suggest_families")
+@query("suggest_families", """with s as (select min(value) as lo, avg(value) as m, var_pop(value) as v from events),
+k as (select any_value(lo) as lo, avg(pow(value - m, 3)) / pow(any_value(v), 1.5) as sk, avg(pow(value - m, 4)) / pow(any_value(v), 2) - 3 as ku from events, s),
+f as (select unnest(['normal', 'lognormal', 'gamma', 'weibull', 'exponential']) as family, unnest(range(5)) as place)
+select place, family, concat_ws(', ', case when lo > 0 then 'above 0' end, case when abs(sk) > 0.5 then 'skewed' end, case when ku > 1 then 'heavy tails' end) as why from f, k where lo > 0 or place = 0""")
 def _(spark, d):
     return samples.suggest(_events(spark, d), "value")
 
