@@ -62,7 +62,7 @@ class _End:
 
     def __init__(self, psi: Callable, side: int, top: np.ndarray, cov: np.ndarray, loss: float, h: np.ndarray):
         self.psi, self.side, self.top, self.cov, self.h = psi, side, top, cov, h
-        self.goals, self.state, self.tries = [loss], "open", 0
+        self.goals, self.state, self.tries, self.last = [loss], "open", 0, math.inf
         self.begin(top, loss)
 
     def begin(self, near: np.ndarray, loss: float) -> None:
@@ -88,14 +88,16 @@ class _End:
         size = float(np.max(np.abs(step[:2]) / self.unit))
         step *= min(1.0, 2.0 / max(size, 1e-300))
         self.u, self.multiplier = self.u + step[:2], self.multiplier + step[2]
+        # What a step leaves is of its square; one that is small and no longer shrinks is the rounding of the sums.
+        arrived, self.last = size < 1e-7 or size < 1e-4 and size > self.last / 4, size
         if np.max(np.abs(self.u - self.top) / self.unit) > 1e5:
             self.state = "unbounded"
-        elif size < 1e-9:
+        elif arrived:
             if self.multiplier * self.side > 0:  # the other end
                 self.restart()
             elif len(self.goals) > 1:
                 self.goals.pop(0)
-                self.tries = 0
+                self.tries, self.last = 0, math.inf
             else:
                 self.state = "done"
 
@@ -105,7 +107,7 @@ class _End:
             self.state = "lost"
             return
         last = self.goals[0]
-        self.goals, self.tries, self.state = [last * (k / 8) ** 2 for k in range(1, 9)], 0, "again"
+        self.goals, self.tries, self.state, self.last = [last * (k / 8) ** 2 for k in range(1, 9)], 0, "again", math.inf
         self.begin(self.top, self.goals[0])
 
 
@@ -136,11 +138,16 @@ def intervals(obs: DataFrame, fitted: dict, quantities: Sequence[Sequence], leve
     width = np.maximum(width, 1e-4 * np.where(positive, 1, np.sqrt(np.diag(cov))))
     made = [quantity(f, q) for q in quantities]
     ends = [(_End(lambda u, to=to: to(*natural(u)), side, top, cov, loss, width)) for to, _, _ in made for side in (-1, 1)]
+    # Losses are sums of what rows lose against the mean row at the estimate: those of whole log-likelihoods drown in rounding as rows grow.
+    centre, best = best / known["mass"], None
     while used < passes:
         todo = [e for e in ends if e.state in ("open", "again")][:TOGETHER]
         if not todo:
             break
-        for e, (value, g, hess) in zip(todo, score.derivatives_at(obs, name, [natural(e.u) for e in todo], known), strict=True):
+        points = [natural(e.u) for e in todo] + ([p] if best is None else [])
+        told = score.derivatives_at(obs, name, points, known, centre)
+        best = told[-1][0] if best is None else best
+        for e, (value, g, hess) in zip(todo, told, strict=False):
             e.move(value, g, hess, best)
         used += 1
     out = []

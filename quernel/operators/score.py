@@ -36,7 +36,7 @@ def admissible(obs: DataFrame) -> dict:
         other = other | c
     x = F.when(seen & (w > 0), F.col("value"))
     return obs.agg(
-        F.count_if(w > 0).alias("n"), F.coalesce(F.sum(F.when(seen, w)), F.lit(0)).alias("events"), F.count_if(~seen & (w > 0)).alias("censored"),
+        F.count_if(w > 0).alias("n"), F.sum(F.when(w > 0, w)).cast("double").alias("mass"), F.coalesce(F.sum(F.when(seen, w)), F.lit(0)).alias("events"), F.count_if(~seen & (w > 0)).alias("censored"),
         F.count_if(F.coalesce(other, F.lit(True)) & (w > 0)).alias("other"), F.min(x).alias("low"), F.max(x).alias("high"), F.max(F.when(w > 0, F.col("value"))).alias("far"),
     ).first().asDict()
 
@@ -56,8 +56,8 @@ def terms_of(name: str, params: Sequence[Column], x: Column, seen: Column) -> di
     return how[name](x, exact, seen, name, *params)
 
 
-def derivatives_at(obs: DataFrame, name: str, points: Sequence[Sequence[float]], known: dict | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """Value, gradient and Hessian at each of a few points, all from one pass."""
+def derivatives_at(obs: DataFrame, name: str, points: Sequence[Sequence[float]], known: dict | None = None, centre: float = 0.0) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Value, gradient and Hessian at each of a few points, all from one pass; values are less ``centre`` for each unit of weight, but for gamma."""
     if name not in FAMILIES:
         raise CapabilityError(f"{name} has no closed derivatives here")
     known = known or admissible(obs)
@@ -76,6 +76,8 @@ def derivatives_at(obs: DataFrame, name: str, points: Sequence[Sequence[float]],
     if name in ("normal", "lognormal"):  # once for each censored row, not in every sum
         each = each.withColumn("m", F.when(~F.col("seen"), mills(_standard(x, name, *at))))
     terms = terms_of(name, at, x, F.col("seen"))
+    if centre and "v" in terms:
+        terms["v"] = terms["v"] - F.lit(float(centre))
     sums = {r["i"]: r for r in each.groupBy("p.i").agg(*[total(c).alias(k) for k, c in terms.items()]).collect()}
     tails = _gamma_tails(obs, points) if name == "gamma" and known["censored"] else np.zeros((len(points), 6))
     out = []

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from quernel.functions import special as sp
 from quernel.functions.families import family
 from quernel.functions.likelihood import contributions
@@ -138,6 +139,22 @@ def test_small_samples_have_wide_intervals(spark):
     assert r["lower"] == pytest.approx(low, rel=1e-4) and r["upper"] == pytest.approx(high, rel=1e-4)
 
 
+def heavy(spark, name):
+    """The interval of a first parameter, and its Wald ends, of 400 rows that stand for 400 million."""
+    x, seen = sample(name)
+    obs = rows(spark, x, seen).withColumn("weight", F.lit(10**6))
+    fitted = newton_fit(obs, name)
+    (r,) = profile.intervals(obs, fitted, [(family(name).params[0],)])
+    return r, uncertainty.wald(fitted)[family(name).params[0]]
+
+
+@pytest.mark.parametrize("name", ["gumbel", "lognormal", "weibull", "normal", "gamma"])
+def test_ends_where_losses_are_small_beside_the_likelihood(spark, name):
+    r, w = heavy(spark, name)
+    width = w["upper"] - w["lower"]
+    assert abs(r["lower"] - w["lower"]) < 1e-3 * width and abs(r["upper"] - w["upper"]) < 1e-3 * width
+
+
 def frame(spark, x):
     return spark.createDataFrame([(float(v),) for v in x], "x double").repartition(3)
 
