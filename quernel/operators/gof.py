@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import special as sp
 from ..functions.families import column, family
+from . import fit
+from . import replicates as parts
 from .ranking import tied_ranks
 
 CLIP = 1e-15
+#: Rows up to which a replicate is drawn as a whole.
+WHOLE = 100_000
 
 
 def edf_statistics(df: DataFrame, value: str, name: str, params: Sequence[float]) -> DataFrame:
@@ -183,18 +187,38 @@ def small_statistics(x: np.ndarray, name: str, params) -> tuple[float, float, fl
 
 
 class RefitRefused(ValueError):
-    """The sample is too large, or the family can't be refitted, for Monte Carlo on whole replicates."""
+    """The sample is larger than the caller allows, or the family can't be refitted."""
 
 
-def monte_carlo(df: DataFrame, value: str, name: str, replicates: int = 200, seed: int = 0, most_rows: int = 100_000) -> DataFrame:
-    """(statistic, value, p_value, error, failures): each replicate is drawn from the fit, refitted and measured in one task row.
+def _fitted(df: DataFrame, value: str, name: str) -> tuple[float, ...]:
+    """Estimates of a large sample, from aggregations."""
+    if name in ("weibull", "gumbel"):
+        r = fit.fit_weibull(df, value) if name == "weibull" else fit.fit_gumbel(df, value)
+        names = family(name).params
+    else:
+        r = fit.fit_gamma(df, value).first().asDict() if name == "gamma" else fit.fit_closed(df, value, [name]).first().asDict()
+        names = ("shape", "scale") if name == "gamma" else ("p1", "p2")[: len(family(name).params)]
+    if any(r.get(k) is None for k in names):
+        raise RefitRefused(f"{name}: {r.get('code')}")
+    return tuple(float(r[k]) for k in names)
+
+
+def monte_carlo(df: DataFrame, value: str, name: str, replicates: int = 200, seed: int = 0, most_rows: int | None = None, whole: int = WHOLE) -> DataFrame:
+    """(statistic, value, p_value, error, failures): each replicate is drawn from the fit, refitted and measured.
 
-    A replicate's generator depends on the seed and its number alone, so the result doesn't depend on partitions.
+    Up to ``whole`` rows a replicate is one task's work; beyond, it is drawn in blocks (``replicates.py``; not for Laplace and logistic).
+    Generators depend on the seed and the numbers of replicate and block alone, so the result doesn't depend on partitions.
+    Over ``most_rows`` rows, where given, the sample is refused.
     """
     name = family(name).name
-    rows = [r[0] for r in df.select(F.col(value).cast("double")).limit(most_rows + 1).collect()]
-    if len(rows) > most_rows or name not in _FAST:
+    least = whole if most_rows is None else most_rows
+    rows = [r[0] for r in df.select(F.col(value).cast("double")).limit(least + 1).collect()]
+    if name not in _FAST or (len(rows) > least and (most_rows is not None or name not in parts.SUMS)):
         raise RefitRefused(name)
+    if len(rows) > least:
+        params = _fitted(df, value, name)
+        s = edf_statistics(df, value, name, params).first()
+        return _weighed({k: s[k] for k in ("ks", "ad", "cvm")}, parts.statistics(df.sparkSession, name, params, s["n"], replicates, seed))
     x = np.array(rows)
     params, n = _FAST[name](x), len(x)
     seen = dict(zip(("ks", "ad", "cvm"), small_statistics(x, name, params), strict=True))
@@ -213,6 +237,11 @@ def monte_carlo(df: DataFrame, value: str, name: str, replicates: int = 200, see
 
     spark = df.sparkSession
     runs = spark.range(replicates).repartition(max(1, min(replicates, spark.sparkContext.defaultParallelism))).mapInPandas(run, "id long, ks double, ad double, cvm double")
+    return _weighed(seen, runs)
+
+
+def _weighed(seen: dict[str, float], runs: DataFrame) -> DataFrame:
+    """Each statistic of the sample against those of the replicates."""
     ok = F.count("ks")
     stats = [F.struct(F.lit(s).alias("statistic"), F.lit(v).alias("value"), ((F.count_if(F.col(s) >= F.lit(v)) + 1) / (ok + 1)).alias("p_value")) for s, v in seen.items()]
     out = runs.agg(F.array(*stats).alias("a"), ok.alias("ok"), (F.count("*") - ok).alias("failures")).select(F.explode("a").alias("s"), "ok", "failures")

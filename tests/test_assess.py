@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from quernel.functions.families import family
-from quernel.operators import assess, fit, gof, uncertainty
+from quernel.operators import assess, fit, gof, replicates, uncertainty
 from quernel.sources import tables
 
 
@@ -75,3 +75,25 @@ def test_tables(spark):
 def test_report_and_digest(spark):
     assert "<th scope='row'>rate</th>" in assess.report_html({"family": "exponential", "params": {"rate": 0.5}})
     assert assess.environment_digest(spark) == assess.environment_digest(spark)
+
+
+@pytest.mark.parametrize("name", ["exponential", "normal", "lognormal", "weibull", "gumbel", "gamma", "wald", "pareto", "rayleigh", "uniform"])
+def test_replicates_in_blocks(spark, monkeypatch, name):
+    """Blocks give the statistics of the whole replicate, refitted by the plain formulas."""
+    monkeypatch.setattr(replicates, "BLOCK", 3000)
+    p = {"exponential": (0.1,), "weibull": (1.3, 20.0), "gumbel": (3.0, 2.0), "gamma": (2.0, 3.0), "wald": (2.0, 5.0), "pareto": (2.5, 1.0), "rayleigh": (4.0,), "uniform": (1.0, 3.0)}.get(name, (1.0, 0.7))
+    n = 10_000 if name not in ("gamma", "wald") else 4000
+    got = {r["r"]: r for r in replicates.statistics(spark, name, p, n, 2, 7).collect()}
+    blocks = -(-n // 3000)
+    for r in range(2):
+        c = np.random.default_rng([7, r]).multinomial(n, np.full(blocks, 1 / blocks))
+        x = np.concatenate([replicates._drawn(name, p, 7, blocks, r, b, k) for b, k in enumerate(c)])
+        want = gof.small_statistics(x, name, gof._FAST[name](x))
+        assert len(x) == n and np.allclose([got[r][k] for k in ("ks", "ad", "cvm")], want, rtol=1e-6, atol=1e-8)
+
+
+def test_monte_carlo_beyond_whole_replicates(spark):
+    df = frame(spark, np.random.default_rng(4).exponential(5.0, 3000))
+    few, many = ({r["statistic"]: r for r in gof.monte_carlo(df, "x", "exponential", 60, seed=2, whole=w).collect()} for w in (5000, 1000))
+    for k in ("ks", "ad", "cvm"):
+        assert abs(few[k]["value"] - many[k]["value"]) < 1e-9 and abs(few[k]["p_value"] - many[k]["p_value"]) < 0.25 and many[k]["failures"] == 0
