@@ -97,8 +97,8 @@ def _closed_forms() -> dict[str, tuple[list[Column], Column, Column, Column]]:
     yes, no = F.lit(True), F.lit(False)
     return {
         "exponential": ([n / s1], n * F.log(n / s1) - n, lo >= 0, s1 <= 0),
-        "normal": ([mean, F.sqrt("var")], -n / 2 * (ln2pi + F.log("var") + 1), yes, var <= 0),
-        "lognormal": ([_c("ml"), F.sqrt("vl")], -n / 2 * (ln2pi + F.log("vl") + 1) - sl, lo > 0, _c("vl") <= 0),
+        "normal": ([mean, F.sqrt("var")], -n / 2 * (ln2pi + F.log("var") + 1), yes, (var <= 0) | (hi <= lo)),  # squares of merged means leave a rest where values are equal
+        "lognormal": ([_c("ml"), F.sqrt("vl")], -n / 2 * (ln2pi + F.log("vl") + 1) - sl, lo > 0, (_c("vl") <= 0) | (hi <= lo)),
         "uniform": ([lo, hi], -n * F.log(hi - lo), yes, hi <= lo),
         "rayleigh": ([rayleigh], sl - n * F.log(rayleigh * rayleigh) - n, lo > 0, no),
         "laplace": ([_c("med"), mad], -n * (F.log(2 * mad) + 1), yes, mad <= 0),

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quernel.functions.families import family
-from quernel.operators import exact, fit, gof, ranking, samples, uncertainty
+from quernel.operators import exact, fit, gof, ranking, samples, score, uncertainty
 from quernel.sources import lifetime_csv, partitions
 from quernel.sources.observations import CapabilityError, cell, numeric_violations, observations, violations
 from quernel.streaming import fits as streams
@@ -241,3 +241,10 @@ def test_grouped_summary(spark):
     assert [v["n"] for v in r] == [34, 33, 33] and r[0]["median"] == 49.5
     f = fit.fit_closed(df, "x", ["laplace", "normal"], by=["g"]).filter("family = 'laplace'").orderBy("g").first()
     assert f["p1"] == 49.5
+
+
+def test_equal_values_are_degenerate_however_they_are_dealt(spark):
+    """Merged means of 7.0 need not be 7.0, as 7 / n * n is not for these n."""
+    n = [k for k in range(2, 2000) if 7.0 / k * k != 7.0][-1]
+    df = spark.range(0, 3 * n, 1, 3).selectExpr("7.0D as x")
+    assert {r["family"]: r["code"] for r in fit.fit_closed(df, "x", ["exponential", "normal", "lognormal"]).collect()} == {"exponential": "OK", "normal": "DEGENERATE_SAMPLE", "lognormal": "DEGENERATE_SAMPLE"}
