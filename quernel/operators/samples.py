@@ -118,17 +118,18 @@ def leave_one_out(df: DataFrame, value: str, name: str) -> DataFrame:
     """(family, loo): minus the sum of log densities of each value under the fit to all others, from totals less the row."""
     x = df.select(F.col(value).cast("double").alias("x")).filter("x is not null")
     y = F.log("x") if name == "lognormal" else F.col("x")
-    t = x.agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("var")).first()
+    near = x.agg(F.avg(y)).first()[0]  # sums of values far from 0 round; those of distances from about the mean don't
+    t = x.agg(F.count("*").alias("n"), F.avg(y - F.lit(near)).alias("mean"), F.var_pop(y - F.lit(near)).alias("var")).first()
     n = float(t["n"])
     if n < 2:
         return x.agg(F.lit(name).alias("family"), F.lit(None).cast("double").alias("loo"))
-    away = y - F.lit(t["mean"])  # from the common mean, so that nothing cancels
-    mean = F.lit(t["mean"]) - away / (n - 1)
+    away = (y - F.lit(near)) - F.lit(t["mean"])  # from the common mean, so that nothing cancels
+    mean = F.lit(near + t["mean"]) - away / (n - 1)
     if name == "exponential":
         term = -F.log(mean) - y / mean
     elif name in ("normal", "lognormal"):
         var = (F.lit(n * t["var"]) - away * away * (n / (n - 1))) / (n - 1)
-        term = -0.5 * (F.log(2 * math.pi * var) + (y - mean) * (y - mean) / var) - (F.log("x") if name == "lognormal" else F.lit(0.0))
+        term = -0.5 * (F.log(2 * math.pi * var) + away * away * (n / (n - 1)) ** 2 / var) - (F.log("x") if name == "lognormal" else F.lit(0.0))
     else:
         raise ValueError("leave-one-out from totals is for exponential, normal and lognormal")
     return x.agg(F.lit(name).alias("family"), (-F.sum(term)).alias("loo"))

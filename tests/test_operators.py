@@ -248,3 +248,9 @@ def test_equal_values_are_degenerate_however_they_are_dealt(spark):
     n = [k for k in range(2, 2000) if 7.0 / k * k != 7.0][-1]
     df = spark.range(0, 3 * n, 1, 3).selectExpr("7.0D as x")
     assert {r["family"]: r["code"] for r in fit.fit_closed(df, "x", ["exponential", "normal", "lognormal"]).collect()} == {"exponential": "OK", "normal": "DEGENERATE_SAMPLE", "lognormal": "DEGENERATE_SAMPLE"}
+
+
+def test_leave_one_out_far_from_zero(spark):
+    df = spark.range(0, 2_000_000, 1, 2).selectExpr("1e9D + (id % 1000) * 0.0001D as x", "(1e9D + (id % 1000) * 0.0001D) - 1e9D as near")
+    far, near = (samples.leave_one_out(df, c, "normal").first()["loo"] for c in ("x", "near"))
+    assert abs(far - near) < 0.05
