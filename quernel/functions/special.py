@@ -6,13 +6,47 @@ import math
 
 import numpy as np
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
 _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 TINY = 1e-300
 
 
+#: Rational approximations of the error function by range (Cody 1969): below 0.46875, up to 4, and beyond; numerators and denominators from the highest power.
+ERF_LOW = ((1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3), (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3))
+ERFC_MIDDLE = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+ERFC_FAR = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+
+
+def ratio(pair, x):
+    """A rational function of numbers or Columns by Horner's rule."""
+    out = []
+    for c in pair:
+        v = c[0]
+        for k in c[1:]:
+            v = v * x + k
+        out.append(v)
+    return out[0] / out[1]
+
+
 def erfc(x):
-    return np.asarray(_erfc(np.asarray(x, float)), float)
+    x = np.asarray(x, float)
+    flat = np.atleast_1d(x).ravel()
+    y = np.abs(flat)
+    out = np.where(np.isnan(y), np.nan, 0.0)  # 0 beyond 27, where the tail is less than any number
+    low, far = y <= 0.46875, (y > 4) & (y < 27.5)
+    middle = ~low & (y <= 4)
+    out[low] = 1 - flat[low] * ratio(ERF_LOW, flat[low] ** 2)
+    for part, scaled in ((middle, lambda v: ratio(ERFC_MIDDLE, v)), (far, lambda v: (1 / math.sqrt(math.pi) - ratio(ERFC_FAR, 1 / (v * v)) / (v * v)) / v)):
+        v = y[part]
+        cut = np.trunc(v * 16) / 16  # e^(-v^2) in two factors, so that its relative error stays small
+        out[part] = np.exp(-cut * cut) * np.exp(-(v - cut) * (v + cut)) * scaled(v)
+    out = np.where((flat < 0) & ~low, 2 - out, out)
+    return out.reshape(x.shape)
 
 
 def lgamma(x):
@@ -47,21 +81,35 @@ def inverse_mills(z):
     return np.exp(-0.5 * z * z - 0.5 * math.log(2 * math.pi) - log_norm_cdf(-z))
 
 
+#: Rational approximations of normal quantiles (Wichura 1988): middle, tails, far tails.
+_PPF = (
+    (
+        (2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080e0),
+        (5.2264952788528545610e3, 2.8729085735721942674e4, 3.9307895800092710610e4, 2.1213794301586595867e4, 5.3941960214247511077e3, 6.8718700749205790830e2, 4.2313330701600911252e1, 1.0),
+    ),
+    (
+        (7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e0, 3.64784832476320460504e0, 5.76949722146069140550e0, 4.63033784615654529590e0, 1.42343711074968357734e0),
+        (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940e0, 2.05319162663775882187e0, 1.0),
+    ),
+    (
+        (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2, 2.96560571828504891230e-1, 1.78482653991729133580e0, 5.46378491116411436990e0, 6.65790464350110377720e0),
+        (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4, 1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0),
+    ),
+)
+
+
 def norm_ppf(q):
-    """Bisection to a bracket of a half, then Newton on the logarithm of the nearer tail."""
     q = np.asarray(q, float)
-    low = np.minimum(q, 1 - q)
-    p = np.clip(low, TINY, 0.5)
-    t = np.sqrt(-2 * np.log(p))
-    z = -(t - np.log(np.maximum(t, 1e-9) * math.sqrt(2 * math.pi) + 1) / np.maximum(t, 1.0))
-    for _ in range(60):
-        lc = log_norm_cdf(z)
-        step = (lc - np.log(p)) * np.exp(lc + 0.5 * z * z + 0.5 * math.log(2 * math.pi))
-        z = np.minimum(z - np.clip(step, -1, 1), 0.0)
-        if np.all(np.abs(step) < 1e-13 * np.maximum(1, np.abs(z))):
-            break
-    z = np.where(q <= 0.5, z, -z)
-    return np.where(q <= 0, -np.inf, np.where(q >= 1, np.inf, np.where(np.isnan(q), np.nan, z)))
+    flat = np.atleast_1d(q).ravel()
+    away = flat - 0.5
+    out = np.full(flat.shape, np.nan)
+    middle = np.abs(away) <= 0.425
+    out[middle] = away[middle] * ratio(_PPF[0], 0.180625 - away[middle] ** 2)
+    tail = ~middle & (flat > 0) & (flat < 1)
+    r = np.sqrt(-np.log(np.where(away[tail] < 0, flat[tail], 1 - flat[tail])))
+    out[tail] = np.sign(away[tail]) * np.where(r <= 5, ratio(_PPF[1], r - 1.6), ratio(_PPF[2], r - 5))
+    out[flat <= 0], out[flat >= 1] = -np.inf, np.inf
+    return out.reshape(q.shape)
 
 
 def digamma(x):

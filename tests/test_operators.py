@@ -254,3 +254,12 @@ def test_leave_one_out_far_from_zero(spark):
     df = spark.range(0, 2_000_000, 1, 2).selectExpr("1e9D + (id % 1000) * 0.0001D as x", "(1e9D + (id % 1000) * 0.0001D) - 1e9D as near")
     far, near = (samples.leave_one_out(df, c, "normal").first()["loo"] for c in ("x", "near"))
     assert abs(far - near) < 0.05
+
+
+def test_hazard_of_the_normal_tail(spark):
+    z = np.concatenate([np.linspace(-9, 12, 300), [0.0, 25.0, 200.0]])
+    frame = spark.createDataFrame([(float(v),) for v in z], "z double").select("z", score.mills(F.col("z")).alias("m"))
+    assert "lambda" not in frame._jdf.queryExecution().toString()  # loops over rows are not compiled
+    for v, m in frame.collect():
+        want = math.exp(-v * v / 2) / math.sqrt(2 * math.pi) / (0.5 * math.erfc(v / math.sqrt(2))) if v < 20 else v + 1 / (v + 2 / (v + 3 / (v + 4 / v)))
+        assert abs(m / want - 1) < 1e-9
