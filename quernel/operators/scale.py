@@ -96,15 +96,15 @@ def _one_pass(name: str, s: dict) -> dict:
     return {"code": code, "n": n, "params": {"shape": shape, "scale": scale}, "loglik": (shape - 1) * n * s["ml"] - n * shape - n * shape * math.log(scale) - n * math.lgamma(shape)}
 
 
-def fit_incremental(spark, path: str, column: str, name: str, store: str, recompute_changed: bool = False, allow_removed: bool = False) -> dict:
-    """One-pass fit of exponential, normal, lognormal or gamma over all files of a path, of which only new and changed ones are read.
+def fit_incremental(spark, path: str, column: str, name: str, store: str, recompute_changed: bool = False, allow_removed: bool = False, by_folder: bool = False) -> dict:
+    """One-pass fit of exponential, normal, lognormal or gamma over all files of a path, of which only new and changed ones (``by_folder``: folders) are read.
 
     Codes are those of ``fit``; a store that belongs to another column is refused (JOB_CHANGED).
     """
     name = family(name).name
     if name not in ONE_PASS:
         raise CapabilityError(f"{name} takes no incremental passes")
-    rows, seen = refreshed(spark, path, column, store, recompute_changed, allow_removed)
+    rows, seen = refreshed(spark, path, column, store, recompute_changed, allow_removed, by_folder)
     s = merged_sums(rows).first().asDict()
     s |= {"lo": s["low"], "hi": s["high"], "sl": s["nl"] * (s["ml"] or 0.0)}
     return {"family": name, **_one_pass(name, s), "files": seen}

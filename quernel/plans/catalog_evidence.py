@@ -524,14 +524,14 @@ def _(spark, d):
 
 @query("incremental_fit", "select count(*) as n, round(avg(l_extendedprice), 4) as mu, round(stddev_pop(l_extendedprice), 3) as sigma, 2 as kept, 1 as added from lineitem")
 def _(spark, d):
-    """Two files, and then a third, of which alone the second run reads rows."""
+    """Two folders of files, and then a third, of which alone the second run reads rows."""
     path, store = scratch(spark, "parts"), scratch(spark, "states")
     i = _items(spark, d).select("l_extendedprice", (F.col("l_orderkey") % 3).alias("k"))
     for k in (0, 1):
-        i.filter(F.col("k") == k).drop("k").coalesce(1).write.mode("append").parquet(path)
-    scale.fit_incremental(spark, path, "l_extendedprice", "normal", store)
-    i.filter("k = 2").drop("k").coalesce(1).write.mode("append").parquet(path)
-    r = scale.fit_incremental(spark, path, "l_extendedprice", "normal", store)
+        i.filter(F.col("k") == k).drop("k").write.parquet(f"{path}/part-{k}")
+    scale.fit_incremental(spark, path, "l_extendedprice", "normal", store, by_folder=True)
+    i.filter("k = 2").drop("k").write.parquet(f"{path}/part-2")
+    r = scale.fit_incremental(spark, path, "l_extendedprice", "normal", store, by_folder=True)
     return spark.createDataFrame([(r["n"], round(r["params"]["mu"], 4), round(r["params"]["sigma"], 3), r["files"].get("kept", 0), r["files"].get("added", 0))], "n bigint, mu double, sigma double, kept int, added int")
 
 

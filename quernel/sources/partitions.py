@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import settle
@@ -18,26 +18,36 @@ class ResumeRefused(ValueError):
     """Stored states don't belong to this input, and the caller did not allow the difference."""
 
 
-def parquet_values(spark: SparkSession, path: str, column: str) -> DataFrame:
+def _place(by_folder: bool) -> Column:
+    """What a row's partition is called: its file, or the folder that this lies in."""
+    file = F.col("_metadata.file_path")
+    return F.regexp_replace(file, "/[^/]*$", "") if by_folder else file
+
+
+def parquet_values(spark: SparkSession, path: str, column: str, by_folder: bool = False) -> DataFrame:
     """One column (x) of a file or of all files under a folder; Parquet reads no other."""
     found = spark.read.option("recursiveFileLookup", "true").parquet(path)
     if found.columns.count(column) != 1:
         raise ValueError(f"{column} must be there exactly once")
-    return found.select(F.col(column).cast("double").alias("x"), F.col("_metadata.file_path").alias("partition_id"))
+    return found.select(F.col(column).cast("double").alias("x"), _place(by_folder).alias("partition_id"))
 
 
-def fingerprints(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """(partition_id, fingerprint) of each file: of its size and time, or of what its rows hold, in any order.
+def fingerprints(spark: SparkSession, path: str, content: bool = False, by_folder: bool = False) -> DataFrame:
+    """(partition_id, fingerprint) of each file, or of each folder with files: of sizes and times, or of what rows hold, in any order.
 
     Contents are hashed row by row and added up, so a file of any size is read in splits by as many tasks as it has.
     """
     if content:
         rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
         h = F.xxhash64(*rows.columns)
-        each = rows.select(F.col("_metadata.file_path").alias("partition_id"), h.alias("h"), F.xxhash64(F.lit(1), h).alias("g")).groupBy("partition_id")
+        each = rows.select(_place(by_folder).alias("partition_id"), h.alias("h"), F.xxhash64(F.lit(1), h).alias("g")).groupBy("partition_id")
         sums = each.agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("a"), F.bit_xor("g").alias("b"))
         return sums.select("partition_id", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in "nab"]).cast("binary"), 256).alias("fingerprint"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    if by_folder:
+        h = F.xxhash64("_metadata.file_path", "length", F.col("modificationTime").cast("string"))
+        sums = files.select(_place(True).alias("partition_id"), h.alias("h")).groupBy("partition_id").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("a"))
+        return sums.select("partition_id", F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("a").cast("string")).cast("binary"), 256).alias("fingerprint"))
     mark = F.sha2(F.concat_ws("|", F.col("length").cast("string"), F.col("modificationTime").cast("string")).cast("binary"), 256)
     # The same column names files here and where their values are read.
     return files.select(F.col("_metadata.file_path").alias("partition_id"), mark.alias("fingerprint"))
@@ -98,17 +108,17 @@ def bound_job(spark: SparkSession, store: str, job: str) -> bool:
     return True
 
 
-def refreshed(spark: SparkSession, path: str, column: str, store: str, recompute_changed: bool = False, allow_removed: bool = False) -> tuple[DataFrame, dict]:
-    """States of all files of ``path``, with the number of files kept, added, changed and removed.
+def refreshed(spark: SparkSession, path: str, column: str, store: str, recompute_changed: bool = False, allow_removed: bool = False, by_folder: bool = False) -> tuple[DataFrame, dict]:
+    """States of all files of ``path``, with the number of files kept, added, changed and removed; ``by_folder`` all files of a folder count as one.
 
     States live as Parquet in ``store``, a folder for each generation, which Spark
     marks as complete once all of it is written; the latest complete one is in
     force, so a failure leaves the one before.  File lists stay in Spark.  A store belongs to
     one column (else JOB_CHANGED).
     """
-    if not bound_job(spark, store, json.dumps({"column": column, "state": STATE}, sort_keys=True)):
+    if not bound_job(spark, store, json.dumps({"column": column, "state": STATE, **({"by_folder": True} if by_folder else {})}, sort_keys=True)):
         raise ResumeRefused("JOB_CHANGED")
-    new = settle(fingerprints(spark, path), "fingerprints")
+    new = settle(fingerprints(spark, path, by_folder=by_folder), "fingerprints")
     done = generations(spark, store)
     at = done[-1] if done else 0
     old = spark.read.schema(STATE).parquet(f"{store}/generation={at}") if at else spark.createDataFrame([], STATE)
@@ -121,7 +131,7 @@ def refreshed(spark: SparkSession, path: str, column: str, store: str, recompute
     now = old.join(diff.filter("change = 'kept'"), "partition_id", "left_semi")
     todo = diff.filter("change in ('added', 'changed')").select("partition_id")
     if seen.get("added") or seen.get("changed"):
-        values = parquet_values(spark, path, column).join(todo, "partition_id", "left_semi")
+        values = parquet_values(spark, path, column, by_folder).join(todo, "partition_id", "left_semi")
         # A file without rows has a state of no values.
         fresh = new.join(todo, "partition_id", "left_semi").join(states(values).drop("fingerprint"), "partition_id", "left")
         now = now.unionByName(fresh.fillna(0, ["n", "nl"]).select(*old.columns))

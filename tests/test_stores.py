@@ -1,5 +1,6 @@
 """Stores belong to one job, names of files may hold anything, and a fit never answers from sums of something else."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quernel.operators import evidence, scale
@@ -148,3 +149,19 @@ def test_csv_steps_go_on(spark, tmp_path):
     assert (out["code"], out["n"], out["exposure"], out["files_done"]) == ("COMPLETE", 5, 15.0, 5)
     (d / "0.csv").write_text("time,event_observed\n9,1\n10,1\n")
     assert lifetime_csv.checkpointed_fit(spark, str(d), str(tmp_path / "s"), "s", 2)["code"] == "REVISION_MISMATCH"
+
+
+def test_folders_of_files_as_partitions(spark, tmp_path):
+    """A partition may be a folder of many files, so that no task has to write or read one whole."""
+    data, store = tmp_path / "d", str(tmp_path / "s")
+    for k in range(2):
+        spark.range(90, numPartitions=3).selectExpr(f"id + {k}.5D as x").write.parquet(str(data / f"part-{k}"))
+    ask = lambda: scale.fit_incremental(spark, str(data), "x", "normal", store, by_folder=True)
+    assert ask()["files"] == {"added": 2}
+    spark.range(30, numPartitions=3).selectExpr("id * 2.0D as x").write.parquet(str(data / "part-2"))
+    r = ask()
+    x = np.concatenate([np.arange(90) + 0.5, np.arange(90) + 1.5, np.arange(30) * 2.0])
+    assert r["files"] == {"kept": 2, "added": 1} and r["n"] == 210 and abs(r["params"]["mu"] - x.mean()) < 1e-9 and abs(r["params"]["sigma"] - x.std()) < 1e-9
+    spark.range(5).selectExpr("id * 1.0D as x").write.mode("append").parquet(str(data / "part-0"))
+    with pytest.raises(partitions.ResumeRefused):
+        ask()
