@@ -354,6 +354,10 @@ def column(name: str, operation: str, x: str | Column, *params) -> Column:
 
     @F.pandas_udf("double")
     def run(v: pd.Series) -> pd.Series:
-        return pd.Series(np.asarray(call(v.to_numpy(float), *values), float))
+        v = v.to_numpy(float)
+        if operation == "ppf" and not f.ppf:  # a search for each number, so equal ones share it
+            v, place = np.unique(v, return_inverse=True)
+            return pd.Series(np.asarray(call(v, *values), float)[place])
+        return pd.Series(np.asarray(call(v, *values), float))
 
     return run(x.cast("double"))

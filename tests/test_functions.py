@@ -61,3 +61,14 @@ def test_columns_equal_arrays(spark, name):
         got = [r[0] for r in df.orderBy("q").select(families.column(name, op, arg, *p)).collect()]
         assert np.allclose(got, call(q if arg == "q" else x, *p), rtol=1e-9, atol=1e-9), op
     assert df.select(F.sum(families.column(name, "pdf", "x", *p))).first()[0] > 0
+
+
+def test_incomplete_functions_end_at_rounding():
+    """A continued fraction whose factors stay a rounding from 1 went on to its last step."""
+    import time
+
+    x = np.random.default_rng(0).exponential(2.5, 100_000)
+    began = time.perf_counter()
+    p, q = special.gamma_pq(2.5, x)
+    special.beta_i(3.0, 4.5, np.minimum(x / 20, 1.0))
+    assert time.perf_counter() - began < 3 and np.max(np.abs(p + q - 1)) < 1e-14
