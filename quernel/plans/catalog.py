@@ -195,10 +195,10 @@ def _(spark, d):
     fits = []
     for name, p in (("logistic", (10.0, 3.0)), ("cauchy", (5.0, 2.0)), ("student_t", (4.0, 1.0, 2.0)), ("gev", (0.15, 10.0, 2.0)), ("burr", (2.0, 1.5, 10.0)), ("chi_square", (5.0,)), ("f", (6.0, 9.0))):
         o = observations(grid.select(column(name, "ppf", "u", *p).alias("v")), "v").persist()
-        fits.append(fit.newton_fit(o, name))
+        fits.append({**fit.newton_fit(o, name, merged=True), "n": o.count()})
         o.unpersist()
     o = observations(_items(spark, d).filter("l_discount > 0").withColumn("v", F.col("l_discount") * 5), "v").persist()
-    fits.append(fit.newton_fit(o, "beta"))
+    fits.append({**fit.newton_fit(o, "beta", merged=True), "n": o.count()})
     o.unpersist()
     return _newton_rows(spark, fits)
 

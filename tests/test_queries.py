@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from quernel.operators import fit
 from quernel.plans import catalog, catalog_evidence, catalog_fits  # noqa: F401 - these add their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -74,3 +75,13 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_newton_families_pass_over_distinct_values(spark, sf, monkeypatch):
+    """Values repeat, so passes go over each once with its weight; n is that of all rows."""
+    seen, real = [], fit.log_likelihoods
+    monkeypatch.setattr(fit, "log_likelihoods", lambda obs, *more: (seen.append(obs), real(obs, *more))[1])
+    got = {r["family"]: r for r in catalog.QUERIES["fit_newton_families"](spark, sf).collect()}
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert got["logistic"]["n"] == got["f"]["n"] == events and got["beta"]["n"] > 1000
+    assert max(o.count() for o in (seen[0], seen[-1])) <= 997
