@@ -72,7 +72,7 @@ def all_tests(df: DataFrame, value: str, name: str, params: Sequence[float]) ->
     return df.sparkSession.createDataFrame([(a, float(b), float(p), int(m)) for a, b, p, m in rows], "statistic string, value double, p_value double, n bigint")
 
 
-def assess(df: DataFrame, value: str, families: Sequence[str], replicates: int = 100, seed: int = 0, threshold: float = 0.05, statistic: str = "ad") -> tuple[DataFrame, dict]:
+def assess(df: DataFrame, value: str, families: Sequence[str], replicates: int = 100, seed: int = 0, threshold: float = 0.05, statistic: str = "ad", whole: int = gof.WHOLE) -> tuple[DataFrame, dict]:
     """Candidates (family, code, p_value, aic) by refit Monte Carlo, and the adequate one of least aic (ties by name)."""
     rows = []
     least = df.agg(F.count(value).alias("n"), F.min(value).alias("lo")).first()
@@ -84,7 +84,7 @@ def assess(df: DataFrame, value: str, families: Sequence[str], replicates: int =
             rows.append((f.name, "INVALID_SUPPORT", None, None))
         else:
             r = fit_family(df, value, f.name)
-            p = gof.monte_carlo(df, value, f.name, replicates, seed).filter(F.col("statistic") == statistic).first()
+            p = gof.monte_carlo(df, value, f.name, replicates, seed, whole=whole).filter(F.col("statistic") == statistic).first()
             rows.append((f.name, r["code"], float(p["p_value"]), float(2 * len(f.params) - 2 * r["loglik"])))
     good = sorted((r[3], r[0]) for r in rows if r[2] is not None and r[2] >= threshold)
     best = {"code": "OK", "family": good[0][1], "aic": good[0][0]} if good else {"code": "NONE_ADEQUATE"}

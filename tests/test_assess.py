@@ -97,3 +97,11 @@ def test_monte_carlo_beyond_whole_replicates(spark):
     few, many = ({r["statistic"]: r for r in gof.monte_carlo(df, "x", "exponential", 60, seed=2, whole=w).collect()} for w in (5000, 1000))
     for k in ("ks", "ad", "cvm"):
         assert abs(few[k]["value"] - many[k]["value"]) < 1e-9 and abs(few[k]["p_value"] - many[k]["p_value"]) < 0.25 and many[k]["failures"] == 0
+
+
+def test_families_are_weighed_beyond_whole_replicates(spark):
+    """Families of a sample larger than a replicate that one task draws, and the gate on them."""
+    df = frame(spark, np.random.default_rng(6).exponential(5.0, 400))
+    rows, best = assess.assess(df, "x", ["exponential", "normal"], 30, whole=100)
+    got = {r["family"]: r["p_value"] for r in rows.collect()}
+    assert got["exponential"] > 0.05 > got["normal"] and best["family"] == "exponential"
