@@ -15,7 +15,7 @@ from ..operators import assess, exact, fit, gof, samples, uncertainty
 from ..sources import partitions
 from ..sources.observations import numeric_violations, observations, violations
 from ..streaming import fits as streams
-from .shared import folder
+from .shared import folder, settle
 
 FLAGSHIP = "fit_exponential_grouped"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,9 +206,10 @@ def _(spark, d):
 @query("fit_newton_censored")
 def _(spark, d):
     """Right-censored fits of all six lifetime families."""
-    e = observations(_events(spark, d).filter("value > 0").withColumn("seen", F.col("event_type") != "view"), "value", event="seen").persist()
-    fits = [fit.newton_fit(e, f) for f in ("exponential", "weibull", "lognormal", "gamma", "normal", "gumbel")]
-    e.unpersist()
+    e = observations(_events(spark, d).filter("value > 0").withColumn("seen", F.col("event_type") != "view"), "value", event="seen")
+    e = settle(fit.grouped_by_multiplicity(e), "merged")  # once for all six
+    n = int(e.agg(F.sum("weight")).first()[0] or 0)
+    fits = [{**fit.newton_fit(e, f), "n": n} for f in ("exponential", "weibull", "lognormal", "gamma", "normal", "gumbel")]
     return _newton_rows(spark, fits)
 
 

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from quernel.operators import fit
+from quernel.operators import fit, score
 from quernel.plans import catalog, catalog_evidence, catalog_fits  # noqa: F401 - these add their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -85,3 +85,18 @@ def test_newton_families_pass_over_distinct_values(spark, sf, monkeypatch):
     events = spark.read.parquet(f"{sf}/events.parquet").count()
     assert got["logistic"]["n"] == got["f"]["n"] == events and got["beta"]["n"] > 1000
     assert max(o.count() for o in (seen[0], seen[-1])) <= 997
+
+
+def test_censored_newton_passes_over_distinct_values(spark, sf, monkeypatch, tmp_path):
+    """Five copies of the events give passes over as many rows as one; n is that of all rows, and parameters stay."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.crossJoin(spark.range(5)).drop("id").write.parquet(f"{tmp_path}/events.parquet")
+    seen, real = [], score.derivatives
+    monkeypatch.setattr(score, "derivatives", lambda obs, *more: (seen.append(obs), real(obs, *more))[1])
+    one, five = ({r["family"]: r for r in catalog.QUERIES["fit_newton_censored"](spark, d).collect()} for d in (sf, str(tmp_path)))
+    rows = events.filter("value > 0")
+    assert len(five) == 6 and {r["n"] for r in five.values()} == {5 * rows.count()}
+    assert seen[-1].count() <= rows.count()
+    for name, r in five.items():
+        assert r["code"] == "OK" and (r["p1"], r["p2"]) == (one[name]["p1"], one[name]["p2"])
+        assert abs(r["loglik"] - 5 * one[name]["loglik"]) < 0.5
