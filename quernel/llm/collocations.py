@@ -3,25 +3,27 @@
 A text is cut into pieces at ``.,;:!?`` and line ends and these into words at spaces
 and tabs; A-Z count as a-z.  Everything is told by language (null: ``und``).
 
-1. One scan fills a sketch of pairs of words, a second one a sketch of longer runs
-   whose pairs all may be frequent.  A task counts into one array of cells, so what
+1. One scan fills a sketch of pairs of words, a second one a sketch of single words and of
+   longer runs whose pairs all may be frequent.  A task counts into one array of cells, so what
    it sends has a fixed size before compression; blocks of cells are summed and
    leave one bit for each cell that reaches ``least``.  A cell is an upper
    bound of each phrase in it, so no frequent phrase is lost.
-2. A third scan names the phrases whose cells, and those of all their parts, reach ``least``.
-3. These and their single words are compiled into automata, one for each language.
-   Every pattern begins and ends with a space, and texts have one space around
-   each word and a comma, which no word can hold, between pieces: matches are whole
-   words of one piece, and matches that overlap all count.  A scan adds up the
-   matches of its shard of texts in one array; blocks of these are summed.
+2. A third scan names the phrases and words whose cells, and those of all their parts, reach
+   ``least``, a portion of texts at a time.  What a portion names is compiled into automata, one
+   for each language, that run over the portion at once.  Every pattern begins and ends with a
+   space, and texts have one space around each word and a comma, which no word can hold, between
+   pieces: matches are whole words of one piece, and matches that overlap all count.  Marks are
+   the same in all portions, so each names every marked phrase that it holds, and counts
+   summed over portions are exact.
+3. Counts go out as packed lists, by ranges of hashes, and a range's lists are summed one by one.
 4. Thresholds, scores, covers and ranks are joins and aggregations of the exact counts.
 
 Bounds: a sketch has at most ``2 ** MOST_BITS`` cells.  A corpus of over
 ``MOST_BITS`` cells times ``LOAD`` words is sketched in slices of phrases by hash, one
-after the other, each of which has all cells for itself.  Patterns of over
-``BLOCK`` bytes are dealt to several blocks by hash; every block is broadcast alone
-and scanned alone.  Both take more scans of the texts and lose nothing; with a
-fixed ``least``, phrases that reach it grow with the corpus and so do scans.
+after the other, each of which has all cells for itself.  A portion ends at ``HELD`` bytes of
+texts or ``BLOCK`` bytes of patterns, or with the chunk that passes these, so however many phrases
+reach ``least``, a slice takes three scans.  ``counted``, for phrases that the caller has, deals patterns of over ``BLOCK``
+bytes to several blocks by hash; every block is broadcast alone and scanned alone.
 
 Defined results: null and empty texts have no words; texts of any length are worked
 on in parts cut between pieces; phrases of equal score and count are in order of their
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 from operator import itemgetter
 
 import numpy as np
@@ -47,7 +50,7 @@ from .store import ship, stash, trim
 
 LONGEST, LEAST, COVER, FIRST = 5, 100, 100, 2000
 LEAST_BITS, MOST_BITS, BYTES_PER_CELL, LOAD = 18, 26, 16, 16
-CELLS, BLOCK, SEEN, NAMED, SALTS = 1 << 16, 4 << 20, 1 << 18, 1 << 11, 32
+CELLS, BLOCK, HELD, NAMED, SALTS = 1 << 16, 4 << 20, 32 << 20, 1 << 11, 32
 UNKNOWN = "und"
 _U = np.uint64
 _C = _U(0xD6E8FEB86659FD93)
@@ -106,7 +109,13 @@ class Sketch:
         return (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
     def levels(self, h: np.ndarray, left: np.ndarray, longest: int):
-        """(k, starts, hashes) of the runs of k words that take part: all pairs as long as no marks are known, then only what these allow."""
+        """(k, starts, hashes) of the runs of k words that take part: all pairs as long as no marks are known, then single words and what these allow."""
+        if self.pairs is not None:
+            ok = h % _U(self.slices) == _U(self.at) if self.slices > 1 else np.ones(len(h), bool)
+            if self.longer is not None:
+                ok &= self.frequent(self.longer, h)
+            at = np.flatnonzero(ok)
+            yield 1, at, h[at]
         if len(h) < 2:
             return
         total = h[:-1] * _C + h[1:]
@@ -192,7 +201,7 @@ def _sketched(docs: DataFrame, sketch: Sketch, longest: int, least: int) -> tupl
                     for name, c in zip(names.dictionary.to_pylist(), np.bincount(names.indices.to_numpy()[who]).tolist()):
                         n[name] = n.get(name, 0) + c
                 for k, _, hashes in own.levels(h, left, longest):
-                    if own.pairs is None or k > 2:
+                    if own.pairs is None or k != 2:
                         at, c = np.unique(own.cell(hashes), return_counts=True)
                         counts[at] = np.minimum(counts[at].astype(np.int64) + c, least)
         for block, data in _packed(counts, CELLS):
@@ -214,23 +223,34 @@ def _sketched(docs: DataFrame, sketch: Sketch, longest: int, least: int) -> tupl
     return marks, sent.filter("n is not null").select("lang", "n")
 
 
-def _named(docs: DataFrame, sketch: Sketch, longest: int) -> DataFrame:
-    """(lang, phrase) of the runs of words whose cells may be frequent.
+def _matched(docs: DataFrame, sketch: Sketch, longest: int, least: int, block_bytes: int) -> DataFrame:
+    """(lang, phrase, f): how often each run of words whose cells may be frequent occurs, where that is at least ``least`` times; one scan.
 
-    A task sends its distinct phrases as packed lists, by ranges of their hashes, and a range's lists are united one by one.
+    A portion of texts sends its distinct phrases with their matches as packed lists, by ranges of their hashes, and a range's lists are summed one by one.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     marked = sum(int(np.bitwise_count(m).sum()) for m in (sketch.pairs, sketch.longer))
     shift = 64 - max(1, int(np.ceil(np.log2(1 + marked / NAMED))))
-
-    def packed(held):
-        packer = zstandard.ZstdCompressor(level=3)
-        rows = [(bucket, lang, packer.compress("\n".join(sorted(names)).encode())) for (bucket, lang), names in held.items()]
-        return _rows(rows, pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("names", pa.binary())]))
+    schema = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("names", pa.binary()), ("counts", pa.binary())])
+
+    def packed(named, texts):
+        """Lists of a portion: ``named`` has hashes and phrases of each language, ``texts`` its texts."""
+        packer, rows = zstandard.ZstdCompressor(level=3), []
+        for lang, found in named.items():
+            found.sort(key=lambda xp: (xp[0] >> shift, xp[1]))
+            phrases = [p for _, p in found]
+            counts, one = np.zeros(len(found), np.int64), automaton(phrases)
+            for part in texts[lang]:
+                np.add.at(counts, matches(one, [part]), 1)
+            buckets = np.array([x >> shift for x, _ in found], np.int64)
+            at = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(found)]
+            for i, j in pairwise(at):
+                rows.append((int(buckets[i]), lang, packer.compress("\n".join(phrases[i:j]).encode()), packer.compress(counts[i:j].tobytes())))
+        return _rows(rows, schema)
 
     def run(batches):
-        own, seen, held = shared.value, set(), {}
+        own, seen, named, texts, size, held = shared.value, set(), {}, {}, 0, 0
         for batch in batches:
             for data, offs, langs in chunks(batch):
                 h, s, e, who, left = words(data, offs, langs)
@@ -240,45 +260,70 @@ def _named(docs: DataFrame, sketch: Sketch, longest: int) -> DataFrame:
                     for x, p in zip(hashes.tolist(), at[first].tolist(), strict=True):
                         if x not in seen:
                             seen.add(x)
-                            held.setdefault((x >> shift, names[who[p]]), []).append(b" ".join(raw[s[p] : e[p + k - 1]].split()).decode())
-                if len(seen) >= SEEN:
-                    yield packed(held)
-                    seen, held = set(), {}
-        if held:
-            yield packed(held)
+                            phrase = b" ".join(raw[s[p] : e[p + k - 1]].split()).decode()
+                            named.setdefault(names[who[p]], []).append((x, phrase))
+                            size += e[p + k - 1] - s[p] + 2
+                parts = {}
+                for r, lang in enumerate(names):
+                    if offs[r + 1] > offs[r]:
+                        parts.setdefault(lang, []).append(raw[offs[r] : offs[r + 1]])
+                for lang, own_texts in parts.items():
+                    texts.setdefault(lang, []).append(b",".join(own_texts))
+                held += len(raw)
+                if size >= block_bytes or held >= HELD:
+                    yield packed(named, texts)
+                    seen, named, texts, size, held = set(), {}, {}, 0, 0
+        if named:
+            yield packed(named, texts)
         trim()
 
-    def united(batches):
-        reader, now, names = zstandard.ZstdDecompressor(), None, set()
-        told = lambda: pa.RecordBatch.from_arrays([pa.array([now[1]] * len(names), pa.string()), pa.array(sorted(names), pa.string())], ["lang", "phrase"])
+    def summed(batches):
+        reader, now, total = zstandard.ZstdDecompressor(), None, {}
+
+        def told():
+            kept = sorted((p, f) for p, f in total.items() if f >= least)
+            return pa.RecordBatch.from_arrays([pa.array([now[1]] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.string()), pa.array([f for _, f in kept], pa.int64())], ["lang", "phrase", "f"])
+
         for batch in batches:
-            for bucket, lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for bucket, lang, names, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if (bucket, lang) != now:
                     if now is not None:
                         yield told()
-                    now, names = (bucket, lang), set()
-                names.update(reader.decompress(data.as_buffer()).decode().split("\n"))
+                    now, total = (bucket, lang), {}
+                found = np.frombuffer(reader.decompress(counts.as_buffer()), np.int64).tolist()
+                for phrase, f in zip(reader.decompress(names.as_buffer()).decode().split("\n"), found, strict=True):
+                    total[phrase] = total.get(phrase, 0) + f
         if now is not None:
             yield told()
         trim()
 
-    lists = docs.mapInArrow(run, "bucket int, lang string, names binary")
-    return stash(lists.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(united, "lang string, phrase string"), "phrases")
+    lists = docs.mapInArrow(run, "bucket int, lang string, names binary, counts binary")
+    return stash(lists.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(summed, "lang string, phrase string, f bigint"), "counts")
 
 
-def built(token: str, entries: dict[str, list[str]]) -> dict:
-    """An automaton for each language, made once in a worker: {lang: (automaton, first number)}."""
+def automaton(phrases: list[str], start: int = 0):
+    """An automaton of phrases with a space around each; its values are their numbers from ``start`` on."""
     import ahocorasick
 
+    one = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, phrase in enumerate(phrases):
+        one.add_word(f" {phrase} ", start + k)
+    one.make_automaton()
+    return one
+
+
+def matches(one, parts: list[bytes]) -> np.ndarray:
+    """Numbers of the phrases that occur in texts of one language, once for each match."""
+    return np.fromiter(map(itemgetter(1), one.iter(guarded(parts))), np.int64)
+
+
+def built(token: str, entries: dict[str, list[str]]) -> dict:
+    """An automaton for each language, made once in a worker: {lang: (automaton, first number)}."""
     if token not in _automata:
         _automata.clear()
         made, start = {}, 0
         for lang, phrases in entries.items():
-            one = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for k, phrase in enumerate(phrases):
-                one.add_word(f" {phrase} ", start + k)
-            one.make_automaton()
-            made[lang] = one
+            made[lang] = automaton(phrases, start)
             start += len(phrases)
         _automata[token] = made
     return _automata[token]
@@ -325,8 +370,7 @@ def _counted_block(docs: DataFrame, part: DataFrame, most: int) -> DataFrame:
                     if lang in automata and offs[r + 1] > offs[r]:
                         parts.setdefault(lang, []).append(raw[offs[r] : offs[r + 1]])
                 for lang, texts in parts.items():
-                    found = np.fromiter(map(itemgetter(1), automata[lang].iter(guarded(texts))), np.int64)
-                    np.add.at(counts, found, 1)
+                    np.add.at(counts, matches(automata[lang], texts), 1)
         for block, data in _packed(counts, size):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], ["block", "counts"])
         trim()
@@ -383,14 +427,12 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cover: int
     """The best phrases of each language by score; see the module's head."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
     bits, slices = _plan(rows, most_bits, load)
-    phrases, totals = None, None
+    counts, totals = None, None
     for at in range(slices):
         sketch = Sketch(bits, slices, at)
         sketch.pairs, words_in_parts = _sketched(rows, sketch, longest, least)
         totals = words_in_parts if totals is None else totals
         sketch.longer, _ = _sketched(rows, sketch, longest, least)
-        found = _named(rows, sketch, longest)
-        phrases = found if phrases is None else phrases.union(found)
-    single = phrases.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))
-    counts = counted(rows, phrases.union(single).distinct(), block_bytes)
+        found = _matched(rows, sketch, longest, least, block_bytes)
+        counts = found if counts is None else counts.union(found)
     return scored(counts, totals.groupBy("lang").agg(F.sum("n").alias("n")), least, cover, first)

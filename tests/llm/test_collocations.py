@@ -78,6 +78,24 @@ def test_slices_and_blocks_lose_nothing(spark, more):
     assert mined(spark, rows, least=300, **more) == brute(rows, least=300)
 
 
+def test_scans_do_not_grow_with_patterns(spark):
+    """However many blocks the patterns fill, the texts are scanned as often."""
+    rows, jobs = texts(200, 3), {}
+    for name, more in (("one", {}), ("many", {"block_bytes": 300})):
+        spark.sparkContext.setJobGroup(f"scans {name}", name)
+        assert mined(spark, rows, least=20, **more) == brute(rows, least=20)
+        jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"scans {name}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs["many"] <= jobs["one"] + 3, jobs
+
+
+def test_words_count_where_no_phrase_is(spark):
+    """A word of a frequent phrase is counted in texts that name none of its phrases too."""
+    rows = [("en", "red fox")] * 30 + [("en", f"red x{k}") for k in range(40)] + [("en", f"y{k}, fox") for k in range(25)] + [("de", "red")] * 9
+    docs = spark.createDataFrame([(lang, t) for lang, t in rows], "lang string, text string").repartition(7)
+    assert [tuple(r) for r in collocations.mine(docs, least=30, block_bytes=1).collect()] == brute(rows, least=30) == [("en", 1, "red fox", 30, 70, 55, 190, 1480)]
+
+
 def test_overlaps_count(spark):
     docs = spark.createDataFrame([("en", "a a a a, a a"), ("de", "a a")], "lang string, text string")
     asked = spark.createDataFrame([("en", "a a"), ("en", "a"), ("de", "a a"), ("en", "a b"), ("de", "a")], "lang string, phrase string")
