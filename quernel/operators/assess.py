@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special as sp
 from ..functions.families import family
+from ..plans.shared import ship
 from ..sources.observations import CapabilityError, cell, observations
 from . import gof
 from .fit import CLOSED, PassBudgetError, fit_closed, fit_gumbel, fit_moments, fit_weibull, newton_fit, profile_sums
@@ -74,6 +75,7 @@ def all_tests(df: DataFrame, value: str, name: str, params: Sequence[float]) ->
 
 def assess(df: DataFrame, value: str, families: Sequence[str], replicates: int = 100, seed: int = 0, threshold: float = 0.05, statistic: str = "ad", whole: int = gof.WHOLE) -> tuple[DataFrame, dict]:
     """Candidates (family, code, p_value, aic) by refit Monte Carlo, and the adequate one of least aic (ties by name)."""
+    ship(df.sparkSession)
     rows = []
     least = df.agg(F.count(value).alias("n"), F.min(value).alias("lo")).first()
     for name in families:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special as sp
 from ..functions.families import column, family
+from ..plans.shared import ship
 from . import fit
 from . import replicates as parts
 from .ranking import tied_ranks
@@ -210,6 +211,7 @@ def monte_carlo(df: DataFrame, value: str, name: str, replicates: int = 200, see
     Generators depend on the seed and the numbers of replicate and block alone, so the result doesn't depend on partitions.
     Over ``most_rows`` rows, where given, the sample is refused.
     """
+    ship(df.sparkSession)
     name = family(name).name
     least = whole if most_rows is None else most_rows
     rows = [r[0] for r in df.select(F.col(value).cast("double")).limit(least + 1).collect()]

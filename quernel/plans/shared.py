@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,18 @@ def _own(spark: SparkSession) -> str:
     return spark.sparkContext.applicationId
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, which they may not have installed."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if root.is_dir() and not getattr(context, "_quernel_shipped", False):
+        target = Path(tempfile.mkdtemp(prefix="quernel"), "quernel_code.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        context.addPyFile(str(target))
+        context._quernel_shipped = True
+
+
 def settle(df: DataFrame, tag: str = "table") -> DataFrame:
     """``df``, written once as Parquet and read back, so that later passes and lost executors don't repeat its plan."""
     path = f"{folder(df.sparkSession)}/quernel/{_own(df.sparkSession)}/{uuid.uuid4().hex}/{tag}"

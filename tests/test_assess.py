@@ -105,3 +105,27 @@ def test_families_are_weighed_beyond_whole_replicates(spark):
     rows, best = assess.assess(df, "x", ["exponential", "normal"], 30, whole=100)
     got = {r["family"]: r["p_value"] for r in rows.collect()}
     assert got["exponential"] > 0.05 > got["normal"] and best["family"] == "exponential"
+
+
+def test_families_are_weighed_where_workers_lack_the_package(tmp_path, sf):
+    """A session started elsewhere, whose workers find this package neither in their folder nor on their path."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+sys.path.insert(0, {str(root)!r})
+from quernel.operators import assess
+d = s.read.parquet("{sf}/events.parquet").filter("value > 0")
+for whole in (100_000, 100):
+    rows, _ = assess.assess(d, "value", ["exponential", "lognormal"], 4, seed=1, whole=whole)
+    print("weighed", rows.filter("code = 'OK' and p_value is not null").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.split("\n").count("weighed 2") == 2, out.stderr[-2000:]
